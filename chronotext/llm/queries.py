@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import packing, sharding, tokens
+from chronotext.llm import packing, sharding, tokens, url_filter, warc
+from chronotext.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +19,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The rules of the url query: host, path, action.
+RULES = [
+    ("com", "/en/", "block"),
+    ("example.com", "/en/7", "allow"),
+    ("net", "/de/", "allow"),
+    ("example.net", "/de/8", "block"),
+    ("org", "/es/", "block"),
+]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, action string")
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules)
+
+
+OP1_SQL = """
+WITH parts AS (
+  SELECT page_id,
+    coalesce(lower(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')), '') AS host,
+    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
+  FROM pages
+), rules(rule_host, rule_path, action) AS (
+  VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'),
+         ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
+), places AS (SELECT DISTINCT host, path FROM parts
+), best AS (
+  SELECT host, path, max_by(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+    max_by(action, length(rule_host || rule_path)) AS action
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path
+)
+SELECT page_id, parts.host, parts.path, rule, coalesce(action, 'allow') AS verdict
+FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
+"""
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.place(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
@@ -26,13 +64,33 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"), shards=40)
 
 
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_warc(table(spark, sf_dir, "pages"), path)
+    return warc.resolved(warc.read_warc(spark, path))
+
+
+OP10_SQL = """
+WITH heads AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest
+  FROM pages
+), firsts AS (
+  SELECT payload_digest, max(page_id) AS original FROM heads WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, heads.payload_digest,
+  CASE WHEN original IS NULL OR original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original IS NULL OR original = page_id THEN NULL ELSE original END AS refers_to
+FROM heads LEFT JOIN firsts ON heads.payload_digest = firsts.payload_digest
+"""
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op4_packing, op5_sharding, op9_token_counts)}
+    return {f.__name__: f for f in (op1_url_filters, op4_packing, op5_sharding, op9_token_counts, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": OP1_SQL, "op10_warc_revisits": OP10_SQL}
