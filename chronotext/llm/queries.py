@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import packing, sharding, simhash, tokens, url_filter, warc
+from chronotext.llm import packing, quality_rules, sharding, simhash, tokens, url_filter, warc
 from chronotext.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,6 +84,10 @@ FROM heads LEFT JOIN firsts ON heads.payload_digest = firsts.payload_digest
 """
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -94,7 +98,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op4_packing, op5_sharding, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_url_filters, op4_packing, op5_sharding, op6_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:
