@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import packing, quality_rules, sharding, simhash, tokens, url_filter, warc
+from chronotext.llm import decontamination, packing, quality_rules, sharding, simhash, tokens, url_filter, warc
 from chronotext.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
 """
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_body")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenize_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return packing.place(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
@@ -98,7 +102,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op4_packing, op5_sharding, op6_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_url_filters, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:
