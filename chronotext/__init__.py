@@ -1,8 +1 @@
 """Spark-native analytics over timed text: search, intervals, sequences, merges and planners."""
-
-import sys
-
-from pyspark import cloudpickle
-
-# Functions handed to Spark travel by value, so executors need no copy of this package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
