@@ -5,12 +5,18 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from chronotext.session import ship
+
+Batches = Iterator[pa.RecordBatch]
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
@@ -34,6 +40,12 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def arrow_map(df: DataFrame, step: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """Run ``step`` over Arrow batches; the executors have this package."""
+    ship(df.sparkSession)
+    return df.mapInArrow(step, schema)
+
+
 def sized(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` if it has at most ``max_rows`` rows (counted), else leave the join to Spark."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

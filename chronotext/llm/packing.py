@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from chronotext.llm.common import durable, rank_in_groups, sized, text_slices
+from chronotext.llm.common import arrow_map, durable, rank_in_groups, sized, text_slices
 
 SEPARATOR = "\x00"
 #: Characters that Python splits at and the tokenizer's white space does not hold, and the separator.
@@ -88,7 +88,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
                 names=schema.names,
             )
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def pack_patterns(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import decontamination, packing, quality_rules, sharding, simhash, tokens, url_filter, warc
+from chronotext.llm import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
 from chronotext.llm.common import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ FROM parts LEFT JOIN best ON parts.host = best.host AND parts.path = best.path
 """
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_body")
 
@@ -92,6 +96,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4)
     return found.select("doc_id", "fingerprint", "component_id")
@@ -102,7 +110,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op7_language_id, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits)}
 
 
 def oracle_sql() -> dict[str, str]:

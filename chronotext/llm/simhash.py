@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.llm.common import durable, text_slices
+from chronotext.llm.common import arrow_map, durable, text_slices
 
 BITS = 64
 #: Cost of a probe row, and of a candidate that is tested, in the planner's units.
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
             prints = [fingerprint(t, shingle) for start, end in text_slices(texts) for t in texts[start:end]]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), batch.column(2)], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return arrow_map(source, run, schema)
 
 
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
@@ -79,7 +79,7 @@ def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
                 both += x[i : i + (1 << 16)].T @ x[i : i + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(range(BITS + 1), pa.int32()), pa.array([*both.tolist(), [float(n)] * BITS])], names=["row", "counts"])
 
-    each = prints.select("_fp").mapInArrow(run, "row int, counts array<double>")
+    each = arrow_map(prints.select("_fp"), run, "row int, counts array<double>")
     summed = each.select("row", F.posexplode("counts").alias("at", "n")).groupBy("row", "at").agg(F.sum("n").alias("n")).collect()
     table = np.zeros((BITS + 1, BITS))
     for r in summed:
