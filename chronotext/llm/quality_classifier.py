@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,8 @@ from chronotext.llm.common import arrow_map, durable, share_of, sized, tasks_of,
 from chronotext.session import ship
 
 DIM, ONES, REACH = 48, 6, 2
+#: Of a pooled document: index and context vectors, and two shares of repeated words.
+WIDTH = 2 * DIM + 2
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 24, 40, 64, 3e-3, 1e-4
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 #: Tokens that stand for all unknown ones of a kind; they head every vocabulary.
@@ -64,12 +67,15 @@ class Vocabulary:
         return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").split()
+        return self.encode_words((text or "").split())
+
+    def encode_words(self, words: list[str]) -> np.ndarray:
         if len(self.known) > self.memory:
             self.known = {}
         known = self.known
-        for word in set(words) - known.keys():
-            known[word] = self.of(word)
+        for word in set(words):
+            if word not in known:
+                known[word] = self.of(word)
         return np.fromiter(chain.from_iterable(map(known.__getitem__, words)), dtype=np.int64)
 
 
@@ -84,12 +90,16 @@ class Model:
     prior: float
 
     def pooled(self, vocabulary: Vocabulary, texts: list[str | None]) -> np.ndarray:
-        out = np.zeros((len(texts), 2 * DIM), dtype=np.float32)
+        """Means of the tokens' vectors; the share of words that repeat the word before, and of different words."""
+        out = np.zeros((len(texts), WIDTH), dtype=np.float32)
         for i, text in enumerate(texts):
-            ids = vocabulary.encode(text)
-            for at in range(0, len(ids), 1 << 16):
-                out[i] += self.vectors[ids[at : at + (1 << 16)]].sum(axis=0)
-            out[i] /= max(1, len(ids))
+            words = (text or "").split()
+            ids = vocabulary.encode_words(words)
+            for at in range(0, len(ids), 1 << 14):
+                out[i, :-2] += self.vectors[ids[at : at + (1 << 14)]].sum(axis=0)
+            out[i, :-2] /= max(1, len(ids))
+            out[i, -2] = sum(map(eq, words, words[1:])) / max(1, len(words))
+            out[i, -1] = np.log1p(len(set(words))) / np.log1p(max(1, len(words)))
         return out
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
@@ -200,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 4000, size: int = 800
     index = np.stack([index_vector(t) for t in tokens])
     index /= ONES**0.5
     vectors = np.hstack([index, context_vectors(sample, tokens, index)])
-    model = Model(tokens, vectors, np.zeros(2 * DIM), np.ones(2 * DIM), [], 1.0, 0.5)
+    model = Model(tokens, vectors, np.zeros(WIDTH), np.ones(WIDTH), [], 1.0, 0.5)
     shared = spark.sparkContext.broadcast(model)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
