@@ -7,6 +7,7 @@ WARC records on whatever store Spark writes to. Reading parses by Content-Length
 
 from __future__ import annotations
 
+import gzip
 import math
 from collections.abc import Iterator
 
@@ -52,7 +53,8 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
     """Write one record for each row of ``pages``; ``path`` must not exist yet.
 
     Rows of equal key and payload are the same capture and get the same kind of record. Control characters in a url are
-    dropped from its header; a null url has none. Files hold about FILE_BYTES, as rows are dealt by key and payload.
+    dropped from its header; a null url has none. Files hold about FILE_BYTES before gzip, as rows are dealt by key and
+    payload.
     """
     payload = F.coalesce(F.col(html), F.lit(""))
     name = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -81,7 +83,7 @@ def write_warc(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z",
         F.concat(F.lit("Content-Length: "), F.octet_length(body)),
     ]
     record = F.concat(F.concat_ws(CRLF, *lines), F.lit(CRLF + CRLF), body)
-    joined.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).text(path)
+    joined.select(record.alias("value")).write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
 
 
 RECORD = T.StructType([
@@ -111,7 +113,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0):
                 rows, held = [], 0
-                for row in parse_records(content.as_py()):
+                for row in parse_records(gzip.decompress(content.as_py())):
                     rows.append(row)
                     held += len(row[-1] or b"")
                     if held > 4 << 20 or len(rows) >= 5000:
