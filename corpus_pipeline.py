@@ -13,10 +13,10 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 STAGES: list[tuple[str, Stage]] = [
     ("quality_classifier", stages.quality_classifier),
-    ("quality_rules", stages.quality_rules),
+    ("quality_rules", stages.quality_rules_stage),
     ("simhash_near_dedup", stages.simhash_near_dedup),
     ("benchmark_decontamination", stages.benchmark_decontamination),
-    ("packing", stages.packing),
+    ("packing", stages.packing_stage),
 ]
 
 #: Trained models and token packing have no SQL form; tests/llm holds the stages against plain Python.
