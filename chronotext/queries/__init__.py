@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
+from chronotext.queries import files, records, search, signals, speech, streams, text, vectors  # noqa: F401
+from chronotext.queries.registry import ORACLES, QUERIES, Query
 
 
 def reference_queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def reference_oracles() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)

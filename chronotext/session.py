@@ -8,6 +8,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -33,7 +35,12 @@ def get_session(app: str = "chronotext", cpus: int | str = "*", partitions: int
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data folder; the path may be on any store Spark reads."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return zoned(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def zoned(df: DataFrame) -> DataFrame:
+    """Timestamps without a zone as timestamps of the session's zone (UTC is assumed throughout)."""
+    return df.withColumns({f.name: F.col(f.name).cast("timestamp") for f in df.schema if isinstance(f.dataType, T.TimestampNTZType)})
 
 
 def ship(spark: SparkSession) -> None:
