@@ -8,8 +8,11 @@ by rank: the r-th piece of a length takes the r-th place that the patterns hold
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -19,48 +22,71 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from chronotext.llm.common import arrow_map, durable, rank_in_groups, sized, text_slices
+from chronotext.llm.tokens import byte_letters
 
-SEPARATOR = "\x00"
-#: Characters that Python splits at and the tokenizer's white space does not hold, and the separator.
-UNSAFE = str.maketrans({c: "\x00" for c in "\x00\x1c\x1d\x1e\x1f"})
+#: Characters that Python splits at and the tokenizer's white space does not hold.
+UNSAFE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case depends on their place or is more than one character.
+UNEVEN = frozenset("\u03a3\u0130")
+MARKS = ".,!?;:\"'()[]{}*#$%&|-_/+=<>"
 
 
 class WordEncoder:
-    """Ids of whole texts by the tokenizer library, which sees each word between white space once.
+    """Ids of whole texts by the tokenizer library, which sees each word, or each run of letters, once.
 
-    Right for tokenizers that drop white space and never join over it, as the word-level files do. Texts with control
-    characters that the two notions of white space treat unlike go to the library as they are. ``memory`` bounds the
-    remembered words.
+    Right for tokenizers that lower-case, drop white space and never join over it, as the word-level files do. A word of
+    letters with marks behind is two of the tokenizer's own pre-tokens, which go straight to its merge model; any other
+    word goes through the whole library. Texts with control characters that the two notions of white space treat unlike
+    go to the library as they are. ``memory`` bounds each of the two stores, which live as long as the worker.
     """
 
-    def __init__(self, path: str, memory: int = 400_000) -> None:
+    def __init__(self, path: str, memory: int = 300_000) -> None:
         self.library, self.memory = Tokenizer.from_file(path), memory
-        self.known: dict[str, bytes] = {}
-        self.separator = self.ids("a " + SEPARATOR + " a")[len(self.ids("a")) : -len(self.ids("a"))]
-
-    def ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def learn(self, words: list[str]) -> None:
-        """Encode words, many to a call; a separator that no word holds stands between them."""
-        for start in range(0, len(words), 5000):
-            some = words[start : start + 5000]
-            ids = self.ids(f" {SEPARATOR} ".join(some))
-            cuts = np.flatnonzero(ids == self.separator[0])
-            pieces = np.split(ids, cuts)
-            for k, (word, piece) in enumerate(zip(some, pieces, strict=True)):
-                self.known[word] = piece[len(self.separator) * (k > 0) :].tobytes()
+        self.model = self.library.model
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.words: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def run(self, letters: str) -> bytes:
+        """Ids of one pre-token, a run of letters or of marks in normal form."""
+        found = self.runs.get(letters)
+        if found is None:
+            tokens = self.model.tokenize(letters.encode().decode("latin-1").translate(self.letters))
+            found = self.runs[letters] = np.array([t.id for t in tokens], dtype="<u4").tobytes()
+        return found
+
+    def learn(self, words: Iterable[str]) -> None:
+        for word in words:
+            core = word.rstrip(MARKS)
+            if core.isalpha() and (core.isascii() or is_normalized("NFC", core) and UNEVEN.isdisjoint(core)):
+                low = core.lower()
+                if low.isalpha():
+                    self.words[word] = self.run(low) + self.run(word[len(core) :])
+                    continue
+            self.words[word] = self.ids(word)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         for start, end in text_slices(texts):
-            if len(self.known) > self.memory:
-                self.known = {}
+            if len(self.words) > self.memory:
+                self.words = {}
+            if len(self.runs) > self.memory:
+                self.runs = {"": b""}
             some = [t or "" for t in texts[start:end]]
-            words = [None if t.translate(UNSAFE) != t or SEPARATOR in t else t.split() for t in some]
-            self.learn(list(set().union(*(w for w in words if w)) - self.known.keys()))
+            words = [None if UNSAFE.search(t) else t.split() for t in some]
+            known = self.words
+            self.learn([w for w in set().union(*(w for w in words if w)) if w not in known])
             for text, split in zip(some, words, strict=True):
-                yield self.ids(text).tobytes() if split is None else b"".join(map(self.known.__getitem__, split))
+                yield self.ids(text) if split is None else b"".join(map(known.__getitem__, split))
+
+
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder for each worker process: tasks that follow one another there share what it has seen."""
+    return WordEncoder(path)
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -74,9 +100,8 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = encoder_of(tokenizer)
         for batch in batches:
-            encoder = encoder or WordEncoder(tokenizer)
             rows: list[tuple[int, int, int, bytes]] = []
             for i, ids in enumerate(encoder.encode(batch.column(1).to_pylist())):
                 ids += end
