@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -55,3 +56,24 @@ def ship(spark: SparkSession) -> None:
             file.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._chronotext = True
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only where a session has none (a local session, tests) a temporary folder is made, as the context's checkpoint folder.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_chronotext_folder", None)
+    if not folder:
+        folder = context._chronotext_folder = tempfile.mkdtemp(prefix="chronotext-")
+        context.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; the driver's JVM deletes it when it ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path

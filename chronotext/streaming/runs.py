@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,16 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotext.functions.times import half_up
 from chronotext.operators.records import latest as newest
-from chronotext.session import ship, zoned
-
-
-def folder(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share (spark.checkpoint.dir; a local one only where that is not set)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="chronotext-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from chronotext.session import shared_path, ship, zoned
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +25,7 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def run(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Drain the stream into a parquet table and read it."""
-    out = folder(spark, name)
+    out = shared_path(spark, name)
     query = frame.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(out)
@@ -44,7 +33,7 @@ def run(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append")
 
 def merged(spark: SparkSession, frame: DataFrame, name: str, step: Callable[[DataFrame], DataFrame], schema: str) -> DataFrame:
     """Fold each micro-batch into a table: state = step(state + batch). A batch that runs again gives the same state."""
-    out = folder(spark, name)
+    out = shared_path(spark, name)
     spark.createDataFrame([], schema).write.parquet(f"{out}/v-1")
     last = [-1]
 
@@ -66,7 +55,7 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = stream(spark, sf_dir, "events")
     each = e.groupBy("user_id", F.window("ts", "1 hour").alias("w")).agg(F.sum(F.col("value") * F.col("value")).alias("s"), F.count(F.lit(1)).alias("n"))
     # Partial sums leave in update mode by micro-batch; the last of a window is its whole.
-    out = folder(spark, "levels")
+    out = shared_path(spark, "levels")
     each.select("user_id", F.unix_seconds("w.start").alias("at"), "s", "n").writeStream.outputMode("update").foreachBatch(lambda b, k: b.withColumn("k", F.lit(k)).write.mode("overwrite").parquet(f"{out}/k{k}")).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     last = spark.read.parquet(f"{out}/k*").groupBy("user_id", "at").agg(F.max(F.struct("k", "s", "n")).alias("x"))
     return last.select("user_id", "at", F.least(F.lit(255), F.greatest(F.lit(1), half_up(F.sqrt(F.col("x.s") / F.col("x.n")) * 1.024))).cast("int").alias("level"))
@@ -92,7 +81,7 @@ def told_once(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions by session windows; the stream's end closes what is open (a late marker far ahead would on a live one)."""
     e = stream(spark, sf_dir, "events")
-    out = folder(spark, "sessions")
+    out = shared_path(spark, "sessions")
     grouped = e.withWatermark("ts", "60 days").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.min("ts").alias("first"), F.count(F.lit(1)).alias("n"))
     grouped.select("user_id", "first", "n").writeStream.outputMode("complete").foreachBatch(lambda b, k: b.write.mode("overwrite").parquet(f"{out}/all")).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/all")
