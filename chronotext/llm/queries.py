@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronotext.llm import decontamination, language_id, packing, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
-from chronotext.llm.common import shared_folder
+from chronotext.session import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,7 +72,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    path = shared_path(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path)
     return warc.resolved(warc.read_warc(spark, path))
 
