@@ -165,18 +165,17 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, least: int = 200)
     return model
 
 
-def judged(rows: DataFrame, model: DataFrame, sure: float) -> Column | DataFrame:
+def judged(rows: DataFrame, model: DataFrame, sure: float) -> DataFrame:
     """Add _outlier to rows with GROUP and x*, by the narrowest level that has an estimate."""
-    every = model.withColumn("_level", F.when(F.col("_lang") == "\x00", 3).when(F.col("_source") == "\x00", 2).otherwise(1))
-    out = rows
-    for level in (1, 2, 3):
-        one = every.filter(F.col("_level") == level).select(F.col("_lang").alias("_l"), F.col("_source").alias("_s"), F.struct(*[f"c{i}" for i in range(WIDTH)], *PRECISION).alias(f"_m{level}"))
-        on = {1: (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_s")), 2: F.col("_lang") == F.col("_l"), 3: F.col("_l") == F.lit("\x00")}[level]
-        if level == 3:
-            one = one.withColumn("_l", F.lit("")).withColumnRenamed("_l", "_every")
-            out = out.withColumn("_all", F.lit("")).join(F.broadcast(one.limit(1)), F.col("_all") == F.col("_every"), "left").drop("_all", "_every", "_s")
-        else:
-            out = out.join(sized(one, 50_000), on, "left").drop("_l", "_s")
+    estimate_of = F.struct(*[f"c{i}" for i in range(WIDTH)], *PRECISION)
+    whole = F.col("_lang") == "\x00"
+    any_source = ~whole & (F.col("_source") == "\x00")
+    own = model.filter(~whole & ~any_source).select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), estimate_of.alias("_m1"))
+    language = model.filter(any_source).select(F.col("_lang").alias("_l"), estimate_of.alias("_m2"))
+    every = model.filter(whole).select(F.lit(1).alias("_one"), estimate_of.alias("_m3"))
+    out = rows.join(sized(own, 50_000), (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_o")), "left").drop("_l", "_o")
+    out = out.join(sized(language, 50_000), F.col("_lang") == F.col("_l"), "left").drop("_l")
+    out = out.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left")  # one row
     out = out.withColumn("_m", F.coalesce("_m1", "_m2", "_m3")).select(*rows.columns, "_m.*")
     far = squared_distance(sides=True) > cutoff(sure)
     return out.withColumn("_outlier", F.coalesce(far, F.lit(False))).select(*rows.columns, "_outlier")
