@@ -92,7 +92,8 @@ def window_cuts(frames: DataFrame, key: str, earliest: float = 18.0, latest: flo
             lo, hi = np.searchsorted(at, [start + earliest, start + latest - frame])
             start = float(at[lo + int(np.argmin(e[lo:hi]))] + frame / 2) if hi > lo else start + latest
             cuts.append(start)
-        return pd.DataFrame({key: [rows[key].iloc[0]] * len(cuts), "n": range(len(cuts)), "cut": cuts}).astype({"n": "int32", "cut": "float64"})
+        named = rows[[key]].iloc[[0] * len(cuts)].reset_index(drop=True)
+        return named.assign(n=np.arange(len(cuts), dtype="int32"), cut=np.array(cuts, dtype=float))
 
     return frames.groupBy(key).applyInPandas(run, out)
 
