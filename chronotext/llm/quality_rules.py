@@ -70,13 +70,16 @@ STRUCT = T.StructType([T.StructField(n, T.LongType()) for n in STATS])
 
 
 def stats_column(text: str) -> Column:
-    """STATS as a struct column, computed in Arrow batches."""
+    """STATS as a struct column, computed in Arrow batches.
+
+    Declared as not deterministic, though it is, so that Spark neither copies it into filters nor runs it twice.
+    """
 
     @F.pandas_udf(STRUCT)
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS), dtype="int64")
 
-    return run(F.col(text))
+    return run.asNondeterministic()(F.col(text))
 
 
 def failed(s: str = "") -> Column:
