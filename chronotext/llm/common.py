@@ -26,9 +26,17 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def prepare(spark: SparkSession) -> None:
+    """Before Python runs on texts: the package goes to the executors, and Arrow batches are kept to 1000 rows unless the
+    session asks for another size than Spark's default, since a row may be a long document."""
+    ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def arrow_map(df: DataFrame, step: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
     """Run ``step`` over Arrow batches; the executors have this package."""
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(step, schema)
 
 

@@ -16,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import arrow_map, durable, sized, tasks_of
-from chronotext.session import ship
+from chronotext.llm.common import arrow_map, durable, prepare, sized, tasks_of
 
 COLUMNS_BITS = 15
 ORDERS = 3
@@ -169,7 +168,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     repeated rows are each judged; an empty table gives no rows, and with nothing to learn from all are ``und``.
     """
     model = learn(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).filter(~held_out()), **settings)
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

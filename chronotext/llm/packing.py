@@ -37,10 +37,11 @@ class WordEncoder:
     Right for tokenizers that lower-case, drop white space and never join over it, as the word-level files do. A word of
     letters with marks behind is two of the tokenizer's own pre-tokens, which go straight to its merge model; any other
     word goes through the whole library. Texts with control characters that the two notions of white space treat unlike
-    go to the library as they are. ``memory`` bounds each of the two stores, which live as long as the worker.
+    go to the library as they are. ``memory`` bounds the remembered words, twice that the runs; both live as long as the
+    worker.
     """
 
-    def __init__(self, path: str, memory: int = 300_000) -> None:
+    def __init__(self, path: str, memory: int = 120_000) -> None:
         self.library, self.memory = Tokenizer.from_file(path), memory
         self.model = self.library.model
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
@@ -73,7 +74,7 @@ class WordEncoder:
         for start, end in text_slices(texts):
             if len(self.words) > self.memory:
                 self.words = {}
-            if len(self.runs) > self.memory:
+            if len(self.runs) > 2 * self.memory:
                 self.runs = {"": b""}
             some = [t or "" for t in texts[start:end]]
             words = [None if UNSAFE.search(t) else t.split() for t in some]

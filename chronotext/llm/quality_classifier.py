@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import arrow_map, durable, share_of, sized, tasks_of, text_slices
-from chronotext.session import ship
+from chronotext.llm.common import arrow_map, durable, prepare, share_of, sized, tasks_of, text_slices
 
 DIM, ONES, REACH = 48, 6, 2
 #: Of a pooled document: index and context vectors, and two shares of repeated words.
@@ -200,7 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 4000, size: int = 800
     temperature. With labels of one kind only, or none, the model is a constant.
     """
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     kept = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     rows = kept.count()
     chosen = durable(kept.filter(share_of(F.col("doc_id"), bound, rows)), "labels")
@@ -240,7 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 4000, size: int = 800
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> Column:
     """The probability of label 1 for a text column; whole texts, null and blank ones included."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

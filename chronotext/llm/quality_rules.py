@@ -19,8 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.llm.common import arrow_map, durable, sized
-from chronotext.session import ship
+from chronotext.llm.common import arrow_map, durable, prepare, sized
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 SYMBOLS = b"#*$%&|<>"
@@ -201,7 +200,7 @@ def quality_rules(docs: DataFrame, sure: float = 0.99999, key: str = "doc_id", t
     group of its own. Estimates use the documents that pass the plain rules; with none of them nothing is an outlier.
     Repeated rows each count; an empty table gives no rows; other columns are not read.
     """
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     narrow = docs.select(F.col(key).alias("_key"), *group_columns(lang, source), stats_column(text).alias("_s")).select("_key", *GROUP, "_s.*")
     rows = durable(vectors(narrow), "rule-rows")
     model = fit(rows.filter(~failed()).select(*GROUP, *FIELDS))
@@ -211,7 +210,7 @@ def quality_rules(docs: DataFrame, sure: float = 0.99999, key: str = "doc_id", t
 
 def keep_good(docs: DataFrame, sure: float = 0.99999, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that quality_rules keeps. Statistics are computed again rather than joined on a key."""
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     sample = docs.select(*group_columns(lang, source), stats_column(text).alias("_s")).select(*GROUP, "_s.*")
     model = fit(durable(vectors(sample.filter(~failed())).select(*GROUP, *FIELDS), "rule-rows"))
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *group_columns(lang, source), stats_column(text).alias("_s"))
