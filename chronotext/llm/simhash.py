@@ -24,18 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.llm.common import arrow_map, durable, text_slices
+from chronotext.llm import resemblance
+from chronotext.llm.common import arrow_map, durable
 
 BITS = 64
 #: Cost of a probe row, and of a candidate that is tested, in the planner's units.
 PROBE, TEST = 1.0, 0.1
 
 
-def fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Words between ASCII white space, A-Z lower-cased; a bit is set if it is in over half the shingles' XXH64."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of the word shingles of a text, repeats included: words between ASCII white space, A-Z lower-cased."""
     body = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not body:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(body) <= shingle:
         hashes = [xxhash.xxh64_intdigest(b" ".join(body), 42)]
     else:
@@ -44,25 +45,42 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
         starts = np.r_[0, ends[:-1] + 1]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(line[a:b], 42) for a, b in zip(starts[: len(body) - shingle + 1].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
+    return np.array(hashes, dtype="<u8")
+
+
+def majority(packed: np.ndarray) -> int:
+    """A fingerprint bit is set if it is in over half the hashes; zero without any."""
     total = np.zeros(BITS, dtype=np.int64)
-    packed = np.array(hashes, dtype="<u8")
     for i in range(0, len(packed), 1 << 16):
         part = packed[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * total > len(hashes), bitorder="little").view("<u8")[0])
+    return int(np.packbits(2 * total > len(packed), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, shingle: int = 4) -> int:
+    return majority(shingle_hashes(text, shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, _fp (the 64 bits as a signed long), _body (xxhash64 of the text); no shuffle, whole texts."""
+def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
+    """key, _fp (the 64 bits as a signed long), _body (xxhash64 of the text); with ``sketches`` also _sketch and _bands
+    (see resemblance.sketch). No shuffle, whole texts."""
     source = docs.select(F.col(key), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"))
-    schema = T.StructType([source.schema[0], T.StructField("_fp", T.LongType()), T.StructField("_body", T.LongType())])
+    more = [T.StructField("_sketch", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))] if sketches else []
+    schema = T.StructType([source.schema[0], T.StructField("_fp", T.LongType()), T.StructField("_body", T.LongType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(1)
-            texts = column.to_pylist()
-            prints = [fingerprint(t, shingle) for start, end in text_slices(texts) for t in texts[start:end]]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), batch.column(2)], names=schema.names)
+            texts = batch.column(1).to_pylist()
+            prints, drawn, bands = [], [], []
+            for text in texts:
+                hashes = shingle_hashes(text, shingle)
+                prints.append(majority(hashes))
+                if sketches:
+                    one, values = resemblance.sketch(hashes)
+                    drawn.append(one)
+                    bands.append(values)
+            extra = [pa.array(drawn, pa.binary()), pa.array(bands, pa.list_(pa.int64()))] if sketches else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), batch.column(2), *extra], names=schema.names)
 
     return arrow_map(source, run, schema)
 
@@ -195,8 +213,9 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(root, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
 
 
-def linked_prints(prints: DataFrame, distance: int = 4) -> DataFrame:
-    """_fp, _root: distinct fingerprints and the smallest (as a signed long) one of their component. ``prints``: durable."""
+def linked_prints(prints: DataFrame, distance: int = 4, more: DataFrame | None = None) -> DataFrame:
+    """_fp, _root: distinct fingerprints and the smallest (as a signed long) one of their component. ``prints``: durable;
+    ``more``: links a, b of fingerprints that count whatever their distance."""
     n, both = bit_statistics(prints)
     nodes = prints.select(F.col("_fp").alias("node"))
     planned = plan(n, both, distance)
@@ -209,6 +228,7 @@ def linked_prints(prints: DataFrame, distance: int = 4) -> DataFrame:
         .filter((F.col("_fp") != F.col("_centre")) & near("_fp", "_centre"))
         .select(F.col("_fp").alias("a"), F.col("_centre").alias("b"))
     )
+    stars = stars.unionByName(more) if more is not None else stars
     rooted = durable(components(nodes, stars).select(F.col("node").alias("_fp"), F.col("root").alias("_root")), "star-roots")
     # Across components: under each value, the component with most fingerprints need not meet itself.
     by_root = filed(rooted, planned).groupBy("_part", "_value", "_root").agg(F.count(F.lit(1)).alias("_n"))
@@ -226,26 +246,33 @@ def linked_prints(prints: DataFrame, distance: int = 4) -> DataFrame:
     return rooted.join(above, F.col("_root") == F.col("node")).select("_fp", F.col("root").alias("_root"))
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """Per row of ``docs``: key, fingerprint (16 hexadecimal digits), component_id, _body, _kept_body.
 
     component_id is the smallest key that is reachable over links of ``distance`` or fewer differing bits, the row's own
-    key included. Null and blank texts have fingerprint zero, which links like any other; null keys are never smallest
+    key included. With ``similarity``, texts whose shingle sets overlap by that share (estimated, see resemblance) are
+    linked too. Null and blank texts have fingerprint zero, which links like any other; null keys are never smallest
     unless a component has no other (then component_id is null). Repeated rows are each returned; an empty table gives
     no rows; other columns are not read. _body is a hash of the text, _kept_body that of the component's first row (by
     key, then body), which a filter keeps.
     """
-    rows = durable(fingerprints(docs, shingle, key, text), "fingerprints")
-    prints = durable(rows.groupBy("_fp").agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_body"))).alias("_first")), "prints")
-    rooted = durable(linked_prints(prints, distance), "print-roots")
+    rows = durable(fingerprints(docs, shingle, key, text, similarity is not None), "fingerprints")
+    first_row = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("id"), F.col("_body"))).alias("_first")
+    prints = durable(rows.groupBy("_fp").agg(first_row), "prints")
+    more = None
+    if similarity is not None:
+        # One sketch for each fingerprint, for texts that differ under one fingerprint are linked already.
+        drawn = rows.filter("_fp <> 0").groupBy("_fp").agg(F.min(F.struct("_sketch", "_bands")).alias("_s")).select("_fp", "_s.*")
+        more = resemblance.links(durable(drawn, "sketches"), similarity)
+    rooted = durable(linked_prints(prints, distance, more), "print-roots")
     first = rooted.join(prints, "_fp").groupBy("_root").agg(F.min("_first").alias("_first"))
     named = rooted.join(first, "_root").select("_fp", F.col("_first.id").alias("component_id"), F.col("_first._body").alias("_kept_body"))
     return rows.join(named, "_fp", "left").select(key, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "_body", "_kept_body")
 
 
-def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """The rows of ``docs`` with one row of each group of near-duplicates: that with the smallest key."""
-    found = near_duplicates(docs, distance, shingle, key, text)
+    found = near_duplicates(docs, distance, shingle, key, text, similarity)
     stay = found.filter(F.col(key).eqNullSafe(F.col("component_id")) & (F.col("_body") == F.col("_kept_body"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("_body").alias("_b")).distinct()
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_b"))
     return named.join(stay, ["_k", "_b"], "left_semi").dropDuplicates(["_k", "_b"]).select("_row.*")

@@ -24,8 +24,9 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near-duplicates (five-word shingles, at most four differing bits)."""
-    return simhash.keep_one(docs, shingle=5)
+    """Keep one document of each group of near-duplicates: five-word shingles, at most four differing bits of their
+    fingerprints or shingle sets that overlap by 0.8."""
+    return simhash.keep_one(docs, shingle=5, similarity=0.8)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
