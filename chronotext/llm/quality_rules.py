@@ -2,9 +2,10 @@
 
 Statistics become transformed vectors. For each language and source a minimum-covariance-determinant estimate gives the
 centre and spread of the undisturbed majority: concentration steps take the three quarters of the rows that lie nearest
-to the current estimate and estimate again. Every step is an aggregation of sums and quantile sketches over all rows; a
-group's estimate is a row of a table, never a group of rows in one task. A document far from its group's centre, in a
-direction that speaks against it, is rejected.
+to the current estimate and estimate again, until the determinant falls no more, from several starts, of which the least
+determinant wins. Every step is an aggregation of sums and quantile sketches over all rows; a group's estimate from one
+start is a row of a table, never a group of rows in one task. A document far from its group's centre, in a direction that
+speaks against it, is rejected.
 """
 
 from __future__ import annotations
@@ -22,11 +23,14 @@ from pyspark.sql import types as T
 from chronotext.llm.common import arrow_map, durable, prepare, sized
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+COUNTED = (*STATS, "n_lines")
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: The vector's parts, each the larger the worse, with the least spread each is granted: a statistic that is zero in
-#: nearly all documents must not turn a single symbol or a single repeated line into an outlier.
-PARTS = {"symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15, "long_words": 0.25}
+#: nearly all documents must not turn a single symbol or a single repeated line into an outlier. Beside an undisturbed
+#: majority without spread, cutoff(0.99999) lets each part reject alone: from about 2.7 % symbols, 50 % repeated lines,
+#: 36 % repeated words, or words 2.3 times as long as usual.
+PARTS = {"symbols": 0.03, "dup_lines": 0.13, "repeats": 0.11, "long_words": 0.15}
 WIDTH = len(PARTS)
 
 
@@ -51,32 +55,37 @@ def repeated_words(ids: np.ndarray) -> int:
     return int(covered.sum())
 
 
-def statistics(text: str | None) -> tuple[int, int, int, int, int]:
-    """STATS of a whole text; all zero for null. Words lie between space and the characters 9 to 13."""
+def counted(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """COUNTED of a whole text; all zero for null. Words lie between space and the characters 9 to 13."""
     body = (text or "").encode("utf-8", "surrogatepass")
     words = body.split()
     if not words:
-        return 0, 0, len(body) - len(body.translate(None, SYMBOLS)), 0, 0
+        return 0, 0, len(body) - len(body.translate(None, SYMBOLS)), 0, 0, 0
     joined = b"".join(words)
     points = len(joined) - len(joined.translate(None, bytes(set(range(256)) - set(range(0x80, 0xC0)))))
     lines = [line for line in body.split(b"\n") if line.strip(b" \t\r\v\f")]
     known: dict[bytes, int] = {}
     ids = np.fromiter((known.setdefault(w, len(known)) for w in words), dtype=np.int64, count=len(words))
-    return len(words), points, len(body) - len(body.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids)
+    return len(words), points, len(body) - len(body.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(ids), len(lines)
+
+
+def statistics(text: str | None) -> tuple[int, int, int, int, int]:
+    """STATS of a whole text."""
+    return counted(text)[: len(STATS)]
 
 
-STRUCT = T.StructType([T.StructField(n, T.LongType()) for n in STATS])
+STRUCT = T.StructType([T.StructField(n, T.LongType()) for n in COUNTED])
 
 
 def stats_column(text: str) -> Column:
-    """STATS as a struct column, computed in Arrow batches.
+    """COUNTED as a struct column, computed in Arrow batches.
 
     Declared as not deterministic, though it is, so that Spark neither copies it into filters nor runs it twice.
     """
 
     @F.pandas_udf(STRUCT)
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([statistics(t) for t in texts], columns=list(STATS), dtype="int64")
+        return pd.DataFrame([counted(t) for t in texts], columns=list(COUNTED), dtype="int64")
 
     return run.asNondeterministic()(F.col(text))
 
@@ -90,7 +99,7 @@ def vector(s: str = "") -> list[Column]:
     words = F.greatest(F.col(f"{s}n_words"), F.lit(1))
     return [
         F.sqrt(F.col(f"{s}n_symbols") / F.greatest(F.col(f"{s}word_chars"), F.lit(1))),
-        F.sqrt(F.col(f"{s}n_dup_lines") / words),
+        F.sqrt(F.col(f"{s}n_dup_lines") / F.greatest(F.col(f"{s}n_lines"), F.lit(1))),
         F.sqrt(F.col(f"{s}n_repeat_words") / words),
         F.log(F.greatest(F.col(f"{s}word_chars"), F.lit(1)) / words),
     ]
@@ -117,32 +126,72 @@ def squared_distance(centre: str = "c", sides: bool = False) -> Column:
     return sum(terms[1:], terms[0])
 
 
-def estimate(moments: DataFrame, consistency: float) -> DataFrame:
-    """Centres and precision matrices from a table of group moments: one small numpy step for each group's row."""
-    floor = np.array(list(PARTS.values())) ** 2
-    schema = ", ".join([*(f"{g} string" for g in GROUP), "_n long", *(f"c{i} double" for i in range(WIDTH)), *(f"{p} double" for p in PRECISION)])
+CENTRE = [f"c{i}" for i in range(WIDTH)]
+SPREAD = [f"v{i}{j}" for i, j in PAIRS]
+#: Starts beside the medians: the moments of all rows, and of three small draws.
+DRAWS, DRAWN = 3, 10
+
+
+def matrices(rows: dict[str, list], prefix: str) -> np.ndarray:
+    """The symmetric matrices of a batch from the columns of their upper triangles."""
+    out = np.zeros((len(rows["_n"]), WIDTH, WIDTH))
+    for i, j in PAIRS:
+        out[:, i, j] = out[:, j, i] = rows[f"{prefix}{i}{j}"]
+    return out
+
+
+def with_precision(model: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, _n, c*, v**, p**, _det from centres and covariances: the floors are added, p** is the inverse, _det the
+    determinant's logarithm."""
+    floor = np.diag(np.array(list(PARTS.values())) ** 2)
+    names = [*CENTRE, *SPREAD, *PRECISION, "_det"]
+    kinds = {f.name: f.dataType for f in model.schema.fields}
+    schema = T.StructType([*(T.StructField(k, kinds[k]) for k in keys), T.StructField("_n", T.LongType()), *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = batch.to_pydict()
-            out: dict[str, list] = {g: rows[g] for g in (*GROUP, "_n")} | {f"c{i}": rows[f"m{i}"] for i in range(WIDTH)}
-            precision = []
-            for k in range(batch.num_rows):
-                m = np.array([rows[f"m{i}"][k] for i in range(WIDTH)])
-                cov = np.zeros((WIDTH, WIDTH))
-                for i, j in PAIRS:
-                    cov[i, j] = cov[j, i] = rows[f"s{i}{j}"][k] - m[i] * m[j]
-                cov = cov * consistency + np.diag(floor)
-                precision.append(np.linalg.inv(cov))
-            out |= {f"p{i}{j}": [float(p[i, j]) for p in precision] for i, j in PAIRS}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string() if k in GROUP else pa.int64() if k == "_n" else pa.float64()) for k, v in out.items()})
+            cov = matrices(rows, "v") + floor
+            inverse = np.linalg.inv(cov)
+            new = {f"p{i}{j}": inverse[:, i, j] for i, j in PAIRS} | {"_det": np.linalg.slogdet(cov)[1]}
+            columns = [*keys, "_n", *CENTRE, *SPREAD]
+            arrays = [batch.column(batch.schema.get_field_index(c)) for c in columns] + [pa.array(new[n], pa.float64()) for n in (*PRECISION, "_det")]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*columns, *PRECISION, "_det"])
 
-    return arrow_map(moments, run, schema)
+    return arrow_map(model.select(*keys, "_n", *CENTRE, *SPREAD), run, schema)
 
 
-def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, least: int = 200) -> DataFrame:
-    """Estimates for each language and source: _lang, _source, _n, c*, p**. rows: durable, GROUP and x*.
+def moments() -> list[Column]:
+    return [*(F.avg(f).alias(f"c{i}") for i, f in enumerate(FIELDS)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS)]
 
+
+def covariances(table: DataFrame, factor: float = 1.0) -> DataFrame:
+    """v** from the second moments s** and the centres."""
+    least = {(i, j): F.greatest(F.lit(0.0), F.col(f"s{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}")) if i == j else F.col(f"s{i}{j}") - F.col(f"c{i}") * F.col(f"c{j}") for i, j in PAIRS}
+    return table.withColumns({f"v{i}{j}": least[i, j] * factor for i, j in PAIRS})
+
+
+def starts(held: DataFrame) -> DataFrame:
+    """First estimates of each group: _start 0 by coordinates' medians and their spreads by the median distance from
+    them, 1 by the moments of all its rows, the others by those of about DRAWN rows. held: GROUP, _n, x*."""
+    middle = durable(held.groupBy(*GROUP).agg(F.first("_n").alias("_n"), *(F.percentile_approx(f, 0.5, 1000).alias(f"c{i}") for i, f in enumerate(FIELDS))), "rule-medians")
+    off = held.join(sized(middle.drop("_n"), 50_000), GROUP).groupBy(*GROUP).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, f in enumerate(FIELDS)))
+    zero = {f"v{i}{j}": F.pow(1.4826 * F.col(f"d{i}"), 2) if i == j else F.lit(0.0) for i, j in PAIRS}
+    first = middle.join(off, GROUP).withColumn("_start", F.lit(0)).withColumns(zero)
+    place = [F.pmod(F.xxhash64(*FIELDS, F.lit(k)), F.lit(1 << 30)) * F.col("_n") < F.lit(DRAWN << 30) for k in range(DRAWS)]
+    lots = F.filter(F.array(F.lit(1), *(F.when(p, F.lit(k + 2)) for k, p in enumerate(place))), lambda k: k.isNotNull())
+    drawn = covariances(held.select("*", F.explode(lots).alias("_start")).groupBy(*GROUP, "_start").agg(F.first("_n").alias("_n"), *moments()))
+    columns = [*GROUP, "_start", "_n", *CENTRE, *SPREAD]
+    return first.select(columns).unionByName(drawn.select(columns))
+
+
+def fit(rows: DataFrame, share: float = 0.75, least: int = 200, fall: float = 0.001) -> DataFrame:
+    """Estimates for each language and source: _lang, _source, _n, c*, v**, p**. rows: durable, GROUP and x*.
+
+    Concentration steps go on from every start while they lower the determinant's logarithm by more than ``fall``; of the
+    starts, the one with the least determinant stays. It is bounded below by the floors, so the steps end.
     A group of fewer than ``least`` rows is too small for an estimate; its language's, in the end all rows', stands in
     (rows with a null _source, and with null _lang and _source). A row counts at each of these levels.
     """
@@ -150,26 +199,36 @@ def fit(rows: DataFrame, share: float = 0.75, steps: int = 4, least: int = 200)
     wide = rows.select(levels.alias("_g"), *FIELDS).select("_g.*", *FIELDS)
     sizes = wide.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= least) | (F.col("_lang") == "\x00"))
     sizes = durable(sizes, "rule-groups")
-    moments = [*(F.avg(f).alias(f"m{i}") for i, f in enumerate(FIELDS)), *(F.avg(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i, j in PAIRS)]
     held = wide.join(sized(sizes, 50_000), GROUP)
-    # The first estimate: coordinates' medians, and their spreads by the median distance from them.
-    middle = held.groupBy(*GROUP).agg(F.first("_n").alias("_n"), *(F.percentile_approx(f, 0.5, 1000).alias(f"c{i}") for i, f in enumerate(FIELDS)))
-    middle = durable(middle, "rule-medians")
-    off = held.join(sized(middle.drop("_n"), 50_000), GROUP).groupBy(*GROUP).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"c{i}")), 0.5, 1000).alias(f"d{i}") for i, f in enumerate(FIELDS)))
-    floors = list(PARTS.values())
-    start = middle.join(off, GROUP).select(*GROUP, "_n", *(f"c{i}" for i in range(WIDTH)), *((1 / (F.pow(1.4826 * F.col(f"d{i}"), 2) + floors[i] ** 2) if i == j else F.lit(0.0)).alias(f"p{i}{j}") for i, j in PAIRS))
-    model = durable(start, "rule-model")
-    for _ in range(steps):
-        near = held.drop("_n").join(sized(model, 50_000), GROUP).withColumn("_d", squared_distance())
-        limit = sized(durable(near.groupBy(*GROUP).agg(F.percentile_approx("_d", share, 2000).alias("_limit")), "rule-limits"), 50_000)
-        core = near.join(limit, GROUP).filter("_d <= _limit").groupBy(*GROUP).agg(F.first("_n").alias("_n"), *moments)
-        model = durable(estimate(core, 1 / share), "rule-model")
-    return model
+    keys = [*GROUP, "_start"]
+
+    def step(model: DataFrame) -> DataFrame:
+        near = held.drop("_n").join(sized(model.select(*keys, "_n", *CENTRE, *PRECISION), 50_000), GROUP).withColumn("_d", squared_distance())
+        limit = sized(durable(near.groupBy(*keys).agg(F.percentile_approx("_d", share, 2000).alias("_limit")), "rule-limits"), 50_000)
+        core = near.join(limit, keys).filter("_d <= _limit").groupBy(*keys).agg(F.first("_n").alias("_n"), *moments())
+        return durable(with_precision(covariances(core, 1 / share), keys), "rule-model")
+
+    # Starts differ in how many rows they count, so determinants are compared from the first step on.
+    active = step(durable(with_precision(starts(held), keys), "rule-model"))
+    ended = []
+    while True:
+        after = step(active)
+        both = active.join(after.select(*keys, F.col("_det").alias("_after")), keys)
+        still = F.col("_after") < F.col("_det") - fall
+        ended.append(durable(both.filter(~still).drop("_after"), "rule-ended"))
+        active = durable(after.join(both.filter(still).select(*keys), keys, "left_semi"), "rule-active")
+        if active.isEmpty():
+            break
+    every = ended[0]
+    for more in ended[1:]:
+        every = every.unionByName(more)
+    best = every.groupBy(*GROUP).agg(F.min_by(F.struct("_n", *CENTRE, *SPREAD, *PRECISION), F.struct("_det", "_start")).alias("_best"))
+    return durable(best.select(*GROUP, "_best.*"), "rule-best")
 
 
 def judged(rows: DataFrame, model: DataFrame, sure: float) -> DataFrame:
     """Add _outlier to rows with GROUP and x*, by the narrowest level that has an estimate."""
-    estimate_of = F.struct(*[f"c{i}" for i in range(WIDTH)], *PRECISION)
+    estimate_of = F.struct(*CENTRE, *PRECISION)
     whole = F.col("_lang") == "\x00"
     any_source = ~whole & (F.col("_source") == "\x00")
     own = model.filter(~whole & ~any_source).select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), estimate_of.alias("_m1"))
