@@ -187,18 +187,17 @@ def starts(held: DataFrame) -> DataFrame:
     return first.select(columns).unionByName(drawn.select(columns))
 
 
-def fit(rows: DataFrame, share: float = 0.75, least: int = 200, fall: float = 0.001) -> DataFrame:
+def fit(rows: DataFrame, share: float = 0.75, fall: float = 0.001) -> DataFrame:
     """Estimates for each language and source: _lang, _source, _n, c*, v**, p**. rows: durable, GROUP and x*.
 
     Concentration steps go on from every start while they lower the determinant's logarithm by more than ``fall``; of the
     starts, the one with the least determinant stays. It is bounded below by the floors, so the steps end.
-    A group of fewer than ``least`` rows is too small for an estimate; its language's, in the end all rows', stands in
-    (rows with a null _source, and with null _lang and _source). A row counts at each of these levels.
+    Every group has an estimate, however small, and so have each language and all rows (_source, or _lang and _source, of
+    one null character); shrunken() weighs them. A row counts at each of these levels.
     """
     levels = F.explode(F.array(F.struct("_lang", "_source"), F.struct(F.col("_lang"), F.lit("\x00").alias("_source")), F.struct(F.lit("\x00").alias("_lang"), F.lit("\x00").alias("_source"))))
     wide = rows.select(levels.alias("_g"), *FIELDS).select("_g.*", *FIELDS)
-    sizes = wide.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")).filter((F.col("_n") >= least) | (F.col("_lang") == "\x00"))
-    sizes = durable(sizes, "rule-groups")
+    sizes = durable(wide.groupBy(*GROUP).agg(F.count(F.lit(1)).alias("_n")), "rule-groups")
     held = wide.join(sized(sizes, 50_000), GROUP)
     keys = [*GROUP, "_start"]
 
@@ -226,14 +225,35 @@ def fit(rows: DataFrame, share: float = 0.75, least: int = 200, fall: float = 0.
     return durable(best.select(*GROUP, "_best.*"), "rule-best")
 
 
-def judged(rows: DataFrame, model: DataFrame, sure: float) -> DataFrame:
-    """Add _outlier to rows with GROUP and x*, by the narrowest level that has an estimate."""
-    estimate_of = F.struct(*CENTRE, *PRECISION)
+def shrunken(model: DataFrame, halfway: float = 50.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Estimates of the groups, the languages and all rows, each but the last shrunk towards the wider one.
+
+    A centre and covariance of n rows has the weight n / (n + ``halfway``), the wider level's the rest, so that an
+    estimate moves smoothly with n; a group without rows would have its language's.
+    """
+    values = [*CENTRE, *SPREAD]
     whole = F.col("_lang") == "\x00"
     any_source = ~whole & (F.col("_source") == "\x00")
-    own = model.filter(~whole & ~any_source).select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), estimate_of.alias("_m1"))
-    language = model.filter(any_source).select(F.col("_lang").alias("_l"), estimate_of.alias("_m2"))
-    every = model.filter(whole).select(F.lit(1).alias("_one"), estimate_of.alias("_m3"))
+    own_share = F.col("_n") / (F.col("_n") + halfway)
+
+    def mixed(narrow: DataFrame, wide: DataFrame, keys: list[str]) -> DataFrame:
+        both = narrow.join(wide.select(*keys, *(F.col(v).alias(f"_{v}") for v in values)), keys) if keys else narrow.crossJoin(F.broadcast(wide.select(*(F.col(v).alias(f"_{v}") for v in values))))
+        return both.select("_lang", "_source", "_n", *((own_share * F.col(v) + (1 - own_share) * F.col(f"_{v}")).alias(v) for v in values))
+
+    every = model.filter(whole)  # one row
+    language = durable(with_precision(mixed(model.filter(any_source), every, []), GROUP), "rule-languages")
+    own = durable(with_precision(mixed(model.filter(~whole & ~any_source), sized(language, 50_000), ["_lang"]), GROUP), "rule-own")
+    return own, language, every
+
+
+def judged(rows: DataFrame, model: DataFrame, sure: float) -> DataFrame:
+    """Add _outlier to rows with GROUP and x*, by their group's shrunken estimate; where no row of the group was
+    estimated, by its language's, which is then the whole weight."""
+    estimate_of = F.struct(*CENTRE, *PRECISION)
+    groups, languages, everything = shrunken(model)
+    own = groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), estimate_of.alias("_m1"))
+    language = languages.select(F.col("_lang").alias("_l"), estimate_of.alias("_m2"))
+    every = everything.select(F.lit(1).alias("_one"), estimate_of.alias("_m3"))
     out = rows.join(sized(own, 50_000), (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_o")), "left").drop("_l", "_o")
     out = out.join(sized(language, 50_000), F.col("_lang") == F.col("_l"), "left").drop("_l")
     out = out.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left")  # one row

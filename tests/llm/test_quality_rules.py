@@ -1,4 +1,4 @@
-"""The robust estimate of the quality rules: each part alone, convergence from several starts."""
+"""The robust estimate of the quality rules: each part alone, convergence from several starts, small groups."""
 
 import numpy as np
 import pytest
@@ -58,3 +58,25 @@ def test_estimate_is_no_worse_than_plain_steps_to_convergence(spark):
     middle = np.median(x, axis=0)
     spread = np.diag((1.4826 * np.median(np.abs(x - middle), axis=0)) ** 2 + np.array(list(quality_rules.PARTS.values())) ** 2)
     assert np.linalg.slogdet(got)[1] < plain_steps(x, middle, spread) + 0.02
+
+
+def test_every_group_is_shrunk_towards_its_language(spark):
+    """Each group counts by its size, 199 rows almost as much as 201; a language of few rows is judged by its own too."""
+    draw = np.random.default_rng(4)
+    sizes = {("en", "a"): (600, 0.0), ("fr", "a"): (199, 1.0), ("fr", "b"): (201, 1.0), ("de", "a"): (60, 2.0), ("de", "b"): (1, 2.0)}
+    rows = [(*g, *map(float, draw.normal(centre, 0.05, 4))) for g, (n, centre) in sizes.items() for _ in range(n)]
+    frame = spark.createDataFrame(rows, "_lang string, _source string, " + ", ".join(f"{f} double" for f in quality_rules.FIELDS))
+    model = quality_rules.fit(frame)
+    plain = {(r["_lang"], r["_source"]): r for r in model.collect()}
+    own, language, every = quality_rules.shrunken(model)
+    got = {(r["_lang"], r["_source"]): r for r in own.collect()}
+    assert set(got) == set(sizes)
+    wide = {r["_lang"]: r for r in language.collect()}
+    overall = every.first()
+    for (lang, source), row in got.items():
+        n, n_lang = sizes[lang, source][0], sum(k for (other, _), (k, _) in sizes.items() if other == lang)
+        for value in ("c0", "v00", "v12"):
+            by_language = (n_lang * plain[lang, "\x00"][value] + 50 * overall[value]) / (n_lang + 50)
+            assert np.isclose(wide[lang][value], by_language)
+            assert np.isclose(row[value], (n * plain[lang, source][value] + 50 * by_language) / (n + 50))
+    assert abs(got["fr", "a"]["c0"] - got["fr", "b"]["c0"]) < 0.03
