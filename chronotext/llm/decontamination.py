@@ -1,129 +1,175 @@
 """Benchmark decontamination by templates: finds benchmark items in documents, also with numbers, names or units changed.
 
-Texts become token templates in which numbers, names and units are typed placeholders. Every window of an item's template
-is indexed; a document is probed at every ``stride``-th window, which any shared run of ``window + stride - 1`` tokens
-must hit. Documents with a hit are then aligned in full: windows that lie on one diagonal of document and item count
-together, and the slots they cover must map the item's values to the document's values consistently. All steps are
-DataFrame expressions; exact positions and values are compared after the hash join, so hash collisions cannot pass.
+Texts become tokens in which numbers, names and units carry a mark of their type; without its value such a token is a
+typed placeholder. Every window of an item is indexed and every window of a document is looked up. A window is known by
+its template where it has enough plain tokens, else by its values: a row of placeholders alone says nothing. Documents
+with a hit are then aligned in full: windows that lie on one diagonal of document and item, or a few tokens beside it,
+count together, and the slots they cover must map the item's values to the document's values consistently. Every diagonal
+is tested and the best that passes is reported. All steps are DataFrame expressions; exact positions and values are
+compared after the hash join, so hash collisions cannot pass.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronotext.llm.common import durable, sized
 
-NUMBER, NAME, UNIT = "", "", ""
+#: Private characters that mark a token's type.
+NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+MARKS = f"{NUMBER}{NAME}{UNIT}"
 #: Unit words that count as a unit directly after a number.
 UNITS = "km|m|cm|mm|mi|miles?|ft|feet|inch(?:es)?|kg|g|mg|lbs?|oz|pounds?|tons?|l|ml|cl|liters?|litres?|gallons?|s|sec|seconds?|min|minutes?|h|hrs?|hours?|days?|weeks?|months?|years?|dollars?|cents?|euros?|usd|eur|percent|degrees?|mph|kmh|kw|kwh|w|v|hz|mb|gb|tb"
-VALUE = r"\p{N}+(?:[.,]\p{N}+)*"
+#: Words that often begin a sentence and are no names (English, German, French, Spanish).
+OPENERS = (
+    "The|An|This|That|These|Those|There|What|Which|Who|Whose|Whom|When|Where|Why|How|If|In|On|At|By|For|From|To|Of|And|Or|But|So|As|It|Its|He|She|They|We|You|"
+    "His|Her|Their|Our|My|Your|Is|Are|Was|Were|Do|Does|Did|Can|Could|Will|Would|Should|May|Let|Find|Given|Each|Every|All|Some|Then|After|Before|During|While|"
+    "Der|Die|Das|Ein|Eine|Und|Wie|Was|Wer|Wo|Wenn|Es|Er|Sie|Wir|Im|Am|Zu|Le|La|Les|Un|Une|Des|Du|Et|Il|Elle|Ils|Nous|Vous|Que|Qui|Quel|Quelle|Dans|"
+    "El|Los|Las|Una|De|En|Y|Si|Se|Con|Por|Para|Como"
+)
+#: Possessive, so that long runs of figures are passed in one step.
+VALUE = r"\p{N}++(?:[.,]\p{N}++)*+"
+
+
+def tokens(text: Column) -> Column:
+    """Tokens of a text, lower-cased; numbers, names and units begin with their mark.
+
+    A name is a capitalised word, wherever it stands, unless it is one of OPENERS, so a passage has the same tokens
+    whatever is around it. A unit follows a number directly.
+    """
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?<!\p{{N}}[.,]?)({VALUE}\s?)((?:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))", f"$1{UNIT}$2")
+    out = F.regexp_replace(out, VALUE, f"{NUMBER}$0")
+    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}{UNIT}])(?!(?:{OPENERS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?!\p{{L}})", f"{NAME}$0")
+    return F.regexp_extract_all(F.lower(out), F.lit(rf"{NUMBER}{VALUE}|[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
-def template(text: Column) -> Column:
-    """Tokens of a text, lower-cased, with placeholders. A name is a capitalised word inside a sentence."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?<![\p{{L}}\p{{N}}]){VALUE}(\s?)(?:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}])", f"{NUMBER}$1{UNIT}")
-    out = F.regexp_replace(out, VALUE, NUMBER)
-    out = F.regexp_replace(out, rf"(?<=[\p{{Ll}},;:{NUMBER}{UNIT}]\s)\p{{Lu}}[\p{{Ll}}\p{{M}}]+(?![\p{{L}}\p{{M}}])", NAME)
-    return F.regexp_extract_all(F.lower(out), F.lit(rf"[\p{{L}}\p{{M}}]+|[{NUMBER}{NAME}{UNIT}]"), F.lit(0))
+def is_slot(token: Column) -> Column:
+    return F.left(token, F.lit(1)).isin(*MARKS)
 
 
-def values(text: Column) -> Column:
-    """The same tokens with their own values; positions agree with template()."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(rf"{VALUE}|[\p{{L}}\p{{M}}]+|[{NUMBER}{NAME}{UNIT}]"), F.lit(0))
+def templates(values: str) -> Column:
+    """The tokens without the values of their slots."""
+    return F.transform(values, lambda v: F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
 
 
-def is_slot(token: Column) -> Column:
-    return token.isin(NUMBER, NAME, UNIT)
+def windows(tokens: str, size: int) -> Column:
+    """Array of (at, n, hash) of all windows of ``size`` tokens; empty for shorter texts."""
+    last = F.size(tokens) - size
+    each = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.lit(size).alias("n"), F.xxhash64(F.slice(F.col(tokens), i + 1, size)).alias("hash")))
+    return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<at:int,n:int,hash:bigint>>"))
 
 
-def windows(tokens: str, window: int, stride: int = 1) -> Column:
-    """Array of (at, hash) of the windows that start at every ``stride``-th token; empty for shorter texts."""
-    last = F.size(tokens) - window
-    return F.when(
-        last >= 0,
-        F.transform(F.sequence(F.lit(0), last, F.lit(stride)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(F.col(tokens), i + 1, window)).alias("hash"))),
-    ).otherwise(F.array().cast("array<struct<at:int,hash:bigint>>"))
+def known_by(templates: str, values: str, size: int, literals: int) -> Column:
+    """windows() by template where ``literals`` tokens are plain, else by values."""
+    plain = lambda at: F.size(F.filter(F.slice(F.col(templates), at + 1, size), lambda t: ~is_slot(t)))
+    by_value = lambda w: F.xxhash64(F.lit("="), F.slice(F.col(values), w["at"] + 1, size))
+    return F.transform(windows(templates, size), lambda w: F.when(plain(w["at"]) >= literals, w).otherwise(F.struct(w["at"].alias("at"), w["n"].alias("n"), by_value(w).alias("hash"))))
 
 
 def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """One row for each class of items with equal template and equal pattern of equal slot values: item, n_items, _it, _iv."""
-    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).alias("_item"), template(F.col(text)).alias("_it"), values(F.col(text)).alias("_iv"))
-    pattern = F.transform(F.zip_with("_it", "_iv", lambda t, v: F.when(is_slot(t), v)), lambda v: F.array_position(F.col("_iv"), v))
-    classes = rows.withColumn("_class", F.sha1(F.concat_ws(" ", F.col("_it"), F.transform(pattern, lambda p: F.coalesce(p, F.lit(0)).cast("string")))))
-    return classes.groupBy("_class").agg(F.min(F.struct("_item", "_it", "_iv")).alias("_r"), F.count(F.lit(1)).alias("n_items")).select("_r.*", "n_items")
+    """_item, _class (of equal template and equal pattern of equal slot values), _it, _iv (templates and values), _all (hash of the values)."""
+    rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).alias("_item"), tokens(F.col(text)).alias("_iv"))
+    rows = rows.withColumn("_it", templates("_iv"))
+    pattern = F.transform("_iv", lambda v: F.when(is_slot(v), F.array_position(F.col("_iv"), v)).otherwise(F.lit(0)).cast("string"))
+    return rows.withColumns({"_class": F.sha1(F.concat_ws(" ", F.col("_it"), pattern)), "_all": F.xxhash64("_iv")})
+
+
+def members(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item, class_item: which items contaminated() treats as one class, each named by its smallest item; null texts have none."""
+    rows = items_of(benchmark, item, item_text)
+    first = rows.groupBy("_class").agg(F.min("_item").alias("class_item"))
+    return rows.join(first, "_class").select(F.col("_item").alias(item), "class_item")
+
+
+def text_key(key: str) -> Column:
+    return F.coalesce(F.col(key).cast("string"), F.lit(""))
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, window: int = 8, stride: int = 4, literals: int = 4, least: int = 13, share: float = 0.8, agree: float = 0.75,
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, literals: int = 4, least: int = 13, share: float = 0.8, agree: float = 0.75, drift: int = 3, shortest: int = 3,
     key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
     """Pairs of a document and an item that it holds: key, item, matched_tokens, item_tokens, n_slots, reparameterised,
     n_items, _body.
 
-    A pair counts if the windows on its best diagonal cover ``least`` tokens of the item, or ``share`` of a shorter item,
-    and at least ``agree`` of the item's distinct slot values there meet a single document value each. Only windows with
-    ``literals`` plain tokens are indexed. Items of fewer than ``window`` tokens and null texts match nothing. Items with
-    the same template and slot pattern are one class, named by its smallest item (n_items: its size). Documents equal in
-    key and text give one row, null keys stay null (_body, a hash of the text, tells such documents apart); empty tables
-    give no rows; other columns are not read.
+    A pair counts if the windows on a diagonal and on those up to ``drift`` tokens beside it (words put in or left out)
+    cover ``least`` tokens of the item, or ``share`` of a shorter one, and at least ``agree`` of the item's distinct slot
+    values there meet a single document value each. A window with fewer than ``literals`` plain tokens must agree in its
+    values. An item of fewer than ``window`` tokens is one window and must be held whole; items of fewer than
+    ``shortest`` tokens, and null texts, match nothing.
+
+    Items with the same template and slot pattern are one class (n_items: its size; members() lists them). A pair names
+    the class's smallest item, or the smallest whose values the document repeats as they are over the whole item;
+    reparameterised is true if the covered values differ from the named item's. Documents equal in key and text give
+    one row, null keys stay null (_body, a hash of the text, tells such documents apart); empty and null document texts
+    match nothing; empty tables give no rows; other columns are not read.
     """
-    items = durable(items_of(benchmark, item, item_text), "benchmark-items")
-    index = items.select("_item", F.size("_it").alias("_length"), F.explode(windows("_it", window)).alias("_w"), "_it")
-    plain = F.size(F.filter(F.slice("_it", F.col("_w.at") + 1, window), lambda t: ~is_slot(t)))
-    index = durable(index.filter(plain >= literals).select("_item", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
+    all_items = durable(items_of(benchmark, item, item_text).filter(F.size("_iv") >= shortest), "benchmark-items")
+    items = durable(all_items.groupBy("_class").agg(F.min(F.struct("_item", "_it", "_iv")).alias("_r"), F.count(F.lit(1)).alias("n_items")).select("_class", "_r.*", "n_items"), "benchmark-classes")
+    sizes = sorted({r[0] for r in items.select(F.least(F.size("_it"), F.lit(window))).distinct().collect()}) or [window]
+    every = lambda made: F.concat(*[made(n) for n in sizes])  # noqa: E731  one size unless items are short
+    fitting = F.filter(every(lambda n: known_by("_it", "_iv", n, literals)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))
+    index = durable(items.select("_class", F.size("_it").alias("_length"), F.explode(fitting).alias("_w")).select("_class", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
     keyed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
-    # Which documents have a probed window in common with the benchmark at all.
-    probed = keyed.select("_key", "_body", template(F.col("_text")).alias("_dt")).select("_key", "_body", F.explode(windows("_dt", window, stride)).alias("_w"))
-    known = sized(index.select("_hash").distinct(), 500_000)
-    hit = durable(probed.select("_key", "_body", F.col("_w.hash").alias("_hash")).join(known, "_hash", "left_semi").select("_key", "_body").distinct(), "benchmark-hits")
+    # Which documents share a window's template with the benchmark at all; by template alone, which costs less to look up.
+    plain = items.select(F.explode(F.filter(every(lambda n: windows("_it", n)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))).alias("_w"))
+    known = sized(durable(plain.select(F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).distinct(), "benchmark-templates"), 500_000)
+    looked = keyed.select("_key", "_body", templates_of(F.col("_text")).alias("_dt")).select("_key", "_body", F.explode(every(lambda n: windows("_dt", n))).alias("_w"))
+    hit = durable(looked.select("_key", "_body", F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).join(known, ["_n", "_hash"], "left_semi").select("_key", "_body").distinct(), "benchmark-hits")
     # These documents in full: which diagonals they share with which items.
-    named = hit.select(F.coalesce(F.col("_key").cast("string"), F.lit("")).alias("_k"), F.col("_body").alias("_b"))
-    whole = keyed.join(sized(named, 500_000), (F.coalesce(F.col("_key").cast("string"), F.lit("")) == F.col("_k")) & (F.col("_body") == F.col("_b")), "left_semi")
-    whole = durable(whole.dropDuplicates(["_key", "_body"]).select("_key", "_body", template(F.col("_text")).alias("_dt"), values(F.col("_text")).alias("_dv")), "benchmark-documents")
-    placed = whole.select("_key", "_body", F.explode(windows("_dt", window)).alias("_w")).select("_key", "_body", F.col("_w.at").alias("_dpos"), F.col("_w.hash").alias("_hash"))
-    met = placed.join(sized(index, 500_000), "_hash").withColumn("_shift", F.col("_dpos") - F.col("_ipos"))
-    lines = met.groupBy("_key", "_body", "_item", "_length", "_shift").agg(F.array_sort(F.collect_set("_ipos")).alias("_at"))
-    covered = F.aggregate(
-        "_at",
-        F.struct(F.lit(0).alias("n"), F.lit(-window).alias("last")),
-        lambda a, p: F.struct((a["n"] + F.least(F.lit(window), p - a["last"])).alias("n"), p.alias("last")),
-    )["n"]
-    best = lines.withColumn("matched_tokens", covered).groupBy("_key", "_body", "_item", "_length").agg(F.max_by(F.struct("_shift", "_at", "matched_tokens"), F.struct("matched_tokens", -F.col("_shift"))).alias("_line")).select("_key", "_body", "_item", "_length", "_line.*")
-    enough = best.filter((F.col("matched_tokens") >= least) | (F.col("matched_tokens") >= F.ceil(share * F.col("_length"))))
-    both = enough.join(whole.withColumnRenamed("_key", "_k").withColumnRenamed("_body", "_b"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_body") == F.col("_b"))).join(sized(items, 20_000), "_item")
+    named = hit.select(text_key("_key").alias("_k"), F.col("_body").alias("_b"))
+    whole = keyed.join(sized(named, 500_000), (text_key("_key") == F.col("_k")) & (F.col("_body") == F.col("_b")), "left_semi")
+    whole = durable(whole.dropDuplicates(["_key", "_body"]).select("_key", "_body", tokens(F.col("_text")).alias("_dv")).withColumn("_dt", templates("_dv")), "benchmark-documents")
+    placed = whole.select("_key", "_body", F.explode(every(lambda n: known_by("_dt", "_dv", n, literals))).alias("_w"))
+    placed = placed.select("_key", "_body", F.col("_w.at").alias("_dpos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash"))
+    met = placed.join(sized(index, 500_000), ["_n", "_hash"]).withColumn("_shift", F.col("_dpos") - F.col("_ipos"))
+    pair = ["_key", "_body", "_class", "_length", "_n"]
+    lines = met.groupBy(*pair, "_shift").agg(F.collect_set("_ipos").alias("_at"))
+    # Each diagonal with those up to drift beside it; a place of the item that several cover counts once, by the first.
+    beside = Window.partitionBy(*pair).orderBy("_shift").rangeBetween(0, drift)
+    covers = F.flatten(F.transform("_near", lambda x: F.flatten(F.transform(x["_at"], lambda p: F.transform(F.sequence(p, p + F.col("_n") - 1), lambda q: F.struct(q.alias("p"), x["_shift"].alias("shift")))))))
+    bands = lines.withColumn("_near", F.collect_list(F.struct("_shift", "_at")).over(beside)).withColumn("_cover", F.array_sort(F.array_distinct(covers)))
+    bands = bands.withColumn("_spots", F.filter("_cover", lambda c, i: (i == 0) | (F.get("_cover", i - 1)["p"] != c["p"]))).withColumn("matched_tokens", F.size("_spots"))
+    enough = bands.filter((F.col("matched_tokens") >= least) | (F.col("matched_tokens") >= F.ceil(share * F.col("_length")))).select(*pair, "_shift", "_spots", "matched_tokens")
+    both = enough.join(whole.withColumnRenamed("_key", "_k").withColumnRenamed("_body", "_b"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_body") == F.col("_b"))).join(sized(items, 20_000), "_class")
     # Slots at the covered places, as (item value, document value); tokens there must agree exactly where they are plain.
-    spots = F.array_distinct(F.flatten(F.transform("_at", lambda p: F.sequence(p, p + window - 1))))
-    cells = F.transform(
-        spots,
-        lambda p: F.struct(
-            F.get("_it", p).alias("t"),
-            F.get("_dt", p + F.col("_shift")).alias("d"),
-            F.get("_iv", p).alias("iv"),
-            F.get("_dv", p + F.col("_shift")).alias("dv"),
-        ),
-    )
+    cells = F.transform("_spots", lambda s: F.struct(F.get("_it", s["p"]).alias("t"), F.get("_dt", s["p"] + s["shift"]).alias("d"), F.get("_iv", s["p"]).alias("iv"), F.get("_dv", s["p"] + s["shift"]).alias("dv")))
     slots = F.filter("_cells", lambda c: is_slot(c["t"]))
-    mapped = F.array_distinct(F.transform("_slots", lambda c: F.struct(c["t"].alias("t"), c["iv"].alias("iv"), c["dv"].alias("dv"))))
-    names = F.array_distinct(F.transform("_slots", lambda c: F.struct(c["t"].alias("t"), c["iv"].alias("iv"))))
-    single = F.size(F.filter("_names", lambda n: F.size(F.filter("_mapped", lambda m: (m["t"] == n["t"]) & (m["iv"] == n["iv"]))) == 1))
+    mapped = F.array_distinct(F.transform("_slots", lambda c: F.struct(c["iv"].alias("iv"), c["dv"].alias("dv"))))
+    names = F.array_distinct(F.transform("_slots", lambda c: c["iv"]))
+    single = F.size(F.filter("_names", lambda n: F.size(F.filter("_mapped", lambda m: m["iv"] == n)) == 1))
     told = both.withColumn("_cells", cells).filter(F.forall("_cells", lambda c: c["t"] == c["d"])).withColumn("_slots", slots).withColumns({"_mapped": mapped, "_names": names})
-    held = told.filter(single >= agree * F.size("_names"))
-    return held.select(
-        F.col("_key").alias(key),
-        F.col("_item").alias(item),
-        "matched_tokens",
-        F.col("_length").alias("item_tokens"),
-        F.size("_slots").alias("n_slots"),
-        F.exists("_mapped", lambda m: m["iv"] != m["dv"]).alias("reparameterised"),
-        "n_items",
-        "_body",
+    held = told.filter(single >= agree * F.size("_names")).select(
+        *pair, "_item", "n_items", "_shift", "matched_tokens", F.size("_slots").alias("n_slots"), F.exists("_mapped", lambda m: m["iv"] != m["dv"]).alias("_other"),
+        F.xxhash64(F.slice("_dv", F.greatest(F.col("_shift"), F.lit(0)) + 1, F.col("_length"))).alias("_all"),
+    )
+    # A document's own values over the whole item may be those of another member of the class.
+    same = all_items.groupBy("_class", "_all").agg(F.min("_item").alias("_same"))
+    exact = durable(held, "benchmark-found").join(sized(same, 500_000), ["_class", "_all"], "left")
+    whole_copy = F.col("_same").isNotNull() & (F.col("matched_tokens") == F.col("_length"))
+    exact = exact.withColumns({"_named": F.when(whole_copy, F.col("_same")).otherwise(F.col("_item")), "_new": F.col("_other") & ~whole_copy})
+    best = exact.groupBy("_key", "_body", "_class").agg(
+        F.max_by(F.struct("_named", "matched_tokens", "_length", "n_slots", "_new", "n_items"), F.struct("matched_tokens", ~F.col("_new"), -F.col("_shift"))).alias("_b")
     )
+    return best.select(
+        F.col("_key").alias(key), F.col("_b._named").alias(item), F.col("_b.matched_tokens").alias("matched_tokens"), F.col("_b._length").alias("item_tokens"),
+        F.col("_b.n_slots").alias("n_slots"), F.col("_b._new").alias("reparameterised"), F.col("_b.n_items").alias("n_items"), "_body",
+    )
+
+
+def templates_of(text: Column) -> Column:
+    """The templates of tokens(), by one replacement more instead of a step over each token."""
+    return F.regexp_extract_all(F.regexp_replace(F.array_join(tokens(text), " "), rf"([{MARKS}])[^ ]+", "$1"), F.lit("[^ ]+"), F.lit(0))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings: object) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item."""
+    """The rows of ``docs`` that hold no benchmark item, with their columns as they are.
+
+    Repeated rows stay or go together, null keys and texts included; rows without text stay; an empty benchmark keeps all.
+    """
     found = contaminated(docs, benchmark, key=key, text=text, **settings)
-    leaks = durable(found.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("_body").alias("_b")).distinct(), "benchmark-leaks")
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_b"))
+    leaks = durable(found.select(text_key(key).alias("_k"), F.col("_body").alias("_b")).distinct(), "benchmark-leaks")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), text_key(key).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_b"))
     return named.join(sized(leaks, 500_000), ["_k", "_b"], "left_anti").select("_row.*")
