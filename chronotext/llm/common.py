@@ -34,6 +34,15 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
+def spread(df: DataFrame, few: int = 8) -> DataFrame:
+    """Deal the rows to all cores where the input is only a ``few`` files, which one task each would read; else ``df``.
+
+    A table of so few files is small. Larger inputs stay as Spark splits them, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < min(few, cores) else df
+
+
 def arrow_map(df: DataFrame, step: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
     """Run ``step`` over Arrow batches; the executors have this package."""
     prepare(df.sparkSession)
@@ -50,6 +59,28 @@ def tasks_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def hot_keys(df: DataFrame, key: str, least: int = 200) -> DataFrame:
+    """_hot, _salts: values of a column that hold more than a quarter of an even task's rows, and over how many cells to
+    deal them. At most four times as many rows as there are tasks."""
+    tasks = tasks_of(df.sparkSession)
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
+    limit = max(least, df.count() // (4 * tasks))
+    return durable(counts.filter(F.col("_n") > limit).select("_hot", F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot-keys")
+
+
+def dealt_join(many: DataFrame, one: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Inner join on ``key``, where ``one`` has one row for each key and ``many`` may have any number.
+
+    Rows of a frequent key are dealt to cells by a hash of ``spread_by``, and the key's row of ``one`` is copied to each.
+    ``many`` must be cheap to read twice (a durable table).
+    """
+    hot = F.broadcast(hot_keys(many, key))  # bounded by the number of tasks
+    salts = F.coalesce("_salts", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_hot", "_salts")
+    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
+    return left.join(right, [key, "_salt"]).drop("_salt")
+
+
 def rank_in_groups(df: DataFrame, group: list[str], spread: Column, order: list[str], rank: str) -> DataFrame:
     """Add ``rank``: 0, 1, 2, ... without gaps inside each group, in no promised order.
 

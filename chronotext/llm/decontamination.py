@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from chronotext.llm.common import durable, sized
+from chronotext.llm.common import durable, sized, spread
 
 #: Private characters that mark a token's type.
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
@@ -112,11 +112,11 @@ def contaminated(
     every = lambda made: F.concat(*[made(n) for n in sizes])  # noqa: E731  one size unless items are short
     fitting = F.filter(every(lambda n: known_by("_it", "_iv", n, literals)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))
     index = durable(items.select("_class", F.size("_it").alias("_length"), F.explode(fitting).alias("_w")).select("_class", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
-    keyed = docs.select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
+    keyed = spread(docs.select(key, text)).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
     # Which documents share a window's template with the benchmark at all; by template alone, which costs less to look up.
     plain = items.select(F.explode(F.filter(every(lambda n: windows("_it", n)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))).alias("_w"))
     known = sized(durable(plain.select(F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).distinct(), "benchmark-templates"), 500_000)
-    looked = keyed.select("_key", "_body", templates_of(F.col("_text")).alias("_dt")).select("_key", "_body", F.explode(every(lambda n: windows("_dt", n))).alias("_w"))
+    looked = keyed.select("_key", "_body", tokens(F.col("_text")).alias("_dv")).select("_key", "_body", templates("_dv").alias("_dt")).select("_key", "_body", F.explode(every(lambda n: windows("_dt", n))).alias("_w"))
     hit = durable(looked.select("_key", "_body", F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).join(known, ["_n", "_hash"], "left_semi").select("_key", "_body").distinct(), "benchmark-hits")
     # These documents in full: which diagonals they share with which items.
     named = hit.select(text_key("_key").alias("_k"), F.col("_body").alias("_b"))
@@ -159,11 +159,6 @@ def contaminated(
     )
 
 
-def templates_of(text: Column) -> Column:
-    """The templates of tokens(), by one replacement more instead of a step over each token."""
-    return F.regexp_extract_all(F.regexp_replace(F.array_join(tokens(text), " "), rf"([{MARKS}])[^ ]+", "$1"), F.lit("[^ ]+"), F.lit(0))
-
-
 def keep_clean(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", **settings: object) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their columns as they are.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import arrow_map, durable, prepare, sized, tasks_of
+from chronotext.llm.common import arrow_map, durable, prepare, share_of, sized, spread, tasks_of
 
 COLUMNS_BITS = 15
 ORDERS = 3
@@ -26,15 +27,16 @@ MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], dtype=np.uint32)
 UNKNOWN = "und"
 
 
+@lru_cache(maxsize=1)
 def letter_table() -> np.ndarray:
-    """Which code points are letters; those above the first plane count as letters if Python says so of their block."""
-    return np.array([chr(c).isalpha() for c in range(0x30000)])
+    """Which of all code points are letters, as Python says; made once for each worker process."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def folded(text: str, letters: np.ndarray) -> np.ndarray:
     """Lower-cased code points in which every run of other characters is one space, with a space at both ends."""
     codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    codes = np.where(letters[np.minimum(codes, len(letters) - 1)], codes, np.uint32(32))
+    codes = np.where(letters[codes], codes, np.uint32(32))
     codes = np.concatenate([[32], codes, [32]]).astype(np.uint32)
     space = codes == 32
     return codes[~(space & np.r_[False, space[:-1]])]
@@ -136,7 +138,9 @@ def learn(docs: DataFrame, bound: int = 3000, least: int = 300) -> Model:
     """Fit on about ``bound`` whole documents (doc_id, text, lang): those of small hash, from each language an equal share.
 
     IDF is part of the classifier and comes from the same sample. Languages share the bound, but each may have
-    ``least``. Rows without text or language are not used; with no rows the model knows no language.
+    ``least``. Rows equal in id and language are chosen together, so where they are more than twice the bound, they are
+    thinned by a hash of id and text. Rows without text or language are not used; with no rows the model knows no
+    language.
     """
     spark = docs.sparkSession
     rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
@@ -146,6 +150,9 @@ def learn(docs: DataFrame, bound: int = 3000, least: int = 300) -> Model:
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 30)) / float(1 << 30)
     sample = rows.select("doc_id", "text", "lang", draw.alias("_draw")).join(sized(chance, 100_000), "lang").filter("_draw < _chance")
     sample = durable(sample.select("text", "lang", F.xxhash64("doc_id", "text").alias("_order")).repartition(min(64, tasks_of(spark)), "_order"), "language-rows")
+    most = 2 * max(bound, each * sizes.count())
+    if (drawn := sample.count()) > most:
+        sample = sample.filter(share_of(F.struct("_order", F.monotonically_increasing_id()), most, drawn))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
@@ -177,4 +184,4 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
         for texts in batches:
             yield pd.DataFrame([one.predict(t, letters) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.select(F.col(key), held_out(key).alias("held_out"), run(F.col(text)).alias("_p")).select(key, "held_out", "_p.lang_pred", "_p.score")
+    return spread(docs.select(key, text)).select(F.col(key), held_out(key).alias("held_out"), run(F.col(text)).alias("_p")).select(key, "held_out", "_p.lang_pred", "_p.score")

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from chronotext.llm.common import arrow_map, durable, rank_in_groups, sized, text_slices
+from chronotext.llm.common import arrow_map, durable, rank_in_groups, sized, spread, text_slices
 from chronotext.llm.tokens import byte_letters
 
 #: Characters that Python splits at and the tokenizer's white space does not hold.
@@ -96,7 +96,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str, length: int = 2048, end_id:
     Each document's ids are followed by ``end_id``, so a null or empty text gives one piece of one id. Repeated rows and
     null keys each give pieces of their own; an empty table gives none; other columns are neither read nor returned.
     """
-    source = docs.select(key, text)
+    source = spread(docs.select(key, text))
     schema = T.StructType([source.schema[0], *(T.StructField(n, T.LongType()) for n in ("start", "length", "doc_tokens")), T.StructField("ids", T.BinaryType())])
     end = np.array([end_id], dtype="<u4").tobytes()
 

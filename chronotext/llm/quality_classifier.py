@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronotext.llm.common import arrow_map, durable, prepare, share_of, sized, tasks_of, text_slices
+from chronotext.llm.common import arrow_map, durable, prepare, share_of, sized, spread, tasks_of, text_slices
 
 DIM, ONES, REACH = 48, 6, 2
 #: Of a pooled document: index and context vectors, and two shares of repeated words.
@@ -195,6 +195,8 @@ def context_vectors(sample: DataFrame, tokens: list[str], index: np.ndarray) ->
 def learn(docs: DataFrame, labels: DataFrame, bound: int = 4000, size: int = 8000, least: int = 3) -> Model:
     """Fit on at most about ``bound`` labelled documents, chosen by a hash of their id (every whole text of them).
 
+    Where ids repeat so often that more than twice as many rows are drawn, these are thinned by a hash of id and text.
+
     docs: doc_id, text; labels: doc_id, quality (0 or 1; of several the larger). A fifth of the sample sets the
     temperature. With labels of one kind only, or none, the model is a constant.
     """
@@ -205,6 +207,8 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = 4000, size: int = 800
     chosen = durable(kept.filter(share_of(F.col("doc_id"), bound, rows)), "labels")
     sample = docs.select("doc_id", "text").join(sized(chosen, 4 * bound), "doc_id").repartition(min(64, tasks_of(spark)), "doc_id")
     sample = durable(sample.select("text", "quality", F.xxhash64("doc_id", "text").alias("_order")), "labelled")
+    if (drawn := sample.count()) > 2 * bound:
+        sample = durable(sample.filter(share_of(F.struct("_order", F.monotonically_increasing_id()), bound, drawn)), "labelled")
     tokens = vocabulary_of(sample, size, least)
     index = np.stack([index_vector(t) for t in tokens])
     index /= ONES**0.5
@@ -263,12 +267,16 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     out; repeated rows are each scored; an empty table gives no rows; other columns are not read.
     """
     model = learn(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels.select("doc_id", "quality").filter(~held_out()), **settings)
-    out = docs.select(key, held_out(key).alias("held_out"), score(docs, model, text).alias("score"))
+    out = spread(docs.select(key, text)).select(key, held_out(key).alias("held_out"), score(docs, model, text).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", **settings: int) -> DataFrame:
-    """The rows of ``docs`` whose score is 0.5 or more."""
+    """The rows of ``docs`` whose score is 0.5 or more, with their columns as they are.
+
+    Repeated rows, null keys, null and blank texts are scored like any other; an empty table stays empty; without labels
+    of both kinds every row has the prior's score, 0.5 with none at all, and stays if that is 0.5 or more.
+    """
     model = learn(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), labels.select("doc_id", "quality").filter(~held_out()), **settings)
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score(docs, model, text).alias("_score"))
+    whole = spread(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), score(docs, model, text).alias("_score"))
     return whole.filter("_score >= 0.5").select("_row.*")

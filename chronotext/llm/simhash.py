@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chronotext.llm import resemblance
-from chronotext.llm.common import arrow_map, durable
+from chronotext.llm.common import arrow_map, dealt_join, durable, sized, spread
 
 BITS = 64
 #: Cost of a probe row, and of a candidate that is tested, in the planner's units.
 PROBE, TEST = 1.0, 0.1
+#: Fingerprints of one part's value that one cell holds, about.
+CELL = 4096
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -64,8 +66,8 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: str = "text", sketches: bool = False) -> DataFrame:
     """key, _fp (the 64 bits as a signed long), _body (xxhash64 of the text); with ``sketches`` also _sketch and _bands
     (see resemblance.sketch). No shuffle, whole texts."""
-    source = docs.select(F.col(key), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"))
-    more = [T.StructField("_sketch", T.BinaryType()), T.StructField("_bands", T.ArrayType(T.LongType()))] if sketches else []
+    source = spread(docs.select(key, text)).select(F.col(key), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"))
+    more = [T.StructField("_sketch", T.ArrayType(T.LongType())), T.StructField("_bands", T.ArrayType(T.IntegerType()))] if sketches else []
     schema = T.StructType([source.schema[0], T.StructField("_fp", T.LongType()), T.StructField("_body", T.LongType()), *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,12 +81,25 @@ def fingerprints(docs: DataFrame, shingle: int = 4, key: str = "doc_id", text: s
                     one, values = resemblance.sketch(hashes)
                     drawn.append(one)
                     bands.append(values)
-            extra = [pa.array(drawn, pa.binary()), pa.array(bands, pa.list_(pa.int64()))] if sketches else []
+            extra = [pa.array(drawn, pa.list_(pa.int64())), pa.array(bands, pa.list_(pa.int32()))] if sketches else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), batch.column(2), *extra], names=schema.names)
 
     return arrow_map(source, run, schema)
 
 
+def shingle_sets(docs: DataFrame, bodies: DataFrame, shingle: int, text: str = "text") -> DataFrame:
+    """_body, _set of the texts whose hash is in ``bodies``: the sorted distinct shingle hashes as bytes. Reads the texts."""
+    keyed = docs.select(F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
+    some = keyed.join(sized(bodies, 500_000), "_body", "left_semi").dropDuplicates(["_body"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["_body", "_set"])
+
+    return arrow_map(some, run, "_body long, _set binary")
+
+
 def bit_statistics(prints: DataFrame) -> tuple[int, np.ndarray]:
     """How many fingerprints there are, and how often each two bits are both set: 64 x 64 counts over all of them."""
 
@@ -232,26 +247,29 @@ def linked_prints(prints: DataFrame, distance: int = 4, more: DataFrame | None =
     rooted = durable(components(nodes, stars).select(F.col("node").alias("_fp"), F.col("root").alias("_root")), "star-roots")
     # Across components: under each value, the component with most fingerprints need not meet itself.
     by_root = filed(rooted, planned).groupBy("_part", "_value", "_root").agg(F.count(F.lit(1)).alias("_n"))
-    largest = by_root.groupBy("_part", "_value").agg(F.max(F.struct("_n", "_root")).alias("_top"), F.sum("_n").alias("_all")).select("_part", "_value", F.col("_top._root").alias("_most"))
-    shelf = filed(rooted, planned).join(largest, ["_part", "_value"])
-    asked = probes(rooted, planned).select(F.col("_fp").alias("_other"), F.col("_root").alias("_other_root"), "_part", "_value")
+    largest = by_root.groupBy("_part", "_value").agg(F.max(F.struct("_n", "_root")).alias("_top"), F.ceil(F.sum("_n") / CELL).cast("int").alias("_cells")).select("_part", "_value", F.col("_top._root").alias("_most"), "_cells")
+    largest = durable(largest, "largest-roots")
+    # A value that many fingerprints share is dealt to cells: those filed go to one each, those that ask to all.
+    place = ["_part", "_value", "_cell"]
+    shelf = filed(rooted, planned).join(largest, ["_part", "_value"]).withColumn("_cell", F.pmod(F.xxhash64("_fp", F.lit(5)), F.col("_cells")).cast("int"))
+    asked = probes(rooted, planned).join(largest, ["_part", "_value"]).withColumn("_cell", F.explode(F.sequence(F.lit(0), F.col("_cells") - 1)))
+    asked = asked.select(F.col("_fp").alias("_other"), F.col("_root").alias("_other_root"), *place, F.col("_most").alias("_other_most"))
     differ = (F.col("_root") != F.col("_other_root")) & near("_fp", "_other")
-    some = shelf.filter("_root <> _most").join(asked, (shelf["_part"] == asked["_part"]) & (shelf["_value"] == asked["_value"]) & differ)
-    rest = shelf.filter("_root = _most")
-    others = asked.alias("p").join(largest.alias("l"), (F.col("p._part") == F.col("l._part")) & (F.col("p._value") == F.col("l._value"))).filter(F.col("_other_root") != F.col("_most")).select("p.*")
-    more = rest.join(others, (rest["_part"] == others["_part"]) & (rest["_value"] == others["_value"]) & differ)
+    some = shelf.filter("_root <> _most").join(asked, place).filter(differ)
+    more = shelf.filter("_root = _most").join(asked.filter("_other_root <> _other_most"), place).filter(differ)
     pairs = some.select(F.col("_root").alias("a"), F.col("_other_root").alias("b")).unionByName(more.select(F.col("_root").alias("a"), F.col("_other_root").alias("b")))
     roots = rooted.select(F.col("_root").alias("node")).distinct()
     above = components(roots, pairs)
-    return rooted.join(above, F.col("_root") == F.col("node")).select("_fp", F.col("root").alias("_root"))
+    above = above.select(F.col("node").alias("_root"), "root")
+    return dealt_join(rooted, above, "_root", ["_fp"]).select("_fp", F.col("root").alias("_root"))
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
     """Per row of ``docs``: key, fingerprint (16 hexadecimal digits), component_id, _body, _kept_body.
 
     component_id is the smallest key that is reachable over links of ``distance`` or fewer differing bits, the row's own
-    key included. With ``similarity``, texts whose shingle sets overlap by that share (estimated, see resemblance) are
-    linked too. Null and blank texts have fingerprint zero, which links like any other; null keys are never smallest
+    key included. With ``similarity``, texts whose shingle sets overlap by that share are linked
+    too (see resemblance). Null and blank texts have fingerprint zero, which links like any other; null keys are never smallest
     unless a component has no other (then component_id is null). Repeated rows are each returned; an empty table gives
     no rows; other columns are not read. _body is a hash of the text, _kept_body that of the component's first row (by
     key, then body), which a filter keeps.
@@ -261,18 +279,32 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, key: s
     prints = durable(rows.groupBy("_fp").agg(first_row), "prints")
     more = None
     if similarity is not None:
-        # One sketch for each fingerprint, for texts that differ under one fingerprint are linked already.
-        drawn = rows.filter("_fp <> 0").groupBy("_fp").agg(F.min(F.struct("_sketch", "_bands")).alias("_s")).select("_fp", "_s.*")
-        more = resemblance.links(durable(drawn, "sketches"), similarity)
+        drawn = durable(rows.filter("_fp <> 0").drop(key).dropDuplicates(["_body"]), "sketches")
+        nodes = lambda found: found.select(F.col("a").alias("node")).union(found.select(F.col("b").alias("node"))).distinct()
+        joined = lambda found: components(nodes(found), found).select(F.col("node").alias("_fp"), F.col("root").alias("_root"))
+        more = resemblance.links(drawn, lambda bodies: shingle_sets(docs, bodies, shingle, text), joined, similarity)
     rooted = durable(linked_prints(prints, distance, more), "print-roots")
     first = rooted.join(prints, "_fp").groupBy("_root").agg(F.min("_first").alias("_first"))
-    named = rooted.join(first, "_root").select("_fp", F.col("_first.id").alias("component_id"), F.col("_first._body").alias("_kept_body"))
-    return rows.join(named, "_fp", "left").select(key, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "_body", "_kept_body")
+    named = dealt_join(rooted, durable(first, "component-firsts"), "_root", ["_fp"])
+    named = durable(named.select("_fp", F.col("_first.id").alias("component_id"), F.col("_first._body").alias("_kept_body")), "named-prints")
+    found = dealt_join(rows.select(key, "_fp", "_body"), named, "_fp", [key, "_body"])
+    return found.select(key, F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id", "_body", "_kept_body")
 
 
 def keep_one(docs: DataFrame, distance: int = 4, shingle: int = 4, key: str = "doc_id", text: str = "text", similarity: float | None = None) -> DataFrame:
-    """The rows of ``docs`` with one row of each group of near-duplicates: that with the smallest key."""
+    """The rows of ``docs`` with one row of each group of near-duplicates, that with the smallest key; columns as they are.
+
+    Rows equal in key and text count once; rows with a null key stay only where their group has no other; null and blank
+    texts are one group; an empty table stays empty.
+    """
     found = near_duplicates(docs, distance, shingle, key, text, similarity)
-    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id")) & (F.col("_body") == F.col("_kept_body"))).select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("_body").alias("_b")).distinct()
+    stays = F.col(key).eqNullSafe(F.col("component_id")) & (F.col("_body") == F.col("_kept_body"))
+    names = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.col("_body").alias("_b")]
+    told = found.groupBy(*names).agg(F.min(stays).alias("_stays"), F.count(F.lit(1)).alias("_n")).filter("NOT _stays OR _n > 1")
+    told = durable(told, "near-duplicates")  # the rows that go, and those that stay but repeat
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_b"))
-    return named.join(stay, ["_k", "_b"], "left_semi").dropDuplicates(["_k", "_b"]).select("_row.*")
+    kept = named.join(sized(told.select("_k", "_b"), 500_000), ["_k", "_b"], "left_anti")
+    repeated = told.filter("_stays").select("_k", "_b")
+    if not repeated.isEmpty():
+        kept = kept.unionByName(named.join(sized(repeated, 500_000), ["_k", "_b"], "left_semi").dropDuplicates(["_k", "_b"]))
+    return kept.select("_row.*")

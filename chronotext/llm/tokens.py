@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from chronotext.llm.common import arrow_map, text_slices
+from chronotext.llm.common import arrow_map, spread, text_slices
 
 #: The byte-level pre-tokenizer's pattern (a fixed value of the tokenizer file's kind).
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -149,7 +149,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     empty table gives no rows, and other columns of ``docs`` are neither read nor returned. Special strings inside a
     text count as one token, as the library's default does.
     """
-    source = docs.select(key, text)
+    source = spread(docs.select(key, text))
     schema = T.StructType([source.schema[0], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
