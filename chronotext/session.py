@@ -59,14 +59,17 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's own checkpoint folder.
 
-    Only where a session has none (a local session, tests) a temporary folder is made, as the context's checkpoint folder.
+    A local session that has neither (tests) gets a temporary folder. On a cluster that would be a disk of each machine,
+    so there it is an error.
     """
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(context, "_chronotext_folder", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        folder = context._chronotext_folder = tempfile.mkdtemp(prefix="chronotext-")
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="chronotext-")
         context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
