@@ -4,8 +4,9 @@ Statistics become transformed vectors. For each language and source a minimum-co
 centre and spread of the undisturbed majority: concentration steps take the three quarters of the rows that lie nearest
 to the current estimate and estimate again, until the determinant falls no more, from several starts, of which the least
 determinant wins. Every step is an aggregation of sums and quantile sketches over all rows; a group's estimate from one
-start is a row of a table, never a group of rows in one task. A document far from its group's centre, in a direction that
-speaks against it, is rejected.
+start is a row of a table, never a group of rows in one task. A document is rejected whose squared Mahalanobis distance
+from its group's centre exceeds a chi-square quantile, if it lies on the worse side of that centre: only then do its
+statistics, each in units of its spread, add up to more than the centre's.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronotext.llm.common import arrow_map, durable, prepare, sized
+from chronotext.llm.common import arrow_map, durable, prepare, sized, spread
 
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 COUNTED = (*STATS, "n_lines")
@@ -105,12 +106,22 @@ def vector(s: str = "") -> list[Column]:
     ]
 
 
+def chi_square(x: float, width: int) -> float:
+    """The distribution function of chi-square for an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(width // 2))
+
+
 def cutoff(share: float) -> float:
-    """The chi-square quantile of WIDTH degrees of freedom (Wilson and Hilferty's approximation)."""
-    from statistics import NormalDist
+    """The chi-square quantile of WIDTH degrees of freedom, by halving."""
+    low, high = 0.0, 1000.0
+    while high - low > 1e-9:
+        low, high = ((low + high) / 2, high) if chi_square((low + high) / 2, WIDTH) < share else (low, (low + high) / 2)
+    return high
 
-    a = 2 / (9 * WIDTH)
-    return WIDTH * (1 - a + NormalDist().inv_cdf(share) * math.sqrt(a)) ** 3
+
+def consistency(share: float) -> float:
+    """What the covariance of the nearest ``share`` of normal rows is to be multiplied by to be that of all of them."""
+    return share / chi_square(cutoff(share), WIDTH + 2)
 
 
 FIELDS = [f"x{i}" for i in range(WIDTH)]
@@ -119,13 +130,19 @@ PRECISION = [f"p{i}{j}" for i, j in PAIRS]
 GROUP = ["_lang", "_source"]
 
 
-def squared_distance(centre: str = "c", sides: bool = False) -> Column:
-    """Mahalanobis distance squared from columns x*, c*, p**; with ``sides`` only what lies above the centre counts."""
-    d = [F.greatest(F.col(f"x{i}") - F.col(f"{centre}{i}"), F.lit(0.0)) if sides else F.col(f"x{i}") - F.col(f"{centre}{i}") for i in range(WIDTH)]
+def squared_distance() -> Column:
+    """Mahalanobis distance squared from columns x*, c*, p**."""
+    d = [F.col(f"x{i}") - F.col(f"c{i}") for i in range(WIDTH)]
     terms = [(1 if i == j else 2) * F.col(f"p{i}{j}") * d[i] * d[j] for i, j in PAIRS]
     return sum(terms[1:], terms[0])
 
 
+def worse() -> Column:
+    """Whether the deviations from the centre, each in units of its spread, add up to more than zero; columns x*, c*, v**."""
+    terms = [(F.col(f"x{i}") - F.col(f"c{i}")) / F.sqrt(F.col(f"v{i}{i}") + least**2) for i, least in enumerate(PARTS.values())]
+    return sum(terms[1:], terms[0]) > 0
+
+
 CENTRE = [f"c{i}" for i in range(WIDTH)]
 SPREAD = [f"v{i}{j}" for i, j in PAIRS]
 #: Starts beside the medians: the moments of all rows, and of three small draws.
@@ -205,7 +222,7 @@ def fit(rows: DataFrame, share: float = 0.75, fall: float = 0.001) -> DataFrame:
         near = held.drop("_n").join(sized(model.select(*keys, "_n", *CENTRE, *PRECISION), 50_000), GROUP).withColumn("_d", squared_distance())
         limit = sized(durable(near.groupBy(*keys).agg(F.percentile_approx("_d", share, 2000).alias("_limit")), "rule-limits"), 50_000)
         core = near.join(limit, keys).filter("_d <= _limit").groupBy(*keys).agg(F.first("_n").alias("_n"), *moments())
-        return durable(with_precision(covariances(core, 1 / share), keys), "rule-model")
+        return durable(with_precision(covariances(core, consistency(share)), keys), "rule-model")
 
     # Starts differ in how many rows they count, so determinants are compared from the first step on.
     active = step(durable(with_precision(starts(held), keys), "rule-model"))
@@ -247,19 +264,19 @@ def shrunken(model: DataFrame, halfway: float = 50.0) -> tuple[DataFrame, DataFr
 
 
 def judged(rows: DataFrame, model: DataFrame, sure: float) -> DataFrame:
-    """Add _outlier to rows with GROUP and x*, by their group's shrunken estimate; where no row of the group was
-    estimated, by its language's, which is then the whole weight."""
-    estimate_of = F.struct(*CENTRE, *PRECISION)
+    """Add _outlier, distance (squared) and group_rows to rows with GROUP and x*, by their group's shrunken estimate; where
+    no row of the group was estimated (group_rows null), by its language's, which is then the whole weight."""
     groups, languages, everything = shrunken(model)
-    own = groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), estimate_of.alias("_m1"))
+    estimate_of = F.struct(*CENTRE, *(f"v{i}{i}" for i in range(WIDTH)), *PRECISION)
+    own = groups.select(F.col("_lang").alias("_l"), F.col("_source").alias("_o"), F.col("_n").alias("group_rows"), estimate_of.alias("_m1"))
     language = languages.select(F.col("_lang").alias("_l"), estimate_of.alias("_m2"))
     every = everything.select(F.lit(1).alias("_one"), estimate_of.alias("_m3"))
     out = rows.join(sized(own, 50_000), (F.col("_lang") == F.col("_l")) & (F.col("_source") == F.col("_o")), "left").drop("_l", "_o")
     out = out.join(sized(language, 50_000), F.col("_lang") == F.col("_l"), "left").drop("_l")
     out = out.withColumn("_one", F.lit(1)).join(F.broadcast(every), "_one", "left")  # one row
-    out = out.withColumn("_m", F.coalesce("_m1", "_m2", "_m3")).select(*rows.columns, "_m.*")
-    far = squared_distance(sides=True) > cutoff(sure)
-    return out.withColumn("_outlier", F.coalesce(far, F.lit(False))).select(*rows.columns, "_outlier")
+    out = out.withColumn("_m", F.coalesce("_m1", "_m2", "_m3")).select(*rows.columns, "group_rows", "_m.*").withColumn("distance", squared_distance())
+    far = (F.col("distance") > cutoff(sure)) & worse()
+    return out.withColumn("_outlier", F.coalesce(far, F.lit(False))).select(*rows.columns, "_outlier", "distance", "group_rows")
 
 
 def vectors(counted: DataFrame, s: str = "") -> DataFrame:
@@ -270,27 +287,40 @@ def group_columns(lang: str, source: str) -> list[Column]:
     return [F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("_lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("_source")]
 
 
+def measured(docs: DataFrame, named: list[Column], text: str, lang: str, source: str) -> DataFrame:
+    """``named`` columns, GROUP, COUNTED and x* of each row: a durable table, so that texts are read and counted once."""
+    prepare(docs.sparkSession)
+    narrow = docs.select(*named, *group_columns(lang, source), stats_column(text).alias("_s"))
+    return durable(vectors(narrow.select("*", "_s.*").drop("_s")), "rule-rows")
+
+
 def quality_rules(docs: DataFrame, sure: float = 0.99999, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """Per row of ``docs``: key, STATS, base_failed, kept.
+    """Per row of ``docs``: key, STATS, base_failed, kept, distance (squared), group_rows.
 
     kept is false where the plain rules fail (fewer than MIN_WORDS words, or more than MAX_REPEAT_PERCENT % of them in
-    repeated windows) or where the vector of transformed statistics is an outlier at the chi-square level ``sure``, on
-    the side of more symbols, repeats or longer words. Null text counts as empty (fails); null language or source is a
-    group of its own. Estimates use the documents that pass the plain rules; with none of them nothing is an outlier.
-    Repeated rows each count; an empty table gives no rows; other columns are not read.
+    repeated windows) or where the squared distance of the vector of transformed statistics from its group's centre
+    exceeds the chi-square quantile ``sure`` on the worse side (see worse). group_rows is how many rows the group's own
+    estimate counts (null: none passed the plain rules, its language's estimate judges). Null text counts as empty
+    (fails); null language or source is a group of its own. Estimates use the documents that pass the plain rules; with
+    none of them nothing is an outlier and distance is null. Repeated rows each count; an empty table gives no rows;
+    other columns are not read.
     """
-    prepare(docs.sparkSession)
-    narrow = docs.select(F.col(key).alias("_key"), *group_columns(lang, source), stats_column(text).alias("_s")).select("_key", *GROUP, "_s.*")
-    rows = durable(vectors(narrow), "rule-rows")
+    rows = measured(spread(docs.select(F.col(key).alias("_key"), text, lang, source)), [F.col("_key")], text, lang, source)
     model = fit(rows.filter(~failed()).select(*GROUP, *FIELDS))
     out = judged(rows.withColumn("base_failed", failed()), model, sure)
-    return out.select(F.col("_key").alias(key), *STATS, "base_failed", (~F.col("base_failed") & ~F.col("_outlier")).alias("kept"))
+    return out.select(F.col("_key").alias(key), *STATS, "base_failed", (~F.col("base_failed") & ~F.col("_outlier")).alias("kept"), "distance", "group_rows")
 
 
 def keep_good(docs: DataFrame, sure: float = 0.99999, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows of ``docs`` that quality_rules keeps. Statistics are computed again rather than joined on a key."""
-    prepare(docs.sparkSession)
-    sample = docs.select(*group_columns(lang, source), stats_column(text).alias("_s")).select(*GROUP, "_s.*")
-    model = fit(durable(vectors(sample.filter(~failed())).select(*GROUP, *FIELDS), "rule-rows"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *group_columns(lang, source), stats_column(text).alias("_s"))
-    return judged(vectors(whole.filter(~failed("_s.")), "_s."), model, sure).filter(~F.col("_outlier")).select("_row.*")
+    """The rows of ``docs`` that quality_rules keeps, with their columns as they are.
+
+    Rows equal in key, text, language and source stay or go together; null keys are told apart by the rest; an empty
+    table stays empty. Only the rows to drop, by hashes, meet the texts again.
+    """
+    named = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_k"), F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in (text, lang, source))).alias("_b")]
+    rows = measured(spread(docs.select(*dict.fromkeys((key, text, lang, source)))), named, text, lang, source)
+    model = fit(rows.filter(~failed()).select(*GROUP, *FIELDS))
+    out = judged(rows, model, sure).filter(failed() | F.col("_outlier"))
+    dropped = durable(out.select("_k", "_b").distinct(), "rule-dropped")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *named)
+    return whole.join(sized(dropped, 500_000), ["_k", "_b"], "left_anti").select("_row.*")

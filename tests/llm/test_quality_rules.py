@@ -42,7 +42,7 @@ def plain_steps(x, centre, cov):
     while True:
         d = x - centre
         near = np.argsort(np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d))[: int(np.ceil(0.75 * len(x)))]
-        centre, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) / 0.75 + floor
+        centre, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) * quality_rules.consistency(0.75) + floor
         if (now := np.linalg.slogdet(cov)[1]) > last - 1e-9:
             return now
         last = now
@@ -80,3 +80,30 @@ def test_every_group_is_shrunk_towards_its_language(spark):
             assert np.isclose(wide[lang][value], by_language)
             assert np.isclose(row[value], (n * plain[lang, source][value] + 50 * by_language) / (n + 50))
     assert abs(got["fr", "a"]["c0"] - got["fr", "b"]["c0"]) < 0.03
+
+
+def test_verdict_is_the_mahalanobis_distance_of_numpy(spark):
+    """Distances and verdicts of one group by plain numpy steps; both sides of the centre."""
+    draw = np.random.default_rng(9)
+    x = np.vstack([draw.normal(1, 0.3, (900, 4)), draw.normal(1, 0.3, (40, 4)) + 3, draw.normal(1, 0.3, (40, 4)) - 3])
+    frame = spark.createDataFrame([(i, "en", "a", *map(float, r)) for i, r in enumerate(x)], "_key long, _lang string, _source string, " + ", ".join(f"{f} double" for f in quality_rules.FIELDS))
+    rows = {r["_key"]: r for r in quality_rules.judged(frame, quality_rules.fit(frame.drop("_key")), 0.99999).collect()}
+    centre, cov = np.median(x, axis=0), np.diag(np.full(4, 0.09))
+    for _ in range(50):
+        d = x - centre
+        near = np.argsort(np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d))[: int(np.ceil(0.75 * len(x)))]
+        centre, cov = x[near].mean(axis=0), np.cov(x[near].T, bias=True) * quality_rules.consistency(0.75) + np.diag(np.array(list(quality_rules.PARTS.values())) ** 2)
+    d = x - centre
+    want = np.einsum("ni,ij,nj->n", d, np.linalg.inv(cov), d)
+    got = np.array([rows[i]["distance"] for i in range(len(x))])
+    assert np.allclose(got, want, rtol=0.35)  # the estimate of all rows and the floors are mixed in by the shrinking
+    assert [rows[i]["_outlier"] for i in range(900, 940)] == [True] * 40
+    assert not any(rows[i]["_outlier"] for i in range(940, 980)) and sum(rows[i]["_outlier"] for i in range(900)) <= 2
+    assert {r["group_rows"] for r in rows.values()} == {980}
+
+
+def test_quantiles_and_consistency():
+    assert abs(quality_rules.cutoff(0.95) - 9.4877) < 1e-3 and abs(quality_rules.cutoff(0.75) - 5.3853) < 1e-3
+    normal = np.random.default_rng(1).normal(size=(200_000, 4))
+    near = normal[np.argsort((normal**2).sum(axis=1))[:150_000]]
+    assert abs(quality_rules.consistency(0.75) * near.var() - 1) < 0.02
