@@ -39,9 +39,9 @@ def tokens(text: Column) -> Column:
     A name is a capitalised word, wherever it stands, unless it is one of OPENERS, so a passage has the same tokens
     whatever is around it. A unit follows a number directly.
     """
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?<!\p{{N}}[.,]?)({VALUE}\s?)((?:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))", f"$1{UNIT}$2")
+    out = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?i)(?=\p{{N}})(?<!\p{{N}}[.,]?)({VALUE}\s?)((?:{UNITS})(?![\p{{L}}\p{{M}}\p{{N}}]))", f"$1{UNIT}$2")
     out = F.regexp_replace(out, VALUE, f"{NUMBER}$0")
-    out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{M}}{UNIT}])(?!(?:{OPENERS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?!\p{{L}})", f"{NAME}$0")
+    out = F.regexp_replace(out, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{M}}{UNIT}])(?!(?:{OPENERS})(?![\p{{L}}\p{{M}}]))\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?!\p{{L}})", f"{NAME}$0")
     return F.regexp_extract_all(F.lower(out), F.lit(rf"{NUMBER}{VALUE}|[{NAME}{UNIT}]?[\p{{L}}\p{{M}}]+"), F.lit(0))
 
 
@@ -54,6 +54,31 @@ def templates(values: str) -> Column:
     return F.transform(values, lambda v: F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
 
 
+def hashed(df: DataFrame, values: str, sizes: list[int]) -> DataFrame:
+    """Replace the tokens ``values`` by ``_h``, the hashes of their templates' windows of all ``sizes``, with no places.
+
+    A window's hash is made of its halves' hashes, so that each takes few steps; sizes may be up to 15. Read ``_h`` with
+    explode_outer: for explode, Spark infers a filter on the array's size and makes the array once more for it.
+    """
+    rest = [c for c in df.columns if c != values]
+    one = lambda v: F.xxhash64(F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
+    out = df.select(*rest, F.transform(values, one).alias("_p1"))
+    from_ = lambda p, at, n: F.slice(p, F.lit(at + 1), F.greatest(n, F.lit(0)))
+    both = lambda a, b: F.xxhash64(a, b)
+    powers = [k for k in (1, 2, 4, 8) if k <= max(sizes)]
+    for k in powers[1:]:
+        half, n = f"_p{k // 2}", F.size("_p1") - k + 1
+        out = out.select("*", F.zip_with(from_(half, 0, n), from_(half, k // 2, n), both).alias(f"_p{k}"))
+    made = []
+    for size in sizes:
+        n, at, whole = F.size("_p1") - size + 1, 0, None
+        for k in [k for k in reversed(powers) if size & k]:
+            part = from_(f"_p{k}", at, n)
+            whole, at = part if whole is None else F.zip_with(whole, part, both), at + k
+        made.append(whole)
+    return out.select(*rest, F.concat(*made).alias("_h"))
+
+
 def windows(tokens: str, size: int) -> Column:
     """Array of (at, n, hash) of all windows of ``size`` tokens; empty for shorter texts."""
     last = F.size(tokens) - size
@@ -111,18 +136,22 @@ def contaminated(
     sizes = sorted({r[0] for r in items.select(F.least(F.size("_it"), F.lit(window))).distinct().collect()}) or [window]
     every = lambda made: F.concat(*[made(n) for n in sizes])  # noqa: E731  one size unless items are short
     fitting = F.filter(every(lambda n: known_by("_it", "_iv", n, literals)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))
-    index = durable(items.select("_class", F.size("_it").alias("_length"), F.explode(fitting).alias("_w")).select("_class", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
+    index = durable(items.select("_class", F.size("_it").alias("_length"), F.explode_outer(fitting).alias("_w")).select("_class", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
     keyed = spread(docs.select(key, text)).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
     # Which documents share a window's template with the benchmark at all; by template alone, which costs less to look up.
-    plain = items.select(F.explode(F.filter(every(lambda n: windows("_it", n)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))).alias("_w"))
-    known = sized(durable(plain.select(F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).distinct(), "benchmark-templates"), 500_000)
-    looked = keyed.select("_key", "_body", tokens(F.col("_text")).alias("_dv")).select("_key", "_body", templates("_dv").alias("_dt")).select("_key", "_body", F.explode(every(lambda n: windows("_dt", n))).alias("_w"))
-    hit = durable(looked.select("_key", "_body", F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")).join(known, ["_n", "_hash"], "left_semi").select("_key", "_body").distinct(), "benchmark-hits")
+    plain = items.select(F.least(F.size("_it"), F.lit(window)).alias("_n"), "_iv")
+    sized_windows = [hashed(plain.filter(F.col("_n") == n).select("_iv"), "_iv", [n]) for n in sizes]
+    known = sized_windows[0]
+    for more in sized_windows[1:]:
+        known = known.unionByName(more)
+    known = sized(durable(known.select(F.explode_outer("_h").alias("_hash")).distinct(), "benchmark-templates"), 500_000)
+    looked = hashed(keyed.select("_key", "_body", tokens(F.col("_text")).alias("_dv")), "_dv", sizes).select("_key", "_body", F.explode_outer("_h").alias("_hash"))
+    hit = durable(looked.join(known, "_hash", "left_semi").select("_key", "_body").distinct(), "benchmark-hits")
     # These documents in full: which diagonals they share with which items.
     named = hit.select(text_key("_key").alias("_k"), F.col("_body").alias("_b"))
     whole = keyed.join(sized(named, 500_000), (text_key("_key") == F.col("_k")) & (F.col("_body") == F.col("_b")), "left_semi")
     whole = durable(whole.dropDuplicates(["_key", "_body"]).select("_key", "_body", tokens(F.col("_text")).alias("_dv")).withColumn("_dt", templates("_dv")), "benchmark-documents")
-    placed = whole.select("_key", "_body", F.explode(every(lambda n: known_by("_dt", "_dv", n, literals))).alias("_w"))
+    placed = whole.select("_key", "_body", F.explode_outer(every(lambda n: known_by("_dt", "_dv", n, literals))).alias("_w"))
     placed = placed.select("_key", "_body", F.col("_w.at").alias("_dpos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash"))
     met = placed.join(sized(index, 500_000), ["_n", "_hash"]).withColumn("_shift", F.col("_dpos") - F.col("_ipos"))
     pair = ["_key", "_body", "_class", "_length", "_n"]
@@ -130,8 +159,11 @@ def contaminated(
     # Each diagonal with those up to drift beside it; a place of the item that several cover counts once, by the first.
     beside = Window.partitionBy(*pair).orderBy("_shift").rangeBetween(0, drift)
     covers = F.flatten(F.transform("_near", lambda x: F.flatten(F.transform(x["_at"], lambda p: F.transform(F.sequence(p, p + F.col("_n") - 1), lambda q: F.struct(q.alias("p"), x["_shift"].alias("shift")))))))
-    bands = lines.withColumn("_near", F.collect_list(F.struct("_shift", "_at")).over(beside)).withColumn("_cover", F.array_sort(F.array_distinct(covers)))
-    bands = bands.withColumn("_spots", F.filter("_cover", lambda c, i: (i == 0) | (F.get("_cover", i - 1)["p"] != c["p"]))).withColumn("matched_tokens", F.size("_spots"))
+    bands = lines.withColumn("_near", F.collect_list(F.struct("_shift", "_at")).over(beside)).select(*pair, "_shift", F.array_sort(F.array_distinct(covers)).alias("_cover"))
+    first = lambda out, c: F.when((F.size(out) == 0) | (F.element_at(out, -1)["p"] != c["p"]), F.array_append(out, c)).otherwise(out)
+    bands = bands.withColumn("_spots", F.aggregate("_cover", F.array().cast("array<struct<p:int,shift:int>>"), first))
+    # Tables between the steps keep a filter from repeating the steps before it inside its own.
+    bands = durable(bands.drop("_cover"), "benchmark-bands").withColumn("matched_tokens", F.size("_spots"))
     enough = bands.filter((F.col("matched_tokens") >= least) | (F.col("matched_tokens") >= F.ceil(share * F.col("_length")))).select(*pair, "_shift", "_spots", "matched_tokens")
     both = enough.join(whole.withColumnRenamed("_key", "_k").withColumnRenamed("_body", "_b"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_body") == F.col("_b"))).join(sized(items, 20_000), "_class")
     # Slots at the covered places, as (item value, document value); tokens there must agree exactly where they are plain.
@@ -140,14 +172,14 @@ def contaminated(
     mapped = F.array_distinct(F.transform("_slots", lambda c: F.struct(c["iv"].alias("iv"), c["dv"].alias("dv"))))
     names = F.array_distinct(F.transform("_slots", lambda c: c["iv"]))
     single = F.size(F.filter("_names", lambda n: F.size(F.filter("_mapped", lambda m: m["iv"] == n)) == 1))
-    told = both.withColumn("_cells", cells).filter(F.forall("_cells", lambda c: c["t"] == c["d"])).withColumn("_slots", slots).withColumns({"_mapped": mapped, "_names": names})
-    held = told.filter(single >= agree * F.size("_names")).select(
-        *pair, "_item", "n_items", "_shift", "matched_tokens", F.size("_slots").alias("n_slots"), F.exists("_mapped", lambda m: m["iv"] != m["dv"]).alias("_other"),
-        F.xxhash64(F.slice("_dv", F.greatest(F.col("_shift"), F.lit(0)) + 1, F.col("_length"))).alias("_all"),
-    )
+    own = F.xxhash64(F.slice("_dv", F.greatest(F.col("_shift"), F.lit(0)) + 1, F.col("_length"))).alias("_all")
+    told = durable(both.select(*pair, "_item", "n_items", "_shift", "matched_tokens", own, cells.alias("_cells")), "benchmark-cells")
+    told = told.filter(F.forall("_cells", lambda c: c["t"] == c["d"])).withColumn("_slots", slots).withColumns({"_mapped": mapped, "_names": names}).drop("_cells")
+    told = durable(told, "benchmark-slots")
+    held = told.filter(single >= agree * F.size("_names")).withColumns({"n_slots": F.size("_slots"), "_other": F.exists("_mapped", lambda m: m["iv"] != m["dv"])})
     # A document's own values over the whole item may be those of another member of the class.
     same = all_items.groupBy("_class", "_all").agg(F.min("_item").alias("_same"))
-    exact = durable(held, "benchmark-found").join(sized(same, 500_000), ["_class", "_all"], "left")
+    exact = held.join(sized(same, 500_000), ["_class", "_all"], "left")
     whole_copy = F.col("_same").isNotNull() & (F.col("matched_tokens") == F.col("_length"))
     exact = exact.withColumns({"_named": F.when(whole_copy, F.col("_same")).otherwise(F.col("_item")), "_new": F.col("_other") & ~whole_copy})
     best = exact.groupBy("_key", "_body", "_class").agg(
