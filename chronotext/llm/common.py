@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from chronotext.session import shared_path, ship
 
 Batches = Iterator[pa.RecordBatch]
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def durable(df: DataFrame, name: str) -> DataFrame:
@@ -27,9 +28,11 @@ def durable(df: DataFrame, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Before Python runs on texts: the package goes to the executors, and Arrow batches are kept to 1000 rows unless the
-    session asks for another size than Spark's default, since a row may be a long document."""
+    """Before Python runs on texts: the package goes to the executors, and Arrow batches are kept to 1000 rows and about
+    8 MB unless the session asks for other sizes than Spark's defaults, since a row may be a long document."""
     ship(spark)
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, str(8 << 20))
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
@@ -59,13 +62,12 @@ def tasks_of(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def hot_keys(df: DataFrame, key: str, least: int = 200) -> DataFrame:
-    """_hot, _salts: values of a column that hold more than a quarter of an even task's rows, and over how many cells to
-    deal them. At most four times as many rows as there are tasks."""
-    tasks = tasks_of(df.sparkSession)
-    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count(F.lit(1)).alias("_n"))
-    limit = max(least, df.count() // (4 * tasks))
-    return durable(counts.filter(F.col("_n") > limit).select("_hot", F.ceil(F.col("_n") / limit).cast("int").alias("_salts")), "hot-keys")
+def hot_keys(df: DataFrame, key: str, least: int = 200) -> list[tuple]:
+    """(value, cells) for the values of a column that hold more than a quarter of an even task's rows: at most four times
+    as many as there are tasks, whatever the table's size."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    limit = max(least, df.count() // (4 * tasks_of(df.sparkSession)))
+    return [(r[0], math.ceil(r[1] / limit)) for r in counts.filter(F.col(key).isNotNull() & (F.col("_n") > limit)).collect()]
 
 
 def dealt_join(many: DataFrame, one: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
@@ -74,11 +76,14 @@ def dealt_join(many: DataFrame, one: DataFrame, key: str, spread_by: list[str])
     Rows of a frequent key are dealt to cells by a hash of ``spread_by``, and the key's row of ``one`` is copied to each.
     ``many`` must be cheap to read twice (a durable table).
     """
-    hot = F.broadcast(hot_keys(many, key))  # bounded by the number of tasks
-    salts = F.coalesce("_salts", F.lit(1))
-    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.pmod(F.xxhash64(*spread_by), salts).cast("int")).drop("_hot", "_salts")
-    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_hot", "_salts")
-    return left.join(right, [key, "_salt"]).drop("_salt")
+    found = hot_keys(many, key)
+    if not found:
+        return many.join(one, key)
+    hot = F.broadcast(many.sparkSession.createDataFrame(found, T.StructType([T.StructField("_hot", many.schema[key].dataType), T.StructField("_cells", T.IntegerType())])))
+    cells = F.coalesce("_cells", F.lit(1))
+    left = many.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_cell", F.pmod(F.xxhash64(*spread_by), cells).cast("int")).drop("_hot", "_cells")
+    right = one.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_cell", F.explode(F.sequence(F.lit(0), cells - 1))).drop("_hot", "_cells")
+    return left.join(right, [key, "_cell"]).drop("_cell")
 
 
 def rank_in_groups(df: DataFrame, group: list[str], spread: Column, order: list[str], rank: str) -> DataFrame:

@@ -52,7 +52,7 @@ class Vocabulary:
     """Token ids of words between white space; words seen are remembered, up to ``memory`` of them."""
 
     ids: dict[str, int]
-    memory: int = 300_000
+    memory: int = 100_000
     known: dict[str, list[int]] = field(default_factory=dict)
 
     def of(self, word: str) -> list[int]:

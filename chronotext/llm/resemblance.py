@@ -36,8 +36,8 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     a text's shingle hashes, repeats or not; any number of shingles."""
     mixed = hashes ^ (hashes >> np.uint64(29))
     least = np.full(PERMUTATIONS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    for at in range(0, len(mixed), 1024):
-        part = mixed[at : at + 1024, None] * _FACTOR
+    for at in range(0, len(mixed), 256):
+        part = mixed[at : at + 256, None] * _FACTOR
         part += _SHIFT
         least = np.minimum(least, part.min(axis=0))
     # The least value's own high bits are all small; a multiplication spreads it before bits or a band are taken.
