@@ -100,6 +100,7 @@ def decode_entities(text: Column) -> Column:
     return F.replace(out, F.lit("&amp;"), F.lit("&"))
 
 
+# Tags that stand inside words and sentences.
 INLINE = "a|b|i|u|em|strong|span|small|sub|sup|code|mark|abbr|font"
 
 
@@ -126,6 +127,7 @@ def summary(html: Column, most: int = 200) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.regexp_replace(head, r"\s+\S*$", ""), F.lit("…")))
 
 
+# Tags that end a line.
 BLOCKS = "br|p|div|li|ul|ol|h1|h2|h3|h4|h5|h6|blockquote|tr|td|th|dt|dd|hr|pre|section|table"
 
 

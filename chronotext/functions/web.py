@@ -29,12 +29,14 @@ def canonical_feed(url: Column) -> Column:
 
 
 def youtube_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|youtube\.com/(?:watch\?(?:.*&)?v=|shorts/|embed/))([\w-]{11})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(url, r"(?:youtu\.be/|youtube(?:-nocookie)?\.com/(?:watch\?(?:.*&)?v=|(?:shorts|live|embed|v|e)/))([\w-]{11})", 1), F.lit(""))
 
 
 def dropbox_direct(url: Column) -> Column:
-    """A shared file's download address."""
-    return F.when(host(url).rlike(r"(^|\.)dropbox\.com$"), F.regexp_replace(F.regexp_replace(url, r"([?&])dl=0", "$1dl=1"), r"^(https?://)www\.", "$1")).otherwise(url)
+    """A shared file's download address, on the host that lets pages download it and without ``dl``; null for others."""
+    there = F.regexp_replace(url, r"^([a-zA-Z][\w+.-]*://)[^/?#]*", "$1dl.dropboxusercontent.com")
+    bare = F.regexp_replace(F.regexp_replace(there, r"([?&])dl=[^&#]*&", "$1"), r"[?&]dl=[^&#]*(?=#|$)", "")
+    return F.when(host(url).rlike(r"(^|\.)dropbox\.com$") & path(url).rlike("^/(s|scl|sh)/"), bare)
 
 
 def slug_hints(url: Column) -> Column:
@@ -49,8 +51,7 @@ def episode_id(guid: Column) -> Column:
 
 def is_feed(text: Column) -> Column:
     """An RSS document with a channel, or an Atom feed with entries."""
-    head = F.substring(text, 1, 20000)
-    return (head.rlike(r"(?is)<rss[\s>]") & head.rlike(r"(?is)<channel[\s>]")) | (head.rlike(r"(?is)<feed[\s>]") & head.rlike(r"(?is)<entry[\s>]"))
+    return (text.rlike(r"(?is)<rss[\s>]") & text.rlike(r"(?is)<channel[\s>]")) | (text.rlike(r"(?is)<feed[\s>]") & text.rlike(r"(?is)<entry[\s>]"))
 
 
 AUDIO = r"https?://[^\s\"'<>]+\.(?:mp3|m4a|ogg|opus|wav)(?:\?[^\s\"'<>]*)?"
@@ -63,5 +64,11 @@ def audio_in_page(html: Column) -> Column:
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found], F.when(F.size(bare) == 1, bare[0]))
 
 
+# Titles and marks of pages that ask whether the visitor is human.
+CHALLENGE_TITLES = "just a moment|attention required|access denied|verify you are human"
+CHALLENGE_MARKS = "challenge-platform|cf-browser-verification"
+
+
 def is_challenge(html: Column) -> Column:
-    return html.rlike(r"(?i)just a moment|cf-browser-verification|attention required|verify you are human")
+    """Whether a page stands in for the real one; by its title, as ordinary text may hold the same words. Null: false."""
+    return F.coalesce(html.rlike(rf"(?i)<title>\s*(?:{CHALLENGE_TITLES})") | html.rlike(f"(?i){CHALLENGE_MARKS}"), F.lit(False))

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, left_span: tuple[str, str] = ("start", "end"), right_span: tuple[str, str] = ("r_start", "r_end"), how: str = "inner") -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: float, left_span: tuple[str, str] = ("start", "end"), right_span: tuple[str, str] = ("r_start", "r_end")) -> DataFrame:
     """Rows whose spans overlap, with ``overlap`` in seconds. A pair that shares several buckets is kept in its first.
 
-    bucket: seconds; a few times the usual span. A longer span takes part in each bucket that it touches.
+    bucket: seconds; a few times the usual span. A longer span takes part in each bucket that it touches. A row with a
+    null bound or key overlaps nothing; repeated rows each pair; spans that only touch do not overlap.
     """
     (ls, le), (rs, re_) = left_span, right_span
 
@@ -25,7 +26,7 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: flo
     on &= F.col("_lb") == F.floor(F.greatest(F.col(ls), F.col(rs)) / bucket)
     for k in keys:
         on &= F.col(k) == F.col(f"_r_{k}")
-    out = cut(left, ls, le, "_lb").join(r, on, how)
+    out = cut(left, ls, le, "_lb").join(r, on)
     return out.withColumn("overlap", F.least(le, re_) - F.greatest(ls, rs)).drop("_lb", "_rb", *(f"_r_{k}" for k in keys))
 
 

@@ -26,11 +26,9 @@ def frame_turns(frames: DataFrame, keys: list[str], seconds: float, least: float
 def joined_turns(segments: DataFrame, keys: list[str], voice: str, gap: float = 1.5) -> DataFrame:
     """Turns: one voice across gaps of at most ``gap``: keys, voice, start, end, n."""
     w = Window.partitionBy(*keys).orderBy("start", "end")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
     same = islands(segments, keys, ["start", "end"], F.col(voice) != F.lag(voice).over(w), "_same")
     near = Window.partitionBy(*keys, "_same").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     fresh = (F.col("_same") != F.lag("_same").over(w)) | (F.col("start") - F.max("end").over(near) > gap)
-    del before
     turns = islands(same, keys, ["start", "end"], fresh)
     return turns.groupBy(*keys, "island", voice).agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")).drop("island")
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from chronotext.functions import text as tx
 from chronotext.functions.times import half_up
 from chronotext.operators.intervals import islands, merge_spans
+from chronotext.session import written
 
 SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[\"“‘(]?[\p{Lu}\d])"
 
@@ -62,37 +63,45 @@ def lag_consensus(lags: DataFrame, keys: list[str], most: float = 0.02) -> DataF
     return grouped.filter(F.array_max("_l") - F.array_min("_l") <= most).select(*keys, F.get("_l", F.floor(F.size("_l") / 2).cast("int")).alias("lag"))
 
 
-# Language families whose members are easily taken for one another.
-FAMILIES = {"no": "no", "nn": "no", "sv": "no", "da": "no", "es": "es", "ca": "es", "gl": "es", "pt": "es", "de": "de", "nl": "de", "lb": "de", "fr": "fr", "oc": "fr", "it": "it", "la": "it"}
+# Language families whose members are easily taken for one another, and the languages an app may offer.
+FAMILIES = [["no", "nn", "sv", "da"], ["es", "ca", "gl", "pt"], ["de", "nl", "lb"], ["fr", "oc"], ["it", "la"]]
+OFFERED = ["en", "no", "nn", "da", "fr", "de", "es", "it"]
 
 
 def foreign_language(scores: DataFrame, keys: list[str], own: list[str], least: float = 0.4, most_own: float = 0.2) -> DataFrame:
     """Windows clearly in another language: keys, code, prob. scores: keys, lang, prob (a row for each language).
 
-    The own languages together have at most ``most_own``, and one family at least ``least``; its likeliest member names it.
+    The own languages together have at most ``most_own``, and one family at least ``least``. Its likeliest member names
+    it, but one of OFFERED does if it is at least half as likely. Equal probabilities take the later code; a window
+    without scores, or with null probabilities only, is not foreign.
     """
-    family = F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv])
+    family = F.create_map(*[F.lit(x) for members in FAMILIES for lang in members for x in (lang, members[0])])
     rows = scores.withColumns({"_own": F.col("lang").isin(own), "_f": F.coalesce(family[F.col("lang")], F.col("lang"))})
-    pooled = rows.groupBy(*keys, "_f").agg(F.sum(F.when(F.col("_own"), F.col("prob")).otherwise(0.0)).alias("_mine"), F.sum(F.when(~F.col("_own"), F.col("prob")).otherwise(0.0)).alias("prob"), F.max_by("lang", F.when(~F.col("_own"), F.col("prob"))).alias("code"))
-    best = pooled.groupBy(*keys).agg(F.sum("_mine").alias("_mine"), F.max(F.struct("prob", "code")).alias("_b"))
+    other = F.when(~F.col("_own"), F.struct("prob", F.col("lang").alias("code")))
+    offered = F.when(F.col("lang").isin(OFFERED), other)
+    pooled = rows.groupBy(*keys, "_f").agg(
+        F.sum(F.when(F.col("_own"), F.col("prob")).otherwise(0.0)).alias("_mine"), F.sum(F.when(~F.col("_own"), F.col("prob")).otherwise(0.0)).alias("prob"), F.max(other).alias("_top"), F.max(offered).alias("_offered")
+    )
+    named = F.when(F.col("_offered.prob") >= 0.5 * F.col("_top.prob"), F.col("_offered.code")).otherwise(F.col("_top.code"))
+    best = pooled.withColumn("code", named).groupBy(*keys).agg(F.sum("_mine").alias("_mine"), F.max(F.struct("prob", "code")).alias("_b"))
     return best.filter((F.col("_mine") <= most_own) & (F.col("_b.prob") >= least)).select(*keys, F.col("_b.code").alias("code"), F.col("_b.prob").alias("prob"))
 
 
-def assign_names(votes: DataFrame, key: str, least: float = 2.0, voices: int = 6) -> DataFrame:
+def assign_names(votes: DataFrame, key: str, least: float = 2.0) -> DataFrame:
     """Names for voices, each used once: key, voice, name. votes: key, voice, name, weight.
 
     In each round every pair that is the best of its voice and of its name is settled; what they use up is left out of
-    the next. That is the greedy assignment by weight; a round settles at least one voice of each key, so ``voices``
-    rounds are exact for keys with at most so many voices that have votes.
+    the next. That is the greedy assignment by weight, ties by voice, then name. Rounds go on until no pair is open, each
+    from a table that the one before wrote; all keys take theirs together. No votes give no rows.
     """
-    open_ = votes.groupBy(key, "voice", "name").agg(F.sum("weight").alias("c")).filter(F.col("c") >= least)
+    open_ = written(votes.groupBy(key, "voice", "name").agg(F.sum("weight").alias("c")).filter(F.col("c") >= least), "votes")
     order = [F.desc("c"), F.col("voice"), F.col("name")]
-    done = None
-    for _ in range(voices):
+    done = open_.select(key, "voice", "name").limit(0)
+    while not open_.isEmpty():
         ranked = open_.withColumns({"_v": F.row_number().over(Window.partitionBy(key, "voice").orderBy(*order)), "_n": F.row_number().over(Window.partitionBy(key, "name").orderBy(*order))})
-        settled = ranked.filter("_v = 1 AND _n = 1").select(key, "voice", "name")
-        done = settled if done is None else done.unionByName(settled)
-        open_ = open_.join(settled.select(key, "voice"), [key, "voice"], "left_anti").join(settled.select(key, "name"), [key, "name"], "left_anti")
+        settled = written(ranked.filter("_v = 1 AND _n = 1").select(key, "voice", "name"), "settled")
+        done = done.unionByName(settled)
+        open_ = written(open_.join(settled.select(key, "voice"), [key, "voice"], "left_anti").join(settled.select(key, "name"), [key, "name"], "left_anti"), "votes")
     return done
 
 

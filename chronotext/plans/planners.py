@@ -61,8 +61,8 @@ def downloads(shows: DataFrame, episodes: DataFrame, progress: DataFrame, queue:
     done = progress.filter(F.coalesce("done", F.lit(False))).select("id").distinct().withColumn("_done", F.lit(True))
     busy = queue.select("id").unionByName(progress.filter(~F.coalesce("done", F.lit(False)) & (F.col("p") > 5)).select("id")).distinct().withColumn("_busy", F.lit(True))
     open_ = episodes.filter(F.col("url").isNotNull()).join(done, "id", "left_anti").join(declined.select("id").distinct(), "id", "left_anti")
-    newest = top_per(open_, ["show"], [F.desc(F.coalesce("published", F.lit(0))), F.col("id")], 64, "_rank")
-    wanted = newest.join(shows.select("show", "keep"), "show").filter(F.col("_rank") <= F.col("keep")).select("id", "show")
+    place = F.row_number().over(Window.partitionBy("show").orderBy(F.desc(F.coalesce("published", F.lit(0))), F.col("id")))
+    wanted = open_.join(shows.filter("keep > 0").select("show", "keep"), "show").withColumn("_rank", place).filter(F.col("_rank") <= F.col("keep")).select("id", "show")
     fetch = wanted.join(saved.select("id"), "id", "left_anti").select("id", F.lit("fetch").alias("action"))
     known = episodes.select("show").distinct().withColumn("_known", F.lit(True))
     auto = saved.filter("auto").join(busy, "id", "left").filter(F.col("_busy").isNull()).join(done, "id", "left")

@@ -46,15 +46,16 @@ def lag_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, CASE event_type WHEN 'click' THEN 'en' WHEN 'view' THEN 'sv' WHEN 'error' THEN 'no' WHEN 'signup' THEN 'fr' ELSE 'ja' END AS lang, count(*) AS n FROM events GROUP BY 1, 2),
-p AS (SELECT user_id, lang, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS prob FROM s), f AS (SELECT user_id, CASE WHEN lang IN ('sv', 'no') THEN 'no' ELSE lang END AS fam, sum(prob) FILTER (lang = 'en') AS mine, sum(prob) FILTER (lang <> 'en') AS other, max_by(lang, (prob, lang)) AS code FROM p GROUP BY 1, 2)
-SELECT user_id, round(max(other), 6) AS prob FROM f GROUP BY user_id HAVING coalesce(sum(mine), 0) <= 0.2 AND max(other) >= 0.4""")
+p AS (SELECT user_id, lang, n::DOUBLE / sum(n) OVER (PARTITION BY user_id) AS prob FROM s), f AS (SELECT user_id, CASE WHEN lang IN ('sv', 'no') THEN 'no' ELSE lang END AS fam, sum(prob) FILTER (lang = 'en') AS mine, coalesce(sum(prob) FILTER (lang <> 'en'), 0) AS other,
+  CASE WHEN max(prob) FILTER (lang = 'no') >= 0.5 * max(prob) THEN 'no' ELSE max_by(lang, (prob, lang)) END AS code FROM p GROUP BY 1, 2)
+SELECT user_id, max_by(code, (other, code)) AS code, round(max(other), 6) AS prob FROM f GROUP BY user_id HAVING coalesce(sum(mine), 0) <= 0.2 AND max(other) >= 0.4""")
 def foreign_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """what is clearly in another language, families pooled."""
     lang = F.when(F.col("event_type") == "click", "en").when(F.col("event_type") == "view", "sv").when(F.col("event_type") == "error", "no").when(F.col("event_type") == "signup", "fr").otherwise("ja")
     counted = table(spark, sf_dir, "events").groupBy("user_id", lang.alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     total = counted.groupBy("user_id").agg(F.sum("n").alias("t"))
     scores = counted.join(total, "user_id").select("user_id", "lang", (F.col("n") / F.col("t")).alias("prob"))
-    return speech.foreign_language(scores, ["user_id"], ["en"]).select("user_id", F.round("prob", 6).alias("prob"))
+    return speech.foreign_language(scores, ["user_id"], ["en"]).select("user_id", "code", F.round("prob", 6).alias("prob"))
 
 
 @query()

@@ -18,11 +18,10 @@ from chronotext.session import table
 FOLD_SQL = "replace(strip_accents(replace(lower({0}), 'å', chr(1))), chr(1), 'å')"
 
 
-@query(f"""SELECT doc_id, md5({FOLD_SQL.format("regexp_replace(text, '[ \\t\\n\\r]', ' ', 'g')")}) AS folded FROM documents WHERE regexp_full_match(text, '[\\x20-\\x7E\\x{{C0}}-\\x{{FF}}\\n]*')""")
+@query(f"""SELECT doc_id, md5({FOLD_SQL.format("regexp_replace(text, '[ \\t\\n\\r]', ' ', 'g')")}) AS folded FROM documents""")
 def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The search fold, for texts of ASCII and Latin-1 letters (a digest of each)."""
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x20-\x7EÀ-ÿ\n]*$"))
-    return docs.select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded"))
+    """The search fold of every text (a digest of each)."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded"))
 
 
 @query(r"""SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS cleaned FROM conversations""")
@@ -126,7 +125,7 @@ def page_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.host(u).alias("host"), web.path(u).alias("path"), web.canonical_feed(u).alias("feed"), web.episode_id(u).alias("id"))
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '(?is)<rss[\s>]') AND regexp_matches(html, '(?is)<channel[\s>]') AS feed, regexp_matches(html, '(?i)just a moment|cf-browser-verification|attention required|verify you are human') AS challenge,
+@query(r"""SELECT page_id, regexp_matches(html, '(?is)<rss[\s>]') AND regexp_matches(html, '(?is)<channel[\s>]') AS feed, regexp_matches(html, '(?i)<title>\s*(just a moment|attention required|access denied|verify you are human)') OR regexp_matches(html, '(?i)challenge-platform|cf-browser-verification') AS challenge,
   CASE WHEN len(list_distinct(regexp_extract_all(html, 'https?://[^\s"''<>]+\.(?:mp3|m4a|ogg|opus|wav)'))) = 1 THEN regexp_extract(html, 'https?://[^\s"''<>]+\.(?:mp3|m4a|ogg|opus|wav)') END AS audio FROM pages""")
 def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feeds, challenge pages, and a page's audio."""
@@ -182,11 +181,10 @@ def escaped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.escape_markdown(F.col("p_name")).alias("md"), tx.escape_xml(F.concat("p_name", F.lit(" <"), "p_brand", F.lit('> & "co"'))).alias("xml"))
 
 
-@query(r"""SELECT conv_id, turn, CAST((length(text) - length(replace(lower(text), 'the', ''))) / 3 AS INTEGER) AS n FROM conversations WHERE length(text) = length(lower(text))""")
+@query(r"""SELECT conv_id, turn, CAST((length(lower(text)) - length(replace(lower(text), 'the', ''))) / 3 AS INTEGER) AS n FROM conversations""")
 def in_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences of a needle in a text."""
-    rows = table(spark, sf_dir, "conversations").filter(F.length("text") == F.length(F.lower("text")))
-    return rows.select("conv_id", "turn", tx.count_in_page(F.col("text"), "the").alias("n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.count_in_page(F.col("text"), "the").alias("n"))
 
 
 @query(r"""WITH d AS (SELECT o_orderkey, CAST(floor(o_totalprice / 40) AS BIGINT) AS s FROM orders)

@@ -18,7 +18,7 @@ def test_sentences_share_the_time(spark):
 
 def test_names_are_assigned_greedily(spark):
     draw = np.random.default_rng(8)
-    votes = [(int(k), int(v), f"n{n}", float(w)) for k, v, n, w in zip(draw.integers(0, 20, 600), draw.integers(0, 5, 600), draw.integers(0, 6, 600), draw.integers(1, 4, 600), strict=True)]
+    votes = [(int(k), int(v), f"n{n}", float(w)) for k, v, n, w in zip(draw.integers(0, 20, 600), draw.integers(0, 11, 600), draw.integers(0, 12, 600), draw.integers(1, 4, 600), strict=True)]
     want = set()
     for key in range(20):
         total = {}
@@ -46,7 +46,7 @@ def test_trouble_and_languages(spark):
     rows = spark.createDataFrame([("no trouble here at all, we say enough words for it", 5.0), ("aaaaa", 1.0), ("yes. yes. yes. yes.", 5.0), ("few words", 20.0)], "t string, s double")
     assert [r[0] for r in rows.select(speech.trouble(F.col("t"), F.col("s"))).collect()] == [0, 1, 1, 1]
     scores = spark.createDataFrame([(1, "en", 0.1), (1, "no", 0.3), (1, "sv", 0.35), (1, "ja", 0.25), (2, "en", 0.6), (2, "fr", 0.4)], "w int, lang string, prob double")
-    assert [(r["w"], r["code"], round(r["prob"], 2)) for r in speech.foreign_language(scores, ["w"], ["en"]).collect()] == [(1, "sv", 0.65)]
+    assert [(r["w"], r["code"], round(r["prob"], 2)) for r in speech.foreign_language(scores, ["w"], ["en"]).collect()] == [(1, "no", 0.65)]
 
 
 def test_glossary_merge(spark):
@@ -73,3 +73,43 @@ def test_audio_headers(spark, tmp_path):
     assert (rows["a.wav"]["kind"], rows["a.wav"]["rate"], rows["a.wav"]["channels"], rows["a.wav"]["data_bytes"]) == ("wav", 44100, 2, 8)
     assert (rows["b.mp3"]["title"], rows["b.mp3"]["artist"]) == ("Tittel å", "Someone")
     assert rows["c.txt"]["kind"] is None
+
+
+def test_foreign_language_names(spark):
+    """Which language a window is named after, with the own languages and their neighbours given."""
+    cases = [
+        ({"en": 0.01, "no": 0.93, "da": 0.04, "sv": 0.02}, ["en"], "no"),
+        ({"en": 0.4, "de": 0.55}, ["en"], None),
+        ({"en": 0.25, "de": 0.72}, ["en"], None),
+        ({"en": 0.04, "de": 0.3, "fr": 0.3, "ja": 0.36}, ["en"], None),
+        ({"nn": 0.9, "no": 0.08, "en": 0.02}, ["no", "nn", "da", "sv"], None),
+        ({"en": 0.95, "no": 0.03}, ["no", "nn", "da", "sv"], "en"),
+        ({"no": 0.53, "sv": 0.46, "en": 0.01}, ["en"], "no"),
+        ({"de": 0.49, "da": 0.33, "en": 0.13}, ["en"], "de"),
+        ({"da": 0.44, "de": 0.38, "en": 0.04, "sv": 0.1}, ["en"], "da"),
+        ({"en": 0.01, "sv": 0.52, "no": 0.4, "da": 0.05}, ["en"], "no"),
+        ({"en": 0.01, "sv": 0.85, "no": 0.1}, ["en"], "sv"),
+    ]
+    for probs, own, code in cases:
+        rows = spark.createDataFrame([(1, k, p) for k, p in probs.items()], "w int, lang string, prob double")
+        assert [r["code"] for r in speech.foreign_language(rows, ["w"], own).collect()] == ([] if code is None else [code]), probs
+
+
+def test_shared_files_and_challenge_pages(spark):
+    from chronotext.functions import web
+
+    urls = ["https://www.dropbox.com/s/abc/x.mp3?dl=0", "https://www.dropbox.com/scl/fi/a/x.mp3?rlkey=1&dl=0", "https://dropbox.com/sh/a/x.mp3?dl=0&k=2", "https://www.dropbox.com/home", "https://notdropbox.com/s/a", None]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(web.dropbox_direct(F.col("u"))).collect()]
+    assert got == ["https://dl.dropboxusercontent.com/s/abc/x.mp3", "https://dl.dropboxusercontent.com/scl/fi/a/x.mp3?rlkey=1", "https://dl.dropboxusercontent.com/sh/a/x.mp3?k=2", None, None, None]
+    pages = ["<title>Just a moment...</title>", "<title>News</title>wait just a moment", "<script src=/cdn/challenge-platform/x>", None]
+    assert [r[0] for r in spark.createDataFrame([(p,) for p in pages], "p string").select(web.is_challenge(F.col("p"))).collect()] == [True, False, True, False]
+
+
+def test_downloads_keep_more_than_64(spark):
+    from chronotext.plans import planners
+
+    shows = spark.createDataFrame([("a", 80)], "show string, keep int")
+    episodes = spark.createDataFrame([(i, "a", "u", i) for i in range(100)], "id long, show string, url string, published long")
+    none = lambda schema: spark.createDataFrame([], schema)
+    rows = planners.downloads(shows, episodes, none("id long, p double, done boolean"), none("id long"), none("id long, show string, auto boolean"), none("id long")).collect()
+    assert sorted(r["id"] for r in rows) == list(range(20, 100))
