@@ -147,25 +147,25 @@ def collapse_loops(df: DataFrame, text: str, name: str, longest: int = 8) -> Dat
 
 
 def loops_out(text: str, longest: int = 8) -> str:
+    """The text with each run of a repeated unit cut to two copies; at each place the shortest unit counts.
+
+    For each unit length one pass over the words' numbers says how far every word agrees with the word one unit later.
+    """
     words = text.split()
-    keys = ["".join(c for c in w.lower() if c.isalnum()) for w in words]
-    out, i = [], 0
-    while i < len(words):
-        for n in range(1, longest + 1):
-            unit = keys[i : i + n]
-            if i + 3 * n > len(words) or not all(unit):
-                continue
-            times = 1
-            while keys[i + times * n : i + (times + 1) * n] == unit:
-                times += 1
-            if times > 2:
-                out += words[i : i + 2 * n]
-                i += times * n
-                break
-        else:
-            out.append(words[i])
-            i += 1
-    return " ".join(out)
+    places = np.arange(len(words))
+    names: dict[str, int] = {"": 0}
+    ids = np.array([names.setdefault("".join(filter(str.isalnum, w.lower())), len(names)) for w in words], dtype=np.int64)
+    period, reach = np.zeros(len(words), dtype=np.int64), np.ones(len(words), dtype=np.int64)
+    for n in range(min(longest, len(words) // 3), 0, -1):
+        breaks = np.append(np.flatnonzero((ids[:-n] != ids[n:]) | (ids[n:] == 0)), len(words) - n)
+        agree = np.maximum(breaks[np.minimum(np.searchsorted(breaks, places), len(breaks) - 1)] - places, 0)
+        looped = agree >= 2 * n
+        period[looped], reach[looped] = n, (agree[looped] // n + 1) * n
+    kept, at = [], 0
+    while at < len(words):
+        kept += words[at : at + max(1, 2 * period[at])]
+        at += int(reach[at])
+    return " ".join(kept)
 
 
 def clusters(prints: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronotext.functions import fixed
 from chronotext.functions import text as tx
 from chronotext.functions.times import half_up
 from chronotext.operators.intervals import islands, merge_spans
@@ -26,7 +27,7 @@ def sentence_parts(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sponsor_breaks(
-    paragraphs: DataFrame, key: str, strong: str = tx.STRONG_CUES, weak: tuple[str, ...] = tx.WEAK_CUES, same_voice: float = 45.0, other_voice: float = 12.0, shortest: float = 8.0, longest: float = 360.0, longest_many: float = 600.0
+    paragraphs: DataFrame, key: str, strong: tuple[str, ...] = fixed.STRONG_CUES, weak: tuple[str, ...] = fixed.WEAK_CUES, same_voice: float = 45.0, other_voice: float = 12.0, shortest: float = 8.0, longest: float = 360.0, longest_many: float = 600.0
 ) -> DataFrame:
     """Stretches with reads for sponsors: key, start, end, reads. paragraphs: key, start, end, speaker, text.
 
@@ -43,13 +44,70 @@ def sponsor_breaks(
     return merge_spans(kept.select(key, half_up(F.col("start"), 1).alias("start"), half_up(F.col("end"), 1).alias("end")), [key], touch=1.0).withColumnRenamed("n", "reads")
 
 
+LOOP = r"(?<!\S)((?:\S+ ){0,7}?\S+)(?: \1){2,}+(?!\S)"
+
+
+def spoken_only(text: Column) -> Column:
+    """Lower-case letters and digits with single spaces."""
+    return tx.clean(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}\s]", ""))
+
+
+def loops(text: Column, left: float) -> Column:
+    """Whether cutting the loops of one to eight words to two copies leaves less than a share of the words' letters."""
+    plain = spoken_only(text)
+    return F.length(F.regexp_replace(plain, LOOP, "$1 $1")) < F.length(plain) * left
+
+
 def trouble(text: Column, seconds: Column) -> Column:
-    """How many signs of a failed recognition a text shows: a stuck letter, few different sentences, too few words."""
-    sentences = F.filter(F.split(F.lower(text), r"[.!?]+\s*"), lambda x: x != "")
+    """How many signs of a failed recognition a text shows: a stuck letter, loops, few different sentences, too few words.
+
+    A null text has none but the last; null seconds count as none.
+    """
+    text = F.trim(F.coalesce(text, F.lit("")))
+    sentences = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), spoken_only), lambda x: F.length(x) > 3)
     stuck = text.rlike(r"(\p{L})\1{4}")
     same = (F.size(sentences) >= 3) & (F.size(F.array_distinct(sentences)) <= 0.6 * F.size(sentences))
-    sparse = (seconds >= 10) & (tx.word_count(text) < 0.6 * seconds)
-    return stuck.cast("int") + same.cast("int") + sparse.cast("int")
+    sparse = F.coalesce((seconds >= 10) & (tx.word_count(text) < 0.6 * seconds), F.lit(False))
+    return stuck.cast("int") + loops(text, 0.75).cast("int") + same.cast("int") + sparse.cast("int")
+
+
+def echoed(text: Column, prompt: Column) -> Column:
+    """Whether a text only repeats its prompt (more than 12 letters that stand in it) or falls below 70 % without its loops."""
+    plain = spoken_only(text)
+    return (plain != "") & (((F.length(plain) > 12) & F.contains(spoken_only(prompt), plain)) | loops(text, 0.7))
+
+
+def token_parts(tokens: DataFrame, keys: list[str], first_stamp: int, duration: float, tick: float = 0.02) -> DataFrame:
+    """Timed parts of recognised windows: keys, part, start, end, tokens, open. tokens: keys, pos, token.
+
+    Tokens from ``first_stamp`` on are times in ticks. Each run of words between two of them is a part: from the time before
+    it (0 if none) to the one after it, which is never before its start; a run that nothing closes is open and ends with
+    the window. Null tokens are words without a value and are left out; times alone make no part.
+    """
+    stamp = F.when(F.col("token") >= first_stamp, F.least(F.lit(duration), (F.col("token") - first_stamp) * tick))
+    rows = tokens.filter("token IS NOT NULL").withColumn("_t", stamp)
+    rows = rows.withColumn("part", F.count("_t").over(Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "part").agg(F.max("_t").alias("_t"), F.sort_array(F.collect_list(F.when(F.col("_t").isNull(), F.struct("pos", "token")))).alias("_w"))
+    following = F.lead("_t").over(Window.partitionBy(*keys).orderBy("part"))
+    timed = runs.withColumn("start", F.coalesce("_t", F.lit(0.0))).withColumn("_next", following)
+    end = F.when(F.col("_next").isNull(), F.lit(duration)).otherwise(F.greatest("start", "_next"))
+    return timed.filter(F.size("_w") > 0).select(*keys, "part", "start", end.alias("end"), F.col("_w.token").alias("tokens"), F.col("_next").isNull().alias("open"))
+
+
+def tail_to_rerun(parts: DataFrame, tails: DataFrame, keys: list[str], duration: float, least: float = 2.0, quiet: float = 0.0025) -> DataFrame:
+    """Windows whose parts stop more than ``least`` seconds early although the rest is not quiet: keys, until.
+
+    parts: keys, part, end; tails: keys, rms (of the samples after the last part). Windows without parts are left out.
+    """
+    until = parts.groupBy(*keys).agg(F.max_by("end", "part").alias("until"))
+    return until.filter(F.lit(duration) - F.col("until") > least).join(tails.filter(F.col("rms") > quiet).select(*keys).distinct(), keys, "left_semi")
+
+
+def speech_seconds(samples: DataFrame, keys: list[str], rate: int, floor: float = 0.005) -> DataFrame:
+    """Seconds above a quiet floor, by whole frames of a tenth of a second: keys, seconds. samples: keys, pos (from 0), x."""
+    size = rate // 10
+    frames = samples.groupBy(*keys, F.floor(F.col("pos") / size).alias("_f")).agg(F.sum(F.col("x") * F.col("x")).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    return frames.groupBy(*keys).agg((F.count_if((F.col("_n") == size) & (F.sqrt(F.col("_e") / size) > floor)) / 10).alias("seconds"))
 
 
 def best_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronotext.functions import fixed
 from chronotext.functions.text import clean, fold
 from chronotext.operators.records import top_per
 from chronotext.session import ship
@@ -45,8 +46,8 @@ def fold_query(text: str) -> str:
 def parse_query(text: str) -> list[Term]:
     """Terms of a query: quoted phrases, and words. Phrases and words under three letters match whole, others as a prefix."""
     terms: list[Term] = []
-    for quoted, bare in re.findall(r'"([^"]*)"?|([^\s"]+)', fold_query(text[:MAX_QUERY])):
-        found = [w for w in regex.split(r"[^\p{L}\p{N}]+", quoted or bare) if w]
+    for quoted, bare in re.findall(fixed.QUERY_PART, fold_query(text[:MAX_QUERY])):
+        found = [w for w in regex.split(fixed.NO_WORD, quoted or bare) if w]
         term = " ".join(found)
         if term and term not in {t.text for t in terms} and len(terms) < MAX_TERMS:
             terms.append(Term(term, bool(quoted) or len(found) > 1 or len(term) < 3))

@@ -11,21 +11,46 @@ from chronotext.session import table
 from chronotext.sources import feeds
 
 
-@query("""SELECT n_nationkey AS id, n_name AS title, 'https://feeds.example/' || n_nationkey AS url FROM nation""")
+@query("""SELECT c_custkey AS id, c_name AS title, 'https://feeds.example/' || c_custkey AS url FROM customer""")
 def opml_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations as an OPML file of subscriptions, and its entries read back."""
-    rows = table(spark, sf_dir, "nation").select(F.lit(1).alias("file"), F.col("n_name").alias("title"), F.concat(F.lit("https://feeds.example/"), "n_nationkey").alias("url"))
-    found = feeds.read_opml(feeds.write_opml(rows, "file"), "file")
-    return found.select(F.element_at(F.split("url", "/"), -1).cast("int").alias("id"), "title", "url")
+    """Customers as OPML files of fifty subscriptions, some of them twice, and the entries read back."""
+    rows = table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 50).alias("file"), F.col("c_name").alias("title"), F.concat(F.lit("https://feeds.example/"), "c_custkey").alias("url"))
+    twice = rows.filter("title LIKE '%7'").withColumn("title", F.concat("title", F.lit(" again")))
+    found = feeds.read_opml(feeds.write_opml(rows.unionByName(twice), "file"), "file")
+    return found.select(F.element_at(F.split("url", "/"), -1).cast("long").alias("id"), "title", "url")
 
 
-@query("""SELECT p_brand AS show, 'g' || p_partkey AS guid, p_name || ' & co' AS title, 'https://cdn.example/' || p_partkey || '.mp3' AS url, CAST(p_size AS DOUBLE) * 60 AS seconds FROM part""")
+def part_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as podcast feeds: for each brand one of the parts of twenty thousand keys."""
+    part = table(spark, sf_dir, "part").withColumn("show", F.concat_ws("-", "p_brand", F.floor(F.col("p_partkey") / 20_000).cast("string")))
+    k = F.col("p_partkey")
+    day = F.date_format(F.date_add(F.lit("2026-01-01").cast("date"), (k % 90).cast("int")), "d MMM yyyy")
+    image = F.when(k % 3 == 0, '<itunes:image href="https://img.example/show.jpg"/>').when(k % 3 == 1, F.concat(F.lit('<itunes:image href="https://img.example/'), k, F.lit('.jpg"/>'))).otherwise("")
+    psc = F.when(k % 4 == 0, '<psc:chapters><psc:chapter start="0" title="Start"/><psc:chapter start="00:05:00" title="Q &amp; A"/></psc:chapters>').otherwise("")
+    item = F.concat(
+        F.lit("<item><title>"), tx.escape_xml(F.concat("p_name", F.lit(" & co"))), F.lit("</title><guid>g"), k, F.lit('</guid><enclosure type="Audio/MPEG" url="https://cdn.example/'), k, F.lit('.mp3"/><itunes:duration>'), F.col("p_size"),
+        F.lit(":00</itunes:duration><pubDate>Thu, "), day, F.lit(" 05:00:00 GMT</pubDate><itunes:season>"), k % 5, F.lit("</itunes:season><itunes:episodeType>Full</itunes:episodeType><description>&lt;p&gt;Short&lt;/p&gt;</description>"),
+        F.lit("<content:encoded><![CDATA[<p>About "), F.col("p_type"), F.lit(" &amp; more</p>]]></content:encoded>"), image, psc, F.lit("</item>"),
+    )
+    other = '<item><title>No sound</title><enclosure url="https://cdn.example/x.pdf" type="application/pdf"/></item>'
+    head = F.concat(F.lit("<rss><channel><image><title>Image</title><url>https://img.example/old.jpg</url></image><title>Show &#38; "), "show", F.lit('</title><language>nb-NO</language><itunes:author>A</itunes:author><itunes:image href="https://img.example/show.jpg"/>'), F.lit(other))
+    body = F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))).getField("i"), "")
+    return part.groupBy("show").agg(body.alias("_b")).select("show", F.concat(head, "_b", F.lit("</channel></rss>")).alias("xml"))
+
+
+@query("""SELECT p_brand || '-' || p_partkey // 20000 AS show, 'g' || p_partkey AS guid, p_name || ' & co' AS title, 'https://cdn.example/' || p_partkey || '.mp3' AS url, CAST(p_size AS DOUBLE) * 60 AS seconds, 'audio/mpeg' AS type, 'nb-NO' AS language, 'About ' || p_type || ' & more' AS summary,
+  CASE WHEN p_partkey % 3 = 1 THEN 'https://img.example/' || p_partkey || '.jpg' END AS art, CAST(p_partkey % 5 AS INTEGER) AS season, 'full' AS kind, CASE WHEN p_partkey % 4 = 0 THEN 'Start|Q & A' ELSE '' END AS psc,
+  CAST(row_number() OVER (PARTITION BY p_brand, p_partkey // 20000 ORDER BY p_partkey % 90 DESC, p_partkey) - 1 AS INTEGER) AS place FROM part""")
 def feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as podcast feeds, one for each brand, parsed back into episodes."""
-    part = table(spark, sf_dir, "part")
-    item = F.concat(F.lit("<item><title>"), tx.escape_xml(F.concat("p_name", F.lit(" & co"))), F.lit("</title><guid>g"), "p_partkey", F.lit('</guid><enclosure type="audio/mpeg" url="https://cdn.example/'), "p_partkey", F.lit('.mp3"/><itunes:duration>'), F.col("p_size"), F.lit(":00</itunes:duration></item>"))
-    xml = part.groupBy(F.col("p_brand").alias("show")).agg(F.concat(F.lit("<rss><channel><title>x</title>"), F.array_join(F.array_sort(F.collect_list(F.struct("p_partkey", item.alias("i")))).getField("i"), ""), F.lit("</channel></rss>")).alias("xml"))
-    return feeds.episodes(xml, "show").select("show", "guid", "title", "url", "seconds")
+    """Feeds parsed back into episodes, newest first."""
+    found = feeds.newest_first(feeds.episodes(part_feeds(spark, sf_dir), "show"), "show")
+    return found.select("show", "guid", "title", "url", "seconds", "type", "language", "summary", "art", "season", "kind", F.array_join(F.col("psc.title"), "|").alias("psc"), "place")
+
+
+@query("""SELECT DISTINCT p_brand || '-' || p_partkey // 20000 AS show, 'Show & ' || p_brand || '-' || p_partkey // 20000 AS title, 'https://img.example/show.jpg' AS art, 'nb-NO' AS language, 'A' AS author FROM part""")
+def feed_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What feeds say of their shows."""
+    return feeds.shows(part_feeds(spark, sf_dir), "show").select("show", "title", "art", "language", "author")
 
 
 @query("""SELECT o_custkey AS episode, count(*) AS n, CAST(min(s) AS DOUBLE) AS first FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) * 90 - 90 AS s FROM orders) GROUP BY o_custkey HAVING count(*) >= 3""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from chronotext.operators import speech
 from chronotext.queries.registry import query
@@ -78,3 +79,52 @@ def suggested_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shifted_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A timeline from a minute on."""
     return speech.shifted(segments(spark, sf_dir), F.lit(60.0)).select("episode_id", "seq", "start", "end")
+
+
+STAMP = 10_000_000
+TOKENS = f"""tokens AS (SELECT user_id, event_id AS pos, CASE WHEN event_type IN ('click', 'purchase') THEN {STAMP} + CAST(floor(value * 20) AS BIGINT) ELSE event_id END AS token FROM events)"""
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the tokens of a window: some are times in ticks of 0.02 s, others stand for words."""
+    token = F.when(F.col("event_type").isin("click", "purchase"), F.floor(F.col("value") * 20) + STAMP).otherwise(F.col("event_id"))
+    return table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("pos"), token.alias("token"))
+
+
+@query(f"""WITH {TOKENS}, w AS (SELECT user_id, token, (SELECT max(s.pos) FROM tokens s WHERE s.user_id = t.user_id AND s.token >= {STAMP} AND s.pos < t.pos) AS opened,
+  (SELECT min(s.pos) FROM tokens s WHERE s.user_id = t.user_id AND s.token >= {STAMP} AND s.pos > t.pos) AS closed FROM tokens t WHERE token < {STAMP}),
+s AS (SELECT user_id, pos, least(30.0::DOUBLE, (token - {STAMP}) * 0.02::DOUBLE) AS t FROM tokens WHERE token >= {STAMP})
+SELECT w.user_id, round(coalesce(a.t, 0), 2) AS start, round(CASE WHEN b.t IS NULL THEN 30 ELSE greatest(coalesce(a.t, 0), b.t) END, 2) AS "end", count(*) AS n, sum(w.token)::BIGINT AS checksum, b.t IS NULL AS open
+FROM w LEFT JOIN s a ON a.user_id = w.user_id AND a.pos = w.opened LEFT JOIN s b ON b.user_id = w.user_id AND b.pos = w.closed GROUP BY w.user_id, w.opened, a.t, b.t""")
+def token_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: timed parts of windows from their tokens."""
+    parts = speech.token_parts(tokens(spark, sf_dir), ["user_id"], STAMP, 30.0)
+    total = F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x)
+    return parts.select("user_id", F.round("start", 2).alias("start"), F.round("end", 2).alias("end"), F.size("tokens").cast("long").alias("n"), total.alias("checksum"), "open")
+
+
+@query("""WITH p AS (SELECT user_id, max_by(floor(value), event_id) AS until FROM events GROUP BY 1)
+SELECT user_id, CAST(until AS DOUBLE) AS until FROM p WHERE 60 - until > 2 AND user_id % 100 > 25""")
+def tails_to_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: windows that ended early before something that is not quiet."""
+    e = table(spark, sf_dir, "events")
+    parts = e.select("user_id", F.col("event_id").alias("part"), F.floor("value").cast("double").alias("end"))
+    return speech.tail_to_rerun(parts, e.select("user_id", (F.col("user_id") % 100 / 10_000).alias("rms")), ["user_id"], 60.0)
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos, value / 10000 AS x FROM events),
+f AS (SELECT user_id, pos // 5 AS f, sqrt(sum(x * x) / 5) AS level, count(*) AS n FROM s GROUP BY 1, 2)
+SELECT user_id, count(*) FILTER (n = 5 AND level > 0.005) / 10 AS seconds FROM f GROUP BY 1""")
+def seconds_of_speech(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V8: seconds above the floor; a user's events stand for samples."""
+    pos = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    return speech.speech_seconds(table(spark, sf_dir, "events").select("user_id", pos.alias("pos"), (F.col("value") / 10_000).alias("x")), ["user_id"], 50)
+
+
+@query("""WITH t AS (SELECT conv_id, turn, text, trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}\\s]', '', 'g'), '\\s+', ' ', 'g')) AS plain FROM conversations)
+SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN length(plain) > 12 WHEN 1 THEN true ELSE false END AS echoed FROM t""")
+def echo_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P20: turns whose prompt holds them, loops, and lines of their own."""
+    t = F.col("text")
+    said = F.when(F.col("turn") % 3 == 0, t).when(F.col("turn") % 3 == 1, F.lit("so it goes on. So it goes on, so it goes on so it goes on")).otherwise(F.lit("One line of its own"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", speech.echoed(said, F.concat_ws(" ", F.lit("Said before:"), t)).alias("echoed"))

@@ -152,6 +152,15 @@ def subtitles_srt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("episode_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("k", cue.alias("c")))).getField("c"), "\n\n").alias("srt"))
 
 
+@query(f"""WITH {SEGMENTS} SELECT episode_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({stamp_sql('start', '.')} || ' --> ' || {stamp_sql('"end"', '.')} || chr(10) || '<v Speaker ' || (speaker + 1) || '>' || replace(trim(text), '-->', '->') || chr(10), chr(10) ORDER BY seq) AS vtt
+FROM segments WHERE trim(text) <> '' GROUP BY episode_id""")
+def subtitles_vtt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WebVTT text of each episode, the voice in each cue."""
+    cue = F.concat(tm.stamp(F.col("start"), "."), F.lit(" --> "), tm.stamp(F.col("end"), "."), F.lit("\n<v Speaker "), F.col("speaker") + 1, F.lit(">"), F.replace(F.trim("text"), F.lit("-->"), F.lit("->")), F.lit("\n"))
+    cues = F.array_sort(F.collect_list(F.struct("seq", cue.alias("c")))).getField("c")
+    return segments(spark, sf_dir).filter(F.trim("text") != "").groupBy("episode_id").agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(cues, "\n")).alias("vtt"))
+
+
 @query(f"""WITH {SEGMENTS}, s AS (SELECT *, CAST(floor(start + 0.5) AS BIGINT) AS t FROM segments WHERE trim(text) <> '')
 SELECT episode_id, string_agg('[' || CASE WHEN t >= 3600 THEN printf('%d:%02d:%02d', t // 3600, t % 3600 // 60, t % 60) ELSE printf('%d:%02d', t // 60, t % 60) END || '] ' || trim(regexp_replace(text, '\\s+', ' ', 'g')), chr(10) || chr(10) ORDER BY seq) AS plain
 FROM s GROUP BY episode_id""")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronotext.functions import fixed
 from chronotext.functions import text as tx
 from chronotext.functions import times as tm
 from chronotext.functions import web
@@ -97,13 +98,17 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages)
-SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(h, '(?i)</?(?:a|b|i|u|em|strong|span|small|sub|sup|code|mark|abbr|font)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS stripped FROM b""")
+SELECT page_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(h, '(?i)</?(?:a|b|i|u|em|strong|span|small|sup|sub|code|mark|font)(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS stripped FROM b""")
 def pages_stripped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text without tags, scripts and styles (a digest of each)."""
     return table(spark, sf_dir, "pages").select("page_id", F.md5(tx.strip_tags(F.col("html"))).alias("stripped"))
 
 
-@query()
+@query(rf"""WITH b AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script\s*>|<style[^>]*>.*?</style\s*>|<!--.*?-->', ' ', 'g') AS h FROM pages),
+p AS (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(h, '(?i)</?(?:{fixed.INLINE_TAGS})(?:\s[^>]*)?>', '', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS h FROM b),
+d AS (SELECT page_id, replace(replace(replace(replace(h, '&amp;', chr(1)), '&copy;', '©'), '&quot;', '"'), chr(1), '&') AS h FROM p),
+t AS (SELECT page_id, trim(regexp_replace(regexp_replace(h, 'https?://\S+', ' ', 'g'), '\s+', ' ', 'g')) AS t FROM d)
+SELECT page_id, CASE WHEN length(t) <= 280 THEN t ELSE regexp_replace(left(t, greatest(CASE WHEN strpos(left(t, 280), ' ') > 0 THEN 280 - strpos(reverse(left(t, 280)), ' ') ELSE -1 END, 240)), '[\s,;:.]+$', '') || '…' END AS summary FROM t""")
 def page_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The start of a page's text, cut at a word."""
     return table(spark, sf_dir, "pages").select("page_id", tx.summary(F.col("html")).alias("summary"))
@@ -133,16 +138,41 @@ def page_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.is_feed(h).alias("feed"), web.is_challenge(h).alias("challenge"), web.audio_in_page(h).alias("audio"))
 
 
-CUE, WEAK = r"(?iu)(?<![\p{L}])(this the|of the)(?![\p{L}])", (r"(?i)\band to\b", r"(?i)\bthat is\b", r"(?i)\bin the\b")
+#: Cues of the texts' own words, for queries over stretches.
+CUE, WEAK = ("this the", "of the"), (r"(?i)\band to\b", r"(?i)\bthat is\b", r"(?i)\bin the\b")
+
+#: Sentences put before turns, with the strong and weak cues that each has and whether it opens a read.
+READS = (
+    ("Nothing to sell here.", 0, 0, False), ("Use promo code HARBOUR.", 1, 0, False), ("This episode is sponsored by Tidewater.", 2, 0, True),
+    ("The bill was sponsored by a senator.", 0, 0, False), ("Start a free trial with free shipping.", 0, 2, False), ("Now a word from our sponsors.", 1, 0, True),
+    ("Visit tidewater.example.com today.", 0, 1, False), ("Type steel at checkout, 20% off your first order.", 1, 2, False),
+)
 
 
-@query(r"""WITH c AS (SELECT doc_id, CAST(regexp_matches(text, '(?i)(^|[^\p{L}])(this the|of the)($|[^\p{L}])') AS INTEGER) AS strong,
-  CAST(regexp_matches(text, '(?i)\band to\b') AS INTEGER) + CAST(regexp_matches(text, '(?i)\bthat is\b') AS INTEGER) + CAST(regexp_matches(text, '(?i)\bin the\b') AS INTEGER) AS weak FROM documents)
-SELECT doc_id, strong, weak, strong > 0 OR weak >= 2 AS ad FROM c""")
+@query(f"""WITH r(k, strong, weak, opener) AS (VALUES {", ".join(f"({k}, {s}, {w}, {str(o).lower()})" for k, (_, s, w, o) in enumerate(READS))})
+SELECT conv_id, turn, CAST(strong AS INTEGER) AS strong, CAST(weak AS INTEGER) AS weak, opener, strong > 0 OR weak >= 2 AS ad FROM conversations JOIN r ON (conv_id + turn) % {len(READS)} = k""")
 def cue_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Strong and weak cues, with a cue list made of these texts' own words."""
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", tx.strong_cues(t, CUE).alias("strong"), tx.weak_cues(t, WEAK).alias("weak"), tx.is_ad(t, CUE, WEAK).alias("ad"))
+    """Cues of sponsor reads that stand before the turns; the SQL states what each sentence has."""
+    reads = F.element_at(F.array(*[F.lit(r[0]) for r in READS]), (F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(READS))) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").withColumn("t", F.concat_ws(" ", reads, F.col("text")))
+    t = F.col("t")
+    return rows.select("conv_id", "turn", tx.strong_cues(t).alias("strong"), tx.weak_cues(t).alias("weak"), tx.opens_ad(t).alias("opener"), tx.is_ad(t).alias("ad"))
+
+
+@query("""SELECT p_partkey, CASE split_part(lower(trim(p_type)), ' ', 1) WHEN 'standard' THEN 'danish' WHEN 'economy' THEN 'english' WHEN 'promo' THEN 'norwegian' ELSE '' END AS app_language FROM part""")
+def app_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The app's language for tags in several forms, made of part types."""
+    kind = F.split(F.lower("p_type"), " ")[0]
+    tag = F.when(kind == "standard", "da_DK").when(kind == "economy", " EN-us ").when(kind == "promo", "nn").when(kind == "small", "pt-BR")
+    return table(spark, sf_dir, "part").select("p_partkey", tx.app_language(tag).alias("app_language"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_brand WHEN 1 THEN p_brand || ' ' || p_type WHEN 2 THEN 'well' ELSE 'Nora ' || p_brand END AS name FROM part""")
+def trimmed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names without the words of a sentence's start; the last word stays."""
+    brand, k = F.col("p_brand"), F.col("p_partkey") % 4
+    said = F.when(k == 0, F.concat(F.lit("Later and "), brand)).when(k == 1, F.concat(F.lit("Thanks "), brand, F.lit(" "), F.col("p_type"))).when(k == 2, "So well").otherwise(F.concat(F.lit("Then Nora "), brand))
+    return table(spark, sf_dir, "part").select("p_partkey", tx.trim_starters(said).alias("name"))
 
 
 @query(r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '\p{Lu}[\p{L}]{3,}')) AS term FROM documents)
