@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Callable
 
@@ -95,7 +96,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references, decoded once: ``&amp;lt;`` is ``&lt;``. Unknown ones, and numbers that are no
     character, stay as they are; null stays null."""
-    table = F.create_map(*[F.lit(x) for pair in fixed.ENTITIES.items() for x in pair])
+    table = F.from_json(F.lit(json.dumps(fixed.ENTITIES)), "map<string,string>")
 
     def letter(code: Column) -> Column:
         known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)

@@ -95,7 +95,7 @@ def test_text_functions(spark):
     assert one(spark, tx.escape_markdown, "# a *b* [c]") == "\\# a \\*b\\* \\[c\\]"
     assert one(spark, tx.decode_entities, "a &lt;b&gt; &amp;amp; &#39;c&#39;") == "a <b> &amp; 'c'"
     assert one(spark, tx.strip_tags, "<p>a<b>b</b>c</p><script>var t='</p>';</script><p>d") == "abc d"
-    assert one(spark, tx.summary, "<p>" + "word " * 60) == ("word " * 40).strip() + "…"
+    assert one(spark, tx.summary, "<p>" + "word " * 60) == ("word " * 56).strip() + "…"
     assert one(spark, tx.note_lines, "<p>one<br>two</p><div></div>three") == ["one", "two", "three"]
     assert one(spark, tx.is_credit, "Subtitles by the Amara.org community") is True
     assert one(spark, tx.is_credit, "Subtitles by hand are rare. I make them myself every day of the year.") is False
