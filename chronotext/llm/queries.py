@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import decontamination, language_id, merkle, packing, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
+from chronotext.llm import decontamination, language_id, merkle, packing, periodic, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
 from chronotext.llm.common import spread
 from chronotext.session import shared_path
 
@@ -173,8 +173,30 @@ FROM climb_top WHERE n = 1
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    words = periodic.words_array("text")
+    n = F.size(words)
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    made = F.when((h % 10 == 0) & (n > 0), F.array_join(periodic.with_period(words, a, p), " ")).otherwise(F.col("text"))
+    found = periodic.find_runs(docs.select("doc_id", made.alias("text"))).withColumn("best", periodic.strongest("runs"))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.spelled("runs").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op7_language_id, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits, op12_merkle_manifest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op7_language_id, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits, op12_merkle_manifest, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
