@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
 from unicodedata import is_normalized
@@ -176,8 +176,9 @@ def places(spark: SparkSession, patterns: list[tuple[tuple[int, ...], int]]) ->
     return spark.createDataFrame(rows, "_length long, _first long, _n long, _sequence long, offset long")
 
 
-def place(pieces: DataFrame, length: int = 2048) -> DataFrame:
-    """Add sequence_id and offset to pieces with a column ``length``; the other columns go along.
+def place(pieces: DataFrame, length: int = 2048, solve: Callable[[dict[int, int], int], list[tuple[tuple[int, ...], int]]] = pack_patterns) -> DataFrame:
+    """Add sequence_id and offset to pieces with a column ``length``; the other columns go along. ``solve`` finds the
+    patterns from the histogram.
 
     Every sequence is filled from 0 without gaps. Ranks within a length come from cells (see rank_in_groups), so one
     length may hold most of the pieces. The places of a length lie in blocks of ranks: pieces and places meet on the
@@ -188,7 +189,7 @@ def place(pieces: DataFrame, length: int = 2048) -> DataFrame:
     histogram = {r["length"]: r["n"] for r in kept.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     block = 1 << max(0, max(histogram.values(), default=1).bit_length() - 10)
     ranked = rank_in_groups(kept, ["length"], F.struct(*kept.columns), kept.columns[:2], "_rank")
-    slots = places(spark, pack_patterns(histogram, length)).withColumn(
+    slots = places(spark, solve(histogram, length)).withColumn(
         "_block", F.explode(F.sequence(F.expr(f"_first div {block}"), F.expr(f"(_first + _n - 1) div {block}")))
     )
     slots = sized(slots, 200_000)

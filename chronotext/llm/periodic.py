@@ -15,11 +15,12 @@ from __future__ import annotations
 from array import array
 from bisect import bisect_left, bisect_right
 from collections import defaultdict
-from collections.abc import Iterator
-from itertools import count
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,33 +105,98 @@ def agreements(pattern: list[int], text: list[int]) -> list[int]:
     return z[m + 1 :]
 
 
+def agreement(s: list[int], i: int, j: int, most: int, step: int) -> int:
+    """How many places from i and j on (``step`` 1 or -1) agree, up to ``most``; i < j."""
+    n = min(most, len(s) - j if step > 0 else i + 1)
+    k = 0
+    while k < n and s[i] == s[j]:
+        i, j, k = i + step, j + step, k + 1
+    return k
+
+
+def over_end(s: list[int], h: int, end: int, halves: list[int]) -> Iterator[tuple[int, int, int]]:
+    """(half, forward, backward) of the squares that reach over a block's end: how far the places from end on agree with
+    those a half before, and how far backwards before it. Places are compared one by one up to a linear number of steps."""
+    size, steps = end - h, 0
+    while halves and steps <= 8 * size:
+        k = halves.pop()
+        found = k, agreement(s, end - k, end, k, 1), agreement(s, end - k - 1, end - 1, k - 1, -1)
+        steps += found[1] + found[2]
+        yield found
+    if not halves:
+        return
+    ahead = agreements(s[end : end + size], s[h : end + size])
+    back = agreements(s[h:end][::-1], s[max(0, h - size) : end][::-1])
+    for k in halves:
+        yield k, min(ahead[size - k], k), min(back[k], k - 1) if k < len(back) else 0
+
+
+def over_start(s: list[int], h: int, upto: int, halves: list[int]) -> Iterator[tuple[int, int, int]]:
+    """The same for squares that begin at or before a block and have their centre in it or the next."""
+    span, steps = upto - h, 0
+    while halves and steps <= 8 * span:
+        k = halves.pop()
+        found = k, agreement(s, h, h + k, k, 1), agreement(s, h - 1, h + k - 1, k - 1, -1) if h else 0
+        steps += found[1] + found[2]
+        yield found
+    if not halves:
+        return
+    ahead = agreements(s[h : h + span], s[h : h + 2 * span])
+    low = max(0, h - span)
+    back = agreements(s[low:h][::-1], s[low:upto][::-1]) if h else []
+    for k in halves:
+        yield k, min(ahead[k], k), min(back[span - k], k - 1) if h else 0
+
+
 def covering_squares(s: list[int], blocks: list[int]) -> Iterator[tuple[int, int]]:
-    """(start, half) of squares that cover the leftmost occurrence of every square: for each block those that begin in it
-    or before it, end at or behind its end, or have their centre in it."""
+    """(start, half) of squares that cover the leftmost occurrence of every square: for each block those that reach over
+    its end and those that begin at or before it and have their centre near. Either way a known place must equal the one
+    a half further, which leaves few halves to look at; their agreements are compared one by one up to a number of steps
+    linear in the block, the rest counted in linear time."""
     for b in range(len(blocks) - 1):
         h, end = blocks[b], blocks[b + 1]
-        size = end - h
         upto = blocks[b + 2] if b + 2 < len(blocks) else end
-        span = upto - h
-        # Halves that reach over the block's end: places end - k meet end.
-        ahead = agreements(s[end : end + size], s[h : end + size])
-        back = agreements(s[h:end][::-1], s[max(0, h - size) : end][::-1])
-        for k in range(1, size + 1):
-            forward = min(ahead[size - k], k)
-            backward = min(back[k], k - 1) if k < len(back) else 0
-            if forward and forward + backward >= k:
-                yield end - k - backward, k
-        # Halves that begin at or before the block and have their centre in it: places h + k meet h.
-        ahead = agreements(s[h : h + span], s[h : h + 2 * span])
-        low = max(0, h - span)
-        back = agreements(s[low:h][::-1], s[low:upto][::-1]) if h else []
-        for k in range(1, span + 1):
-            forward = min(ahead[k], k) if k < len(ahead) else 0
-            backward = min(back[upto - h - k], k - 1) if h else 0
+        if end < len(s):
+            number = s[end]
+            for k, forward, backward in over_end(s, h, end, [k for k in range(1, end - h + 1) if s[end - k] == number]):
+                if forward and forward + backward >= k:
+                    yield end - k - backward, k
+        number = s[h]
+        for k, forward, backward in over_start(s, h, upto, [k for k in range(1, min(upto, len(s) - 1) - h + 1) if s[h + k] == number]):
             if forward and forward + backward >= k:
                 yield h - backward, k
 
 
+@lru_cache(maxsize=1 << 16)
+def divisors(n: int) -> list[int]:
+    """Proper divisors, smallest first."""
+    low = [d for d in range(1, int(n**0.5) + 1) if n % d == 0]
+    return sorted({*low, *(n // d for d in low)} - {n})
+
+
+def primitive(s: list[int], squares: Iterable[tuple[int, int]]) -> dict[int, list[int]]:
+    """Halves by start of the squares that no shorter period holds. By ascending half: a square is one of those if it lies
+    in a run already met whose period divides its half."""
+    met: dict[int, list[tuple[int, int]]] = {}  # runs by period, by start
+    out: dict[int, list[int]] = defaultdict(list)
+    for half, start in sorted({(half, start) for start, half in squares}):
+        end = start + 2 * half
+
+        def held(p: int) -> bool:
+            runs = met.get(p, ())
+            i = bisect_right(runs, (start, len(s))) - 1
+            return i >= 0 and runs[i][1] >= end
+
+        if any(p in met and held(p) for p in divisors(half)):
+            continue
+        out[start].append(half)
+        if not held(half):
+            left = agreement(s, start - 1, start - 1 + half, len(s), -1) if start else 0
+            right = agreement(s, end - half, end, len(s), 1) if end < len(s) else 0
+            met.setdefault(half, []).append((start - left, end + right))
+    return out
+
+
 class SuffixTree:
     """The suffix tree over a sequence whose last number occurs once. Nodes: places are leaves, then inner nodes."""
 
@@ -167,8 +233,8 @@ class SuffixTree:
             if last >= 0:
                 parent[last] = stack[-1]
         self.depth, self.low, self.high, self.parent, self.above = depth, low, high, parent, above
+        self.links = [0] + [-1] * (len(depth) - 1)
         self.edges()
-        self.suffix_links()
 
     def edges(self) -> None:
         """Children as one sorted table of (parent, first number), leaves as ``inner + place in order``."""
@@ -203,27 +269,38 @@ class SuffixTree:
             node = self.child(node, self.s[at + self.depth_of(node)])
         return node
 
-    def suffix_links(self) -> None:
-        self.link = [0] * self.inner
-        for v in np.argsort(np.array(self.depth), kind="stable").tolist()[1:]:
-            u = self.parent[v]
-            self.link[v] = self.below(self.link[u] if u else 0, self.first_of(v) + 1, self.depth[v] - 1)
+    def link(self, v: int) -> int:
+        """The inner node of v's text without its first number; found once, after those of the nodes above."""
+        chain = []
+        while self.links[v] < 0:
+            chain.append(v)
+            v = self.parent[v]
+        for v in reversed(chain):
+            self.links[v] = self.below(self.links[self.parent[v]], self.first_of(v) + 1, self.depth[v] - 1)
+        return self.links[v]
 
     def places_of(self, squares: dict[int, list[int]]) -> Iterator[tuple[int, int, int]]:
         """(start, half, the first node at least 2 * half deep on the way to start's leaf), by one pass over the leaves."""
-        nodes = sorted(range(self.inner), key=lambda v: (self.low[v], self.depth[v]))
+        nodes = np.lexsort((np.array(self.depth), np.array(self.low))).tolist()
+        low, high, depth = self.low, self.high, self.depth
         path: list[int] = []
         depths: list[int] = []
         i = 0
-        for r in range(self.n):
-            while path and self.high[path[-1]] < r:
+        for r in sorted(self.rank[at] for at in squares):
+            while i < self.inner and low[nodes[i]] <= r:
+                v = nodes[i]
+                i += 1
+                if high[v] < r:
+                    continue
+                while path and high[path[-1]] < low[v]:
+                    path.pop()
+                    depths.pop()
+                path.append(v)
+                depths.append(depth[v])
+            while path and high[path[-1]] < r:
                 path.pop()
                 depths.pop()
-            while i < self.inner and self.low[nodes[i]] == r:
-                path.append(nodes[i])
-                depths.append(self.depth[nodes[i]])
-                i += 1
-            for half in squares.get(self.order[r], ()):
+            for half in squares[self.order[r]]:
                 j = bisect_left(depths, 2 * half)
                 yield self.order[r], half, path[j] if j < len(path) else self.inner + r
 
@@ -240,7 +317,7 @@ class SuffixTree:
                 found[half].append(node)
                 u = self.parent_of(node)
                 number = s[at]
-                v = self.below(self.link[u], at + 1, length - 1)
+                v = self.below(self.link(u), at + 1, length - 1)
                 if self.depth_of(v) == length - 1:
                     v = self.child(v, number) if v < self.inner else -1
                 elif s[self.first_of(v) + length - 1] != number:
@@ -265,28 +342,12 @@ def runs_of(s: np.ndarray) -> Runs:
     while at < len(s):
         blocks.append(at)
         at += max(1, longest[at])
-    squares: dict[int, set[int]] = defaultdict(set)
-    for start, half in covering_squares(tree.s, [*blocks, len(s)]):
-        squares[start].add(half)
+    squares = primitive(tree.s, covering_squares(tree.s, [*blocks, len(s)]))
     out: Runs = []
-    by_period: dict[int, tuple[list[int], list[int]]] = {}  # starts and ends of the runs of each period so far
-
-    def smaller(start: int, half: int) -> bool:
-        """Is the square made of shorter ones: does a run of a proper divisor of ``half`` hold it?"""
-        for p in [q for q in by_period if half % q == 0] if len(by_period) ** 2 < half else [q for d in range(1, int(half**0.5) + 1) if half % d == 0 for q in (d, half // d) if q in by_period]:
-            starts, ends = by_period[p]
-            i = bisect_right(starts, start) - 1
-            if i >= 0 and ends[i] >= start + 2 * half:
-                return True
-        return False
-
     for half, nodes in sorted(tree.vocabulary(squares).items()):
-        places = np.sort(np.array([i for v in nodes if not smaller(tree.first_of(v), half) for i in tree.occurrences(v)], dtype=np.int64))
-        if not len(places):
-            continue
+        places = np.sort(np.array([i for v in nodes for i in tree.occurrences(v)], dtype=np.int64))
         cut = np.flatnonzero(np.diff(places) != 1)
         starts, ends = places[np.r_[0, cut + 1]].tolist(), (places[np.r_[cut, len(places) - 1]] + 2 * half).tolist()
-        by_period[half] = starts, ends
         out += [(a, b - a, half) for a, b in zip(starts, ends, strict=True)]
     return out
 
@@ -296,8 +357,9 @@ def window_width(least: int, times: int) -> int:
     return max(1, min(max(least, times * q) - 2 * q + 1 for q in range(1, least + 1)))
 
 
-def recurring(ids: np.ndarray, of: np.ndarray, width: int) -> np.ndarray:
-    """Which words lie in a window of ``width`` words that occurs again in the same stretch (``of``)."""
+def recurring(ids: np.ndarray, of: np.ndarray, width: int, times: int) -> np.ndarray:
+    """Which words lie in a window of ``width`` words that occurs again in the same stretch (``of``), no farther off than
+    its length over ``times``: no run there has a longer period."""
     n = len(ids) - width + 1
     if n < 2:
         return np.zeros(len(ids), dtype=bool)
@@ -306,10 +368,14 @@ def recurring(ids: np.ndarray, of: np.ndarray, width: int) -> np.ndarray:
         for j in range(width):
             h = (h ^ ids[j : j + n].astype(np.uint64)) * np.uint64(0xD6E8FEB86659FD93)
             h ^= h >> np.uint64(32)
-    whole = np.flatnonzero(of[:n] == of[width - 1 :])
+    bits = min(22, n.bit_length() + 3)
+    slot = (h >> np.uint64(64 - bits)).astype(np.int64)
+    whole = np.flatnonzero((of[:n] == of[width - 1 :]) & (np.bincount(slot, minlength=1 << bits)[slot] > 1))
     by = whole[np.argsort(h[whole], kind="stable")]
-    same = h[by[1:]] == h[by[:-1]]
-    twice = by[np.r_[same, False] | np.r_[False, same]]
+    same = np.flatnonzero(h[by[1:]] == h[by[:-1]])
+    left, right = by[same], by[same + 1]
+    near = (right - left) * times <= np.bincount(of)[of[left]]
+    twice = np.union1d(left[near], right[near])
     return np.cumsum(np.bincount(twice, minlength=len(ids)) - np.bincount(twice + width, minlength=len(ids))[: len(ids)]) > 0
 
 
@@ -321,18 +387,17 @@ def stretches(marked: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def runs_of_texts(texts: list[np.ndarray], least: int, times: int) -> list[Runs]:
-    """Per text its runs of at least max(least, times * period) words, by start, then period."""
-    out: list[Runs] = [[] for _ in texts]
-    sizes = [len(t) for t in texts]
-    if not sum(sizes):
+def runs_of_texts(ids: np.ndarray, sizes: np.ndarray, least: int, times: int) -> list[Runs]:
+    """Per text its runs of at least max(least, times * period) words, by start, then period; ``ids`` are the words of
+    all texts, ``sizes`` how many each has."""
+    out: list[Runs] = [[] for _ in sizes]
+    if not len(ids):
         return out
-    ids, of = np.concatenate(texts).astype(np.int64), np.repeat(np.arange(len(texts)), sizes)
-    offset = np.r_[0, np.cumsum(sizes)]
+    of, offset = np.repeat(np.arange(len(sizes)), sizes), np.r_[0, np.cumsum(sizes)]
     width = window_width(least, times)
     group, kept = of, np.arange(len(ids))
     for _ in range(4):  # a window must come again inside its own stretch, so a cut can lead to more
-        begins, ends = stretches(recurring(ids[kept], group, width), group)
+        begins, ends = stretches(recurring(ids[kept], group, width, times), group)
         begins, ends = begins[ends - begins >= least], ends[ends - begins >= least]
         if not len(begins):
             return out
@@ -360,13 +425,26 @@ def runs_of_texts(texts: list[np.ndarray], least: int, times: int) -> list[Runs]
     return out
 
 
-def kept_words(n: int, runs: Runs) -> np.ndarray:
-    """Which words stay when each run keeps its first period only."""
-    edge = np.zeros(n + 1, dtype=np.int64)
-    for start, length, period in runs:
-        edge[start + period] += 1
-        edge[start + length] -= 1
-    return np.cumsum(edge[:-1]) == 0
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of some texts (what lies between blanks and the characters 9 to 13), and how many each text has."""
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    flat = lists.flatten()
+    there = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    return flat.filter(pa.array(there)), np.diff(np.r_[0, np.cumsum(there)][offsets - offsets[0]])
+
+
+def joined(words: pa.Array, sizes: np.ndarray, runs: list[Runs]) -> pa.Array:
+    """The words of each text with one blank between, each run keeping its first period only."""
+    offset = np.r_[0, np.cumsum(sizes)]
+    drop = np.zeros(len(words) + 1, dtype=np.int64)
+    for begin, found in zip(offset, runs, strict=False):
+        for start, length, period in found:
+            drop[begin + start + period] += 1
+            drop[begin + start + length] -= 1
+    stay = np.cumsum(drop[:-1]) == 0
+    left = np.r_[0, np.cumsum(stay)][offset]
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(left, pa.int32()), words.filter(pa.array(stay))), " ")
 
 
 def strongest(runs: str | Column) -> Column:
@@ -411,16 +489,10 @@ def find_runs(docs: DataFrame, least: int = 6, times: int = 4, key: str = "doc_i
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary()).to_pylist()
-            for begin, end in text_slices(texts):
-                split = [(t or b"").split() for t in texts[begin:end]]  # of bytes: blanks and the characters 9 to 13
-                number: defaultdict[bytes, int] = defaultdict(count().__next__)
-                found = runs_of_texts([np.fromiter(map(number.__getitem__, w), dtype=np.int64, count=len(w)) for w in split], least, times)
-                collapsed = []
-                for w, runs in zip(split, found, strict=True):
-                    stay = w if not runs else [w[i] for i in np.flatnonzero(kept_words(len(w), runs)).tolist()]
-                    collapsed.append(b" ".join(stay))
-                listed = [[dict(zip(("start", "length", "period"), r, strict=True)) for r in runs] for runs in found]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array([len(w) for w in split], pa.int64()), pa.array(listed, kind), pa.array(collapsed, pa.binary()).cast(pa.string(), safe=False)], names=schema.names)
+            for begin, end in text_slices(batch.column(1).cast(pa.binary()).to_pylist()):
+                words, sizes = split_words(batch.column(1).slice(begin, end - begin))
+                runs = runs_of_texts(words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64), sizes, least, times)
+                listed = [[dict(zip(("start", "length", "period"), r, strict=True)) for r in found] for found in runs]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, end - begin), pa.array(sizes, pa.int64()), pa.array(listed, kind), joined(words, sizes, runs)], names=schema.names)
 
     return arrow_map(source, step, schema)

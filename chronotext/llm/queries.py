@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronotext.llm import decontamination, language_id, merkle, packing, periodic, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
+from chronotext.llm import best_fit, decontamination, language_id, merkle, packing, periodic, quality_classifier, quality_rules, sharding, simhash, tokens, url_filter, warc
 from chronotext.llm.common import spread
 from chronotext.session import shared_path
 
@@ -109,6 +109,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = best_fit.whole_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.place(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), 1024, best_fit.patterns)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars"]
     docs = spread(table(spark, sf_dir, "documents").select(*fields, "text"))
@@ -196,7 +201,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op7_language_id, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits, op12_merkle_manifest, op13_periodic_runs)}
+    return {f.__name__: f for f in (op1_url_filters, op2_quality_classifier, op3_benchmark_decontamination, op4_packing, op5_sharding, op6_quality_rules, op7_language_id, op8_simhash_near_dedup, op9_token_counts, op10_warc_revisits, op11_best_fit_packing, op12_merkle_manifest, op13_periodic_runs)}
 
 
 def oracle_sql() -> dict[str, str]:

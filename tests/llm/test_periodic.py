@@ -65,7 +65,7 @@ def test_batches_of_texts_and_other_limits():
                 words = words[:at] + [draw.randrange(letters) for _ in range(draw.randint(1, 6))] * draw.randint(2, 7) + words[at:]
             texts.append(words)
         for least, times in ((6, 4), (2, 2), (5, 3), (30, 2)):
-            got = periodic.runs_of_texts([np.array(t, dtype=np.int64) for t in texts], least, times)
+            got = periodic.runs_of_texts(np.array(sum(texts, []), dtype=np.int64), np.array([len(t) for t in texts], dtype=np.int64), least, times)
             assert got == [plain_runs(t, least, times) for t in texts]
 
 
