@@ -93,3 +93,38 @@ CHAPTER_LINE = r"^(?:[-*•·]\s*)?[\[(]?(\d{1,2}:\d{2}(?::\d{2})?)[\])]?(?:\s*[
 
 # The parts of a query, and what parts its words.
 QUERY_PART, NO_WORD = r'"([^"]*)"?|([^\s"]+)', r"[^\p{L}\p{N}]+"
+
+# A name that a read may sell under, capitalised words that are none, and words that bring the show back.
+SOLD_NAME = r"(?<![\p{L}\d])\p{Lu}[\p{L}\d'’-]{2,}"
+NOT_SOLD = """The And But So Now This That With When What Our Your You We It If Right Okay Alright Here There They She He Just Today Visit Get Try For Plus
+Terms Go Head""".split()
+RESUMES = (
+    r"(?i)\b(?:welcome(?: back)? to|(?:my|our) (?:conversation|interview|chat|talk) with|joining (?:me|us)|back to the show|(?:and )?we(?:'re| are) back|"
+    r"let['’]?s get (?:back )?(?:into|to) it|on the show today|today on the show)\b"
+)
+
+# Wordings with which a voice names itself, names its guest, and welcomes, and openings of a question.
+INTRODUCES = (
+    "I'm", "I am", "my name is", "my name's", "jeg er", "jeg heter", "jeg hedder", "mitt navn er", "mit navn er", "je suis", "je m'appelle", "moi c'est",
+    "ich bin", "ich heiße", "mein name ist", "soy", "me llamo", "mi nombre es", "sono", "mi chiamo", "il mio nome è",
+)
+HOSTS = (
+    "I'm here with", "I am here with", "I'm joined (?:today |now )?by", "joining me (?:today |now |this week )?(?:is|are)", "my guest (?:today |this week )?is",
+    "today I'm (?:talking|speaking) (?:with|to)", "I'm (?:talking|speaking) (?:today )?(?:with|to)",
+)
+WELCOMES = (
+    "welcome", "velkommen", "bienvenue", "bienvenu", "bienvenus", "willkommen", "herzlich willkommen", "bienvenido", "bienvenida", "bienvenidos",
+    "benvenuto", "benvenuta", "benvenuti",
+)
+WELCOME_BACK = "back|tilbake|igen|de nouveau|zurück|de nuevo|di nuovo"
+WELCOME_PLACE = (
+    "to the (?:show|program|podcast)", "(?:dans|à) (?:l'émission|le podcast)", "(?:in der sendung|im podcast|bei uns)", "(?:al (?:programa|podcast))",
+    "(?:nel podcast|in trasmissione)",
+)
+ADDRESS_OPENERS = "So|And|Well|OK|Okay|Alors|Et|Also|Und|Bueno|Y|Allora|E|Så|Og"
+
+# Last words that make a capitalised pair an organisation or a thing.
+NOT_PERSONS = """foundation times post news institute university college school company corporation corp inc group lab labs show podcast network media studio
+studios production productions records press journal review magazine council committee agency department ministry party bank fund association society club
+center centre recommendation recommendations risk risks house street park city state states ai tv radio kingdom union republic nations church museum
+hospital court office program project""".split()
