@@ -10,7 +10,7 @@ from chronotext.functions import fixed
 from chronotext.functions import text as tx
 from chronotext.functions.times import half_up
 from chronotext.operators.intervals import islands, merge_spans
-from chronotext.session import written
+from chronotext.operators.voices import nobody, pairs_of, settled
 
 SENTENCE_GAP = r"(?<=[.!?…])\s+(?=[\"“‘(]?[\p{Lu}\d])"
 
@@ -148,19 +148,13 @@ def foreign_language(scores: DataFrame, keys: list[str], own: list[str], least:
 def assign_names(votes: DataFrame, key: str, least: float = 2.0) -> DataFrame:
     """Names for voices, each used once: key, voice, name. votes: key, voice, name, weight.
 
-    In each round every pair that is the best of its voice and of its name is settled; what they use up is left out of
-    the next. That is the greedy assignment by weight, ties by voice, then name. Rounds go on until no pair is open, each
-    from a table that the one before wrote; all keys take theirs together. No votes give no rows.
+    The greedy assignment by weight (summed, ``least`` or more), ties by voice, then name. All votes of a key, an episode,
+    are one array that is folded in the JVM. No votes give no rows.
     """
-    open_ = written(votes.groupBy(key, "voice", "name").agg(F.sum("weight").alias("c")).filter(F.col("c") >= least), "votes")
-    order = [F.desc("c"), F.col("voice"), F.col("name")]
-    done = open_.select(key, "voice", "name").limit(0)
-    while not open_.isEmpty():
-        ranked = open_.withColumns({"_v": F.row_number().over(Window.partitionBy(key, "voice").orderBy(*order)), "_n": F.row_number().over(Window.partitionBy(key, "name").orderBy(*order))})
-        settled = written(ranked.filter("_v = 1 AND _n = 1").select(key, "voice", "name"), "settled")
-        done = done.unionByName(settled)
-        open_ = written(open_.join(settled.select(key, "voice"), [key, "voice"], "left_anti").join(settled.select(key, "name"), [key, "name"], "left_anti"), "votes")
-    return done
+    kind = votes.schema["voice"].dataType.simpleString()
+    enough = F.filter("pairs", lambda p: p["minus"] <= -least)
+    done = settled(enough, nobody(kind), lambda s, p: F.lit(True))["done"]
+    return pairs_of(votes, key).select(key, F.explode(done).alias("_d")).select(key, "_d.voice", "_d.name")
 
 
 def suggested_repairs(stats: DataFrame) -> DataFrame:
