@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chronotext.operators.ranks import at_share, order_statistics
+from chronotext.session import written
 from chronotext.operators.intervals import islands
 
 
@@ -48,7 +50,10 @@ def delta_decode(coded: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def order_statistic(values: Column, share: float, last: bool = False) -> Column:
-    """Aggregate: the value at floor(share * n) of the sorted values (``last``: at floor(share * (n - 1))); no interpolation."""
+    """Aggregate: the value at floor(share * n) of the sorted values (``last``: at floor(share * (n - 1))); no interpolation.
+
+    It lists a group, so groups must be small (days of a user, frames of an episode); ``ranks.order_statistics`` is for others.
+    """
     ordered = F.array_sort(F.collect_list(values))
     n = F.size(ordered)
     at = F.floor((n - 1) * share) if last else F.least(n - 1, F.floor(n * share))
@@ -57,7 +62,7 @@ def order_statistic(values: Column, share: float, last: bool = False) -> Column:
 
 def quiet_ranges(frames: DataFrame, keys: list[str], seconds: float = 0.02, least: float = 0.25, span: float = 20.0, fewest: int = 50) -> DataFrame:
     """Pauses: runs of frames under a level set between the 5th and 95th percentile: keys, start, end. frames: keys, frame, db."""
-    levels = frames.groupBy(*keys).agg(order_statistic(F.col("db"), 0.95).alias("_hi"), order_statistic(F.col("db"), 0.05).alias("_lo"), F.count(F.lit(1)).alias("_n"))
+    levels = order_statistics(frames, keys, "db", {"_hi": at_share(0.95), "_lo": at_share(0.05)})
     limit = F.least(F.col("_hi") - 18, F.greatest(F.col("_lo") + 6, F.col("_hi") - 35))
     usable = levels.filter((F.col("_n") >= fewest) & (F.col("_hi") - F.col("_lo") >= span)).select(*keys, limit.alias("_limit"))
     flagged = frames.join(usable, keys).withColumn("_quiet", F.col("db") < F.col("_limit"))
@@ -116,3 +121,52 @@ def gap_clusters(df: DataFrame, keys: list[str], value: str, gap: float) -> Data
     w = Window.partitionBy(*keys).orderBy(value)
     found = islands(df, keys, [value], F.col(value) - F.lag(value).over(w) > gap)
     return found.groupBy(*keys, "island").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n"), F.avg(value).alias("centre")).drop("island")
+
+
+def apart(spots: DataFrame, keys: list[str], at: str, value: str, width: float, top: int = 8, taken: DataFrame | None = None) -> DataFrame:
+    """Spots at least ``width`` apart, best first, at most ``top`` a key: keys, at, value (null for a taken one).
+
+    Greedy by value, ties by the earlier spot; a spot nearer than ``width`` to one already chosen is left out. taken: keys,
+    at of spots that are chosen beforehand, kept in any case and counted first. Found by rounds of local bests: a spot that
+    no nearer open spot surpasses is chosen, its neighbours go, until none is open. A round compares a spot only with those
+    of its own stretch of ``width`` and the two beside it, so no key is a group. Null values and places are left out.
+    """
+    order = F.struct(F.col(value).alias("v"), (-F.col(at)).alias("a"))
+    open_ = spots.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*keys, at).agg(F.max(value).alias(value))
+
+    def spread(df: DataFrame, names: dict[str, str]) -> DataFrame:
+        near = df.withColumn("_c", F.explode(F.array(*[F.floor(F.col(at) / width) + d for d in (-1, 0, 1)])))
+        return near.withColumnsRenamed(names)
+
+    def beside(df: DataFrame, others: DataFrame, extra: Column) -> DataFrame:
+        match = (F.col("_own") == F.col("_c")) & (F.abs(F.col(at) - F.col("_at")) < width) & extra
+        for i, k in enumerate(keys):
+            match &= F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        return df.withColumn("_own", F.floor(F.col(at) / width)).join(others, match, "left_anti").drop("_own")
+
+    named = {at: "_at", value: "_value", **{k: f"_k{i}" for i, k in enumerate(keys)}}
+    chosen = None
+    if taken is not None:
+        chosen = taken.select(*keys, F.col(at).cast(spots.schema[at].dataType).alias(at), F.lit(None).cast(spots.schema[value].dataType).alias(value)).distinct()
+        open_ = beside(open_, spread(chosen, named).drop("_value"), F.lit(True))
+    open_ = written(open_, "open")
+    while not open_.isEmpty():
+        better = F.struct(F.col("_value").alias("v"), (-F.col("_at")).alias("a")) > order
+        best = written(beside(open_, spread(open_, named), better), "chosen")
+        chosen = best if chosen is None else chosen.unionByName(best)
+        open_ = written(beside(open_, spread(best, named).drop("_value"), F.lit(True)), "open")
+    if chosen is None:
+        return open_
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(value).desc_nulls_first(), F.col(at)))
+    return chosen.withColumn("_rank", rank).filter(F.col("_rank") <= top).drop("_rank")
+
+
+def window_sums(df: DataFrame, keys: list[str], at: str, value: str, width: int, step: int, last: str) -> DataFrame:
+    """Sums over ``width`` whole places from every ``step``-th on, where they are not zero: keys, at, total.
+
+    ``last``: a column with the number of places of the key (from 0); windows end inside it. Places without a row count 0.
+    """
+    low = F.greatest(F.lit(0), F.ceil((F.col(at) - width + 1) / step))
+    high = F.least(F.floor(F.col(at) / step), F.floor((F.col(last) - width) / step))
+    fits = df.filter(high >= low).withColumn("_w", F.explode(F.sequence(low, high)))
+    return fits.groupBy(*keys, (F.col("_w") * step).alias(at)).agg(F.sum(value).alias("total")).filter("total <> 0")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from chronotext.queries import alignment, files, library, names, recognition, records, search, signals, speech, sponsors, streams, text, vectors  # noqa: F401
+from chronotext.queries import alignment, files, library, names, pages, recognition, records, search, signals, speech, sponsors, streams, text, vectors  # noqa: F401
 from chronotext.queries.registry import ORACLES, QUERIES, Query
 
 

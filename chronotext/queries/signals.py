@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from chronotext.functions import times as tm
-from chronotext.operators import folds, intervals, sequence
+from chronotext.operators import folds, intervals, ranks, sequence
 from chronotext.queries.registry import query
 from chronotext.queries.views import SPANS, spans
 from chronotext.session import table
@@ -53,9 +53,9 @@ def loudness_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_type, max(v) FILTER (k = least(n - 1, floor(0.95::DOUBLE * n))) AS p95, max(v) FILTER (k = least(n - 1, floor(0.05::DOUBLE * n))) AS p05, max(v) FILTER (k = floor((n - 1) * 0.5::DOUBLE)) AS middle
 FROM (SELECT event_type, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type""")
 def order_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles that are values of the set, in both index forms."""
-    v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(sequence.order_statistic(v, 0.95).alias("p95"), sequence.order_statistic(v, 0.05).alias("p05"), sequence.order_statistic(v, 0.5, last=True).alias("middle"))
+    """Percentiles that are values of the set, in both index forms; five groups, so by refined counts."""
+    wanted = {"p95": ranks.at_share(0.95), "p05": ranks.at_share(0.05), "middle": ranks.at_share(0.5, last=True)}
+    return ranks.order_statistics(table(spark, sf_dir, "events"), ["event_type"], "value", wanted).drop("_n")
 
 
 @query("""WITH b AS (SELECT user_id, CAST(floor((epoch(ts) - 1704067200) / 86400) AS BIGINT) AS bar, max(value) AS v FROM events GROUP BY 1, 2),
@@ -69,47 +69,47 @@ def bar_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bars.join(peak, "user_id").select("user_id", "bar", F.round(F.least(F.lit(1.0), F.pow(F.col("v") / F.col("peak"), 0.75)), 4).alias("height"))
 
 
-FRAMES = """f AS (SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, 10 * log10(value * value / 10000 + 1e-10) AS db FROM events),
-v AS (SELECT event_type, max(db) FILTER (k = least(n - 1, floor(0.95::DOUBLE * n))) AS hi, max(db) FILTER (k = least(n - 1, floor(0.05::DOUBLE * n))) AS lo FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY db) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM f) GROUP BY 1),
-q AS (SELECT f.event_type, frame, db < least(hi - 18, greatest(lo + 6, hi - 35)) AS quiet FROM f JOIN v ON f.event_type = v.event_type WHERE hi - lo >= 20),
-i AS (SELECT *, sum(CASE WHEN quiet IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY event_type ORDER BY frame) AS island FROM (SELECT *, lag(quiet) OVER (PARTITION BY event_type ORDER BY frame) AS was FROM q)),
-r AS (SELECT event_type, min(frame) AS a, max(frame) + 1 AS b FROM i WHERE quiet GROUP BY event_type, island)"""
+FRAMES = """f AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, 10 * log10(value * value / 10000 + 1e-10) AS db FROM events),
+v AS (SELECT user_id, max(db) FILTER (k = least(n - 1, floor(0.95::DOUBLE * n))) AS hi, max(db) FILTER (k = least(n - 1, floor(0.05::DOUBLE * n))) AS lo, max(n) AS n FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY db) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM f) GROUP BY 1),
+q AS (SELECT f.user_id, frame, db < least(hi - 18, greatest(lo + 6, hi - 35)) AS quiet FROM f JOIN v ON f.user_id = v.user_id WHERE hi - lo >= 20 AND v.n >= 50),
+i AS (SELECT *, sum(CASE WHEN quiet IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM (SELECT *, lag(quiet) OVER (PARTITION BY user_id ORDER BY frame) AS was FROM q)),
+r AS (SELECT user_id, min(frame) AS a, max(frame) + 1 AS b FROM i WHERE quiet GROUP BY user_id, island)"""
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    return table(spark, sf_dir, "events").select("event_type", (F.row_number().over(w) - 1).alias("frame"), (10 * F.log10(F.col("value") * F.col("value") / 10000 + 1e-10)).alias("db"), "value")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("frame"), (10 * F.log10(F.col("value") * F.col("value") / 10000 + 1e-10)).alias("db"), "value")
 
 
-@query(f"""WITH {FRAMES} SELECT event_type, a * 0.25::DOUBLE AS start, b * 0.25::DOUBLE AS "end" FROM r""")
+@query(f"""WITH {FRAMES} SELECT user_id, a * 0.25::DOUBLE AS start, b * 0.25::DOUBLE AS "end" FROM r""")
 def quiet_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of quiet frames against levels of the whole."""
-    return sequence.quiet_ranges(frames(spark, sf_dir), ["event_type"], seconds=0.25)
+    return sequence.quiet_ranges(frames(spark, sf_dir), ["user_id"], seconds=0.25)
 
 
-@query(f"""WITH {FRAMES} SELECT event_type, a * 0.25::DOUBLE + 0.1::DOUBLE AS "from", b * 0.25::DOUBLE - 0.12::DOUBLE AS "to" FROM r WHERE (b - a) * 0.25 > 0.2 AND b * 0.25::DOUBLE - 0.12::DOUBLE - (a * 0.25::DOUBLE + 0.1::DOUBLE) >= 0.2""")
+@query(f"""WITH {FRAMES} SELECT user_id, a * 0.25::DOUBLE + 0.1::DOUBLE AS "from", b * 0.25::DOUBLE - 0.12::DOUBLE AS "to" FROM r WHERE (b - a) * 0.25 > 0.2 AND b * 0.25::DOUBLE - 0.12::DOUBLE - (a * 0.25::DOUBLE + 0.1::DOUBLE) >= 0.2""")
 def quiet_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M4: what may be left out of the pauses."""
-    return sequence.cuts(quiet_ranges(spark, sf_dir), 0.2).select("event_type", "from", "to")
+    return sequence.cuts(quiet_ranges(spark, sf_dir), 0.2).select("user_id", "from", "to")
 
 
-@query("""WITH f AS (SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, CASE WHEN value > 30 THEN user_id % 3 END AS v FROM events)
-SELECT event_type, frame, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM f""")
+@query("""WITH f AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, CASE WHEN value > 30 THEN length(event_type) % 3 END AS v FROM events)
+SELECT user_id, frame, coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY frame ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS v FROM f""")
 def filled_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unknown labels take the one before, else the one after."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = table(spark, sf_dir, "events").select("event_type", (F.row_number().over(w) - 1).alias("frame"), F.when(F.col("value") > 30, F.col("user_id") % 3).alias("v"))
-    return sequence.fill_gaps(f, ["event_type"], "frame", "v")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    f = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("frame"), F.when(F.col("value") > 30, F.length("event_type") % 3).alias("v"))
+    return sequence.fill_gaps(f, ["user_id"], "frame", "v")
 
 
-@query("""WITH f AS (SELECT event_type, CAST(row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, user_id % 3 AS v FROM events),
-n AS (SELECT a.event_type, a.frame, b.v, count(*) AS c FROM f a JOIN f b ON a.event_type = b.event_type AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 GROUP BY ALL)
-SELECT event_type, frame, min_by(v, (-c, v)) AS smooth FROM n GROUP BY event_type, frame""")
+@query("""WITH f AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INTEGER) AS frame, length(event_type) % 3 AS v FROM events),
+n AS (SELECT a.user_id, a.frame, b.v, count(*) AS c FROM f a JOIN f b ON a.user_id = b.user_id AND b.frame BETWEEN a.frame - 3 AND a.frame + 3 GROUP BY ALL)
+SELECT user_id, frame, min_by(v, (-c, v)) AS smooth FROM n GROUP BY user_id, frame""")
 def smoothed_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most frequent label of the three rows on either side."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id")
-    f = table(spark, sf_dir, "events").select("event_type", (F.row_number().over(w) - 1).alias("frame"), (F.col("user_id") % 3).alias("v"))
-    return sequence.smooth_mode(f, ["event_type"], "frame", "v").select("event_type", "frame", "smooth")
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    f = table(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("frame"), (F.length("event_type") % 3).alias("v"))
+    return sequence.smooth_mode(f, ["user_id"], "frame", "v").select("user_id", "frame", "smooth")
 
 
 @query("""WITH h AS (SELECT user_id, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS hour, CAST(sum(CAST(round(value * 100) AS BIGINT)) AS BIGINT) AS v FROM events GROUP BY 1, 2),
@@ -144,8 +144,8 @@ def frame_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def window_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cut is the quietest frame 18 to 29.5 seconds after the one before."""
-    f = frames(spark, sf_dir).select("event_type", (F.col("frame") * 0.1).alias("at"), F.col("value").alias("e"))
-    return folds.window_cuts(f, "event_type")
+    f = frames(spark, sf_dir).select("user_id", (F.col("frame") * 0.8).alias("at"), F.col("value").alias("e"))
+    return folds.window_cuts(f, "user_id", frame=0.8)
 
 
 @query("""WITH m AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS d, avg(value) AS l FROM events GROUP BY 1, 2), a AS (SELECT user_id, avg(l) AS base FROM m WHERE l > 20 GROUP BY user_id)
@@ -178,3 +178,15 @@ def levels_coded(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = F.expr("char(cast(1 + floor(value) as int) % 127 + 1)")
     rows = F.array_sort(F.collect_list(F.struct("ts", "event_id", one.alias("c")))).getField("c")
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.translate(F.base64(F.array_join(rows, "").cast("binary")), "\r\n", "").alias("levels"))
+
+
+@query()
+def preview_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user the hours with most errors in twelve, every fifth hour on, none within twelve of another, and the
+    busiest window before them; tests hold the choice against a greedy loop."""
+    first = F.floor(F.unix_seconds("ts") / 3600)
+    e = table(spark, sf_dir, "events").select("user_id", (first - F.min(first).over(Window.partitionBy("user_id"))).alias("hour"), (F.col("event_type") == "error").cast("long").alias("v"))
+    counted = e.groupBy("user_id", "hour").agg(F.sum("v").alias("v")).withColumn("hours", F.max("hour").over(Window.partitionBy("user_id")) + 1)
+    sums = sequence.window_sums(counted, ["user_id"], "hour", "v", 12, 5, "hours")
+    worst = sequence.best_window(counted.select("user_id", "hour", "v"), ["user_id"], "hour", "v", 12, 2)
+    return sequence.apart(sums, ["user_id"], "hour", "total", 12, 8, worst.select("user_id", "hour")).select("user_id", "hour", "total")

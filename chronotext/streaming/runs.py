@@ -90,7 +90,7 @@ def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def voices(spark: SparkSession, sf_dir: str, threshold: float = 0.5, cap: float = 30.0, shortest: float = 2.5) -> DataFrame:
     """Online voices with the voices heard so far as state of each recording."""
     ship(spark)
-    rows = stream(spark, sf_dir, "embeddings").select((F.col("vec_id") % 10).alias("episode_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v"), (F.col("vec_id") % 7 + 1).cast("double").alias("seconds"))
+    rows = stream(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 40).alias("episode_id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("v"), (F.col("vec_id") % 7 + 1).cast("double").alias("seconds"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         flat, weights = state.get if state.exists else ([], [])
