@@ -128,3 +128,13 @@ NOT_PERSONS = """foundation times post news institute university college school
 studios production productions records press journal review magazine council committee agency department ministry party bank fund association society club
 center centre recommendation recommendations risk risks house street park city state states ai tv radio kingdom union republic nations church museum
 hospital court office program project""".split()
+
+# kbit/s of MPEG audio by version (1, or 2 and 2.5), layer and index, and sampling rates by the header's version bits.
+MPEG_KBPS = {
+    (1, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
+    (1, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
+    (1, 3): (0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320),
+    (2, 1): (0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256),
+    (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
+}
+MPEG_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}

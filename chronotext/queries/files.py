@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from chronotext.functions import fixed
 from chronotext.functions import text as tx
 from chronotext.queries.registry import query
 from chronotext.session import table
-from chronotext.sources import feeds
+from chronotext.sources import feeds, mpeg
 
 
 @query("""SELECT c_custkey AS id, c_name AS title, 'https://feeds.example/' || c_custkey AS url FROM customer""")
@@ -65,3 +67,20 @@ def chapters_from_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = lines.groupBy(F.col("o_custkey").alias("episode")).agg(F.array_join(F.array_sort(F.collect_list(F.struct("s", "line"))).getField("line"), "").alias("html"))
     found = notes.withColumn("chapters", feeds.note_chapters(F.col("html"))).filter(F.size("chapters") > 0)
     return found.select("episode", F.size("chapters").cast("long").alias("n"), F.col("chapters")[0]["start"].alias("first"))
+
+
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, 5 + event_id % 8 AS i, event_id % 2 AS pad FROM events),
+l AS (SELECT *, 144000 * ([32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320])[i] // 44100 + pad AS n, CASE WHEN k % 10 = 7 THEN 3 ELSE 0 END AS junk FROM e),
+p AS (SELECT *, sum(n + junk) OVER (PARTITION BY user_id ORDER BY k) - n - junk AS place, count(*) OVER (PARTITION BY user_id) AS frames FROM l)
+SELECT CAST(user_id AS VARCHAR) AS path, k AS frame, CAST(place AS BIGINT) AS place, 1152 AS samples, 44100 AS rate FROM p WHERE frames >= 50""")
+def mpeg_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of a file for each user, whose events are frames of their own bit rates, some with junk behind."""
+    k = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    e = table(spark, sf_dir, "events").select("user_id", k.alias("k"), (5 + F.col("event_id") % 8).cast("int").alias("i"), (F.col("event_id") % 2).alias("pad"))
+    kbps = F.element_at(F.array(*map(F.lit, fixed.MPEG_KBPS[1, 3])), F.col("i") + 1)
+    size = F.floor(144_000 * kbps / 44_100) + F.col("pad")
+    head = F.concat(F.lit("FFFB"), F.lpad(F.hex(F.shiftleft("i", 4) + F.shiftleft(F.col("pad").cast("int"), 1)), 2, "0"), F.lit("00"))
+    frame = F.concat(head, F.repeat(F.lit("00"), (size - 4 + F.when(F.col("k") % 10 == 7, 3).otherwise(0)).cast("int")))
+    whole = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("k", frame.alias("hex")))).alias("f"))
+    content = F.unhex(F.array_join("f.hex", ""))
+    return mpeg.frame_index(mpeg.cut_windows(whole.select(F.col("user_id").cast("string").alias("path"), content.alias("content"))))
