@@ -138,3 +138,10 @@ MPEG_KBPS = {
     (2, 2): (0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160),
 }
 MPEG_RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+
+# Words that every title has, and what stands before an episode's number.
+TITLE_FILLER = "podcast podcasts episode episodes ep full the a an and of with feat ft audio video official interview show part with mit avec con et und y e le la el il der die das".split()
+EPISODE_WORDS = "ep|eps|episode|episodio|épisode|folge|puntata|afsnit|avsnitt|episod"
+
+# Lines that look like a speaker's label and are none.
+NO_LABELS = r"NOTE|TRANSCRIPT|EPISODE|SHOW NOTES|PREVIOUS|NEXT|SHARE|COPYRIGHT|SPONSOR|ADVERTISEMENT|SOURCES?|RESOURCES|PHOTO|IMAGE|TAGS|LISTEN|SUBSCRIBE|SEE ALSO|READ MORE|RELATED"

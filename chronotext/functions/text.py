@@ -208,14 +208,23 @@ def trim_starters(term: Column) -> Column:
     return F.array_join(F.slice(parts, F.when(first > 0, first).otherwise(F.size(parts)), F.size(parts)), " ")
 
 
+def title_words(title: Column) -> Column:
+    """Words of a title in lower case without accents; a number sign stays."""
+    plain = F.regexp_replace(F.translate(F.lower(F.coalesce(title, F.lit(""))), ACCENTS + "å", BASES + "a"), r"\p{M}", "")
+    return F.filter(F.split(plain, r"[^\p{L}\p{N}#]+"), lambda w: w != "")
+
+
 def key_words(title: Column, show: Column) -> Column:
-    """Words of a title that tell it apart: no filler, none of the show's, two letters or more, each once."""
-    filler = F.array(*map(F.lit, "the a an and of to in on with for from episode ep part podcast show".split()))
-    return F.filter(F.array_except(F.array_except(F.split(norm_title(title), " "), filler), F.split(norm_title(show), " ")), lambda w: F.length(w) > 2)
+    """Words of a title that tell it apart, as often as they stand there: no tags or handles, no filler, none of the show's,
+    three letters or more or with a digit."""
+    found = title_words(F.regexp_replace(F.coalesce(title, F.lit("")), r"#[\p{L}_]+|@[\w.]+", " "))
+    ours = F.array_union(F.array(*map(F.lit, fixed.TITLE_FILLER)), title_words(show))
+    return F.filter(found, lambda w: ((F.length(w) > 2) | w.rlike(r"\d")) & ~F.array_contains(ours, w))
 
 
 def episode_number(title: Column) -> Column:
-    return F.try_to_number(F.nullif(F.regexp_extract(title, r"(?i)(?:^|\b)(?:ep(?:isode)?|folge|#)\.?\s*(\d{1,5})\b", 1), F.lit("")), F.lit("99999")).cast("int")
+    """The number of an episode that a title gives, in the wordings of several languages; null if none."""
+    return F.nullif(F.regexp_extract(title, rf"(?iu)(?:#|(?:^|[^\p{{L}}])(?:{fixed.EPISODE_WORDS})\.?\s*)(\d{{1,4}})(?!\d)", 1), F.lit("")).cast("int")
 
 
 def excerpt(text: Column, at: Column, reach: int = 40) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronotext.operators import pages as pg
 from chronotext.queries.registry import query
 from chronotext.session import table
+from chronotext.sources import scripts
 
 
 def told_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,3 +56,19 @@ def repaired_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     url, k = F.col("url"), F.col("page_id") % 5
     raw = F.when(k == 0, F.concat(F.lit("See "), url, F.lit(")."))).when(k == 1, F.regexp_replace(url, r"^\w+://", "")).when(k == 2, F.concat(F.lit("<"), url, F.lit(">"))).when(k == 3, "no link").otherwise(F.concat(F.lit(" "), url, F.lit(" ")))
     return table(spark, sf_dir, "pages").select("page_id", pg.repaired_link(raw).alias("link"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, upper(role) AS role, trim(regexp_replace(regexp_replace(text, '[<>&:]', ' ', 'g'), '\s+', ' ', 'g')) AS said  FROM conversations WHERE text IS NOT NULL),
+n AS (SELECT *, count(*) OVER (PARTITION BY conv_id, role) >= 4 AS real FROM t WHERE said <> ''),
+k AS (SELECT *, count(*) FILTER (real) OVER (PARTITION BY conv_id ORDER BY turn) AS part, CASE WHEN real THEN said WHEN len(string_split(said, ' ')) >= 2 THEN role || ': ' || said END AS words FROM n),
+g AS (SELECT conv_id, part, max(role) FILTER (real) AS speaker, string_agg(words, ' ' ORDER BY turn) AS text FROM k WHERE part > 0 GROUP BY 1, 2),
+b AS (SELECT *, min(CASE WHEN len(string_split(text, ' ')) >= 25 THEN part END) OVER (PARTITION BY conv_id) AS first FROM g)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part) - 1 AS turn, speaker, length(text) AS n FROM b WHERE part >= coalesce(first, 0)""")
+def transcript_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as published pages, a label on each turn, read back as turns of those labels that recur;
+    what a rare label says joins the turn before it."""
+    said = F.trim(F.regexp_replace(F.regexp_replace("text", "[<>&:]", " "), r"\s+", " "))
+    rows = table(spark, sf_dir, "conversations").filter("text IS NOT NULL").select("conv_id", "turn", F.upper("role").alias("role"), said.alias("said"))
+    line = F.concat(F.lit("<p>"), "role", F.lit(": "), "said", F.lit("</p>"))
+    html = F.concat(F.lit("<script>no()</script><h1>On the air</h1>"), F.array_join(F.array_sort(F.collect_list(F.struct("turn", line.alias("l")))).getField("l"), ""))
+    return scripts.transcript_turns(rows.groupBy("conv_id").agg(html.alias("html")), "conv_id").select("conv_id", "turn", "speaker", F.length("text").alias("n"))

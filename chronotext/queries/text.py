@@ -10,7 +10,7 @@ from chronotext.functions import fixed
 from chronotext.functions import text as tx
 from chronotext.functions import times as tm
 from chronotext.functions import web
-from chronotext.operators import folds
+from chronotext.operators import folds, titles
 from chronotext.operators.records import top_per
 from chronotext.queries.registry import query
 from chronotext.session import table
@@ -38,14 +38,14 @@ def normal_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.norm_title(F.concat("p_name", F.lit(" #"), "p_brand")).alias("title"), tx.numbers_in(F.concat("p_name", "p_brand")).alias("numbers"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part WHERE p_partkey % 20 = 0),
+@query(r"""WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part WHERE p_partkey % 50 = 0),
 e AS (SELECT p_partkey AS other, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part),
 scored AS (SELECT p_partkey, other, len(list_intersect(t.w, e.w))::DOUBLE / greatest(len(t.w), len(e.w)) AS score FROM t JOIN e ON t.num = e.num AND p_partkey <> other)
 SELECT p_partkey, max_by(other, (score, -other)) AS best, round(max(score), 4) AS score FROM scored WHERE score >= 0.5 GROUP BY p_partkey""")
 def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most alike title by shared words, numbers equal; a twentieth of the titles asks, all answer."""
+    """The most alike title by shared words, numbers equal; titles with a key divisible by 50 ask, all answer."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"), F.regexp_extract("p_brand", r"\d+", 0).alias("num"))
-    asked = rows.filter("p_partkey % 20 = 0").select("p_partkey", F.size("w").alias("n"), "num", F.explode("w").alias("word"))
+    asked = rows.filter("p_partkey % 50 = 0").select("p_partkey", F.size("w").alias("n"), "num", F.explode("w").alias("word"))
     held = rows.select(F.col("p_partkey").alias("other"), F.size("w").alias("m"), "num", F.explode("w").alias("word"))
     shared = asked.join(held, ["num", "word"]).filter("p_partkey <> other").groupBy("p_partkey", "other", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     scored = shared.withColumn("score", F.col("k") / F.greatest("n", "m")).filter("score >= 0.5")
@@ -53,7 +53,7 @@ def best_title_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("p_partkey", (-F.col("b.o")).alias("best"), F.round("b.score", 4).alias("score"))
 
 
-@query(r"""WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part WHERE p_partkey % 20 = 0),
+@query(r"""WITH t AS (SELECT p_partkey, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part WHERE p_partkey % 50 = 0),
 e AS (SELECT p_partkey AS other, list_distinct(string_split(p_name, ' ')) AS w, regexp_extract(p_brand, '\d+') AS num FROM part),
 scored AS (SELECT p_partkey, other, len(list_intersect(t.w, e.w))::DOUBLE / greatest(len(t.w), len(e.w)) AS score FROM t JOIN e ON t.num = e.num AND p_partkey <> other WHERE len(list_intersect(t.w, e.w)) > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS k, lead(score) OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS second FROM scored)
@@ -61,7 +61,7 @@ SELECT p_partkey, other, round(score, 4) AS score, score - coalesce(second, 0) >
 def clear_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked candidates, and whether the first is clearly ahead of the second."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.array_distinct(F.split("p_name", " ")).alias("w"), F.regexp_extract("p_brand", r"\d+", 0).alias("num"))
-    asked = rows.filter("p_partkey % 20 = 0").select("p_partkey", F.size("w").alias("n"), "num", F.explode("w").alias("word"))
+    asked = rows.filter("p_partkey % 50 = 0").select("p_partkey", F.size("w").alias("n"), "num", F.explode("w").alias("word"))
     held = rows.select(F.col("p_partkey").alias("other"), F.size("w").alias("m"), "num", F.explode("w").alias("word"))
     shared = asked.join(held, ["num", "word"]).filter("p_partkey <> other").groupBy("p_partkey", "other", "n", "m").agg(F.count(F.lit(1)).alias("k"))
     w = Window.partitionBy("p_partkey").orderBy(F.desc("score"), "other")
@@ -265,3 +265,20 @@ def words_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of titles and the first three titles that have them."""
     rows = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.filter(F.split("p_name", " "), lambda x: F.length(x) > 2)).alias("word"))
     return top_per(rows, ["word"], [F.col("p_partkey")], 3)
+
+
+@query(r"""WITH e AS (SELECT p_partkey, p_brand, CASE WHEN p_size % 4 = 0 THEN p_size END AS num, list_concat(list_filter(string_split(lower(p_name), ' '), lambda w: length(w) > 2), CASE WHEN p_size % 4 = 0 THEN [CAST(p_size AS VARCHAR)] ELSE [] END) AS w FROM part),
+a AS (SELECT * FROM e WHERE p_partkey % 50 = 0), o AS (SELECT p_partkey AS other, p_brand, num AS onum, list_distinct(w) AS v FROM e),
+m AS (SELECT a.p_partkey, other, CASE WHEN num IS NOT NULL AND onum IS NOT NULL THEN CASE WHEN num = onum THEN 1.0::DOUBLE ELSE 0 END
+  ELSE (SELECT CASE WHEN s >= least(2, len(a.w)) AND len(a.w) > 0 THEN (s::DOUBLE / len(a.w) + 2.0::DOUBLE * s / (len(a.w) + len(v))) / 2 ELSE 0 END FROM (SELECT len(list_filter(a.w, lambda x: list_contains(v, x))) AS s)) END AS score
+  FROM a JOIN o ON a.p_brand = o.p_brand AND a.p_partkey <> o.other),
+r AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS rank, lead(score) OVER (PARTITION BY p_partkey ORDER BY score DESC, other) AS next FROM m WHERE score >= 0.3)
+SELECT p_partkey, other, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score, rank = 1 AND (score = 1 AND coalesce(next, 0) < 1 OR score >= 0.7 AND coalesce(next, 0) <= score - 0.15) AS best FROM r""")
+def matched_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The episodes of a feed by how likely each is what a title names, and the one that clearly is. Parts
+    are the episodes of their brand, some numbered; those with a key divisible by 50 ask for the others."""
+    number = F.when(F.col("p_size") % 4 == 0, F.concat(F.lit(" Ep. "), F.col("p_size"))).otherwise("")
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_brand", F.concat("p_name", number).alias("title"))
+    asked = rows.filter("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), "p_brand", "title", F.lit("The Show").alias("show"))
+    found = titles.matched_titles(asked, rows.select("p_brand", F.col("p_partkey").alias("other"), "title"), "p_brand")
+    return found.select(F.col("id").alias("p_partkey"), "other", "rank", F.round("score", 6).alias("score"), "best")
