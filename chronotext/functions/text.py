@@ -15,9 +15,9 @@ WORD_EDGE = r"(?<![\p{L}\p{N}])"
 
 
 def _accent_table() -> tuple[str, str]:
-    """Letters of the Latin blocks that fold to one base letter; æ, ø and å stay letters of their own."""
+    """Letters that fold to one base letter, by their decomposition; æ, ø and å stay letters of their own."""
     wide, bare = [], []
-    for code in range(0xC0, 0x250):
+    for code in range(0xC0, 0x2000):
         letter = chr(code).lower()
         base = "".join(c for c in unicodedata.normalize("NFD", letter) if not unicodedata.combining(c))
         if len(letter) == 1 and len(base) == 1 and base != letter and letter not in "æøå" and letter not in wide:
@@ -35,9 +35,29 @@ def fold(text: Column) -> Column:
     return F.regexp_replace(out, r"[^\x00-ÿ\p{L}\p{N}]", " ")
 
 
+def _compositions() -> str:
+    """Letters with their marks behind them, and the one letter that stands for both, as JSON."""
+    letters = (chr(c) for c in range(0xC0, 0x2000))
+    apart = {unicodedata.normalize("NFD", c): c for c in letters if unicodedata.normalize("NFC", c) == c}
+    return json.dumps({k: c for k, c in apart.items() if len(k) > 1 and not unicodedata.combining(k[0])}, ensure_ascii=False)
+
+
+COMPOSITIONS = _compositions()
+
+
+def composed(text: Column) -> Column:
+    """Letters and the marks behind them as one letter where there is one (of the alphabets below U+2000).
+
+    Only texts with marks are looked at letter by letter; marks in another than the canonical order stay as they are.
+    """
+    table = F.from_json(F.lit(COMPOSITIONS), "map<string,string>")
+    letters = F.regexp_extract_all(text, F.lit(r"(?s)\P{M}\p{M}*|\p{M}+"), F.lit(0))
+    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(letters, lambda c: F.when(F.length(c) > 1, F.coalesce(F.try_element_at(table, c), c)).otherwise(c)), "")).otherwise(text)
+
+
 def clean(text: Column) -> Column:
-    """One line with single spaces."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    """One line with single spaces, marks joined to their letters."""
+    return F.trim(F.regexp_replace(composed(F.coalesce(text, F.lit(""))), r"\s+", " "))
 
 
 def norm_title(text: Column) -> Column:

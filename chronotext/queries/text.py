@@ -25,10 +25,11 @@ def folded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(tx.fold(F.col("text"))).alias("folded"))
 
 
-@query(r"""SELECT conv_id, turn, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS cleaned FROM conversations""")
+@query(r"""SELECT conv_id, turn, trim(regexp_replace(nfc_normalize(replace(replace(coalesce(text, ''), 'e', 'e' || chr(769)), 'th', 't' || chr(807) || 'h')), '\s+', ' ', 'g')) AS cleaned FROM conversations""")
 def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One line of single spaces."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean(F.col("text")).alias("cleaned"))
+    """One line of single spaces, marks (put behind some letters here) joined to their letters."""
+    marked = F.replace(F.replace("text", F.lit("e"), F.lit("e\u0301")), F.lit("th"), F.lit("t\u0327h"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.clean(marked).alias("cleaned"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(strip_accents(lower(p_name || ' #' || p_brand)), '[^\p{L}\p{N}]+', ' ', 'g')) AS title,
