@@ -37,3 +37,15 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST4: online voices with per-recording state; tests hold it against the batch fold."""
     return runs.voices(spark, sf_dir)
+
+
+@query("""WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS k, value / 100 AS x FROM events),
+f AS (SELECT user_id, k // 2 AS frame, 10 * log10(sum(x * x) / 2 + 1e-10) AS db FROM e GROUP BY 1, 2 HAVING count(*) = 2),
+v AS (SELECT user_id, max(n) AS n, max(db) FILTER (k = least(n - 1, floor(0.95::DOUBLE * n))) AS hi, max(db) FILTER (k = least(n - 1, floor(0.05::DOUBLE * n))) AS lo
+  FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY db) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM f) GROUP BY 1),
+q AS (SELECT f.user_id, frame, db < least(hi - 18, greatest(lo + 6, hi - 35)) AS quiet FROM f JOIN v ON f.user_id = v.user_id WHERE hi - lo >= 20 AND v.n >= 20),
+i AS (SELECT *, sum(CASE WHEN quiet IS NOT DISTINCT FROM was THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY frame) AS island FROM (SELECT *, lag(quiet) OVER (PARTITION BY user_id ORDER BY frame) AS was FROM q))
+SELECT user_id, min(frame) * 0.25::DOUBLE AS start, (max(frame) + 1) * 0.25::DOUBLE AS "end" FROM i WHERE quiet GROUP BY user_id, island""")
+def stream_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: frames found while samples come in, quiet stretches from all of them."""
+    return runs.quiet(spark, sf_dir)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronotext.functions.times import half_up
 from chronotext.operators.records import latest as newest
+from chronotext.operators.sequence import quiet_ranges
 from chronotext.session import shared_path, ship, zoned
 
 
@@ -23,9 +24,13 @@ def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return zoned(reader.parquet(f"{sf_dir}/{name}*.parquet"))
 
 
-def run(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain the stream into a parquet table and read it."""
-    out = shared_path(spark, name)
+def run(spark: SparkSession, frame: DataFrame, name: str, mode: str = "append", folder: str | None = None) -> DataFrame:
+    """Drain the stream into a parquet table and read it.
+
+    With a ``folder`` of one's own, table and checkpoint stay there: a later run takes up what came since, with the state
+    of the one before, also where that one was broken off.
+    """
+    out = folder or shared_path(spark, name)
     query = frame.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", f"{out}-state").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(frame.schema).parquet(out)
@@ -118,3 +123,33 @@ def voices(spark: SparkSession, sf_dir: str, threshold: float = 0.5, cap: float
 
     found = rows.groupBy("episode_id").applyInPandasWithState(step, "episode_id long, seq long, voice int", "centres array<double>, weights array<double>", "append", GroupStateTimeout.NoTimeout)
     return run(spark, found, "voices")
+
+
+def frame_levels(samples: DataFrame, key: str, size: int) -> DataFrame:
+    """Levels of whole frames of a stream of samples: key, frame (from 0), db. samples: key, seq, x.
+
+    State of a key is the frame it is in: its sum of squares, its samples so far and its number, whatever the recording's
+    length. A batch is taken in the order of seq; a frame that is not full yet waits for the next one. Null samples are
+    silence. Quiet stretches need the levels of a whole recording (``sequence.quiet_ranges`` on the frames written so far).
+    """
+    ship(samples.sparkSession)
+    kind = samples.schema[key].dataType.simpleString()
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        carried, held, frame = state.get if state.exists else (0.0, 0, 0)
+        rows = pd.concat(list(batches)).sort_values("seq", kind="stable")
+        energy = np.nan_to_num(rows["x"].to_numpy(dtype=float)) ** 2
+        sums = np.bincount((held + np.arange(len(energy))) // size, weights=energy, minlength=1)
+        sums[0] += carried
+        full, rest = divmod(held + len(energy), size)
+        state.update((float(sums[full]) if rest else 0.0, int(rest), int(frame + full)))
+        yield pd.DataFrame({key: [group[0]] * full, "frame": np.arange(frame, frame + full), "db": 10 * np.log10(sums[:full] / size + 1e-10)})
+
+    return samples.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, frame long, db double", "carried double, held long, frame long", "append", GroupStateTimeout.NoTimeout)
+
+
+def quiet(spark: SparkSession, sf_dir: str, size: int = 2, fewest: int = 20) -> DataFrame:
+    """Quiet stretches of users' values as samples, in seconds of four frames: user_id, start, end."""
+    samples = stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("x"))
+    frames = run(spark, frame_levels(samples, "user_id", size), "frames")
+    return quiet_ranges(frames, ["user_id"], seconds=0.25, fewest=fewest)
