@@ -111,12 +111,14 @@ def named_voices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT user_id, avg(value) - 60 AS level, min(value) - 90 AS noise, max(value) * 200 AS cut, count(*) FILTER (event_type = 'error') / 5.0 AS drops FROM events GROUP BY user_id)
-SELECT user_id, CAST(1 AS BIGINT) * (CASE WHEN drops >= 3 THEN 1 ELSE 0 END + CASE WHEN noise > -58 OR level - noise < 40 THEN 1 ELSE 0 END + CASE WHEN cut > 0 AND cut < 14000 THEN 2 ELSE 0 END + CASE WHEN drops >= 3 THEN 1 ELSE 0 END) AS n FROM s""")
+SELECT user_id, array_to_string(list_filter([CASE WHEN user_id % 4 = 0 THEN 'highpass' END, CASE WHEN user_id % 5 = 0 THEN 'dehum' END, CASE WHEN drops >= 3 THEN 'dropouts' END, CASE WHEN noise > -58 OR level - noise < 40 THEN 'denoise' END,
+  CASE WHEN cut > 0 AND cut < 14000 THEN 'highs' END, CASE WHEN cut > 0 AND cut < 14000 THEN 'eq' END, CASE WHEN user_id % 10 > 4 OR drops >= 3 THEN 'compress' END], lambda x: x IS NOT NULL), ' ') AS repairs,
+  CASE WHEN noise > -58 OR level - noise < 40 THEN CAST(least(18, greatest(6, floor((50 - (level - noise)) * 0.6 + 8.5))) AS INTEGER) END AS amount FROM s""")
 def suggested_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """how many repairs a voice's statistics call for."""
+    """the repairs a voice's statistics call for, and how much noise reduction."""
     e = table(spark, sf_dir, "events").groupBy("user_id").agg((F.avg("value") - 60).alias("level"), (F.min("value") - 90).alias("noise_db"), (F.max("value") * 200).alias("cutoff_hz"), (F.count_if(F.col("event_type") == "error") / 5).alias("dropouts_per_min"))
-    full = e.withColumns({"rumble": F.lit(False), "hum_hz": F.lit(None).cast("int"), "gated_share": F.lit(0.0)})
-    return speech.suggested_repairs(full).select("user_id", F.size("repairs").cast("long").alias("n"))
+    full = e.withColumns({"rumble": F.col("user_id") % 4 == 0, "hum_hz": F.when(F.col("user_id") % 5 == 0, 50), "gated_share": F.col("user_id") % 10 / 100})
+    return speech.suggested_repairs(full).select("user_id", F.array_join("repairs", " ").alias("repairs"), F.col("denoise_amount").alias("amount"))
 
 
 @query(f"""WITH {SEGMENTS} SELECT episode_id, seq, greatest(start - 60, 0.0) AS start, "end" - 60 AS "end" FROM segments WHERE "end" > 60""")

@@ -222,10 +222,13 @@ def merged_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("c_custkey", F.coalesce("set", "guess", F.when(F.col("c_acctbal") < 0, "Other voice"), F.concat(F.lit("Speaker "), F.col("c_custkey") + 1)).alias("name"))
 
 
-@query("""SELECT o_custkey, o_orderkey FROM (SELECT *, sum(need) FILTER (need <= 100) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS s FROM (SELECT o_custkey, o_orderkey, 50.0 AS need FROM orders)) WHERE s <= 120""")
+@query("""WITH RECURSIVE q AS (SELECT o_custkey, o_orderkey, CAST(20 + o_orderkey % 83 AS DOUBLE) AS need, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+s AS (SELECT o_custkey, o_orderkey, k, 120 - need AS remains, true AS taken FROM q WHERE k = 1 UNION ALL
+  SELECT q.o_custkey, q.o_orderkey, q.k, CASE WHEN need <= remains THEN remains - need ELSE remains END, need <= remains FROM s JOIN q ON q.o_custkey = s.o_custkey AND q.k = s.k + 1)
+SELECT o_custkey, o_orderkey FROM s WHERE taken""")
 def admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F8: what fits into the time left, in order."""
-    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.lit(50.0).alias("need"))
+    """F8: what fits into the time left, in order, passing over what does not."""
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (20 + F.col("o_orderkey") % 83).cast("double").alias("need"))
     return planners.admit(rows, "o_custkey", "o_orderkey", "need", 120.0)
 
 

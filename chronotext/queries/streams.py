@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from chronotext.queries.registry import query
 from chronotext.streaming import runs
@@ -49,3 +50,13 @@ SELECT user_id, min(frame) * 0.25::DOUBLE AS start, (max(frame) + 1) * 0.25::DOU
 def stream_quiet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: frames found while samples come in, quiet stretches from all of them."""
     return runs.quiet(spark, sf_dir)
+
+
+@query()
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: windows for a recogniser, cut while frames come in; users' events are frames of 0.8 seconds, every third user's
+    recording is begun anew. Tests hold the cuts against the batch fold."""
+    e = runs.stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "value")
+    frames = e.select("user_id", F.when((F.col("user_id") % 3 == 0) & (F.col("id") % 2 == 0), 1).otherwise(0).cast("long").alias("job"), (F.col("id") / 200).alias("at"), F.col("value").alias("e"), F.lit(False).alias("last"))
+    found = runs.run(spark, runs.recognition_windows(frames, "user_id", frame=0.8), "windows")
+    return found.filter((F.col("user_id") % 3 > 0) | (F.col("job") == 1))

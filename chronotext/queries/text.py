@@ -184,10 +184,10 @@ def frequent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.groupBy(F.lower("term").alias("term")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "term").limit(40)
 
 
-@query(r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS edits FROM n a JOIN n b ON left(a.name, 2) = left(b.name, 2) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 3""")
+@query(r"""WITH n AS (SELECT DISTINCT p_name AS name FROM part) SELECT a.name AS a, b.name AS b, CAST(levenshtein(a.name, b.name) AS INTEGER) AS edits FROM n a JOIN n b ON left(a.name, 1) = left(b.name, 1) AND a.name < b.name WHERE levenshtein(a.name, b.name) <= 3""")
 def alike_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names within three edits, blocked on their first two letters."""
-    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("head", F.left("name", F.lit(2)))
+    """Names within three edits, blocked on their first letter."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct().withColumn("head", F.left("name", F.lit(1)))
     a, b = names.withColumnRenamed("name", "a"), names.withColumnRenamed("name", "b")
     return a.join(b, "head").filter("a < b").withColumn("edits", F.levenshtein("a", "b", 3)).filter("edits >= 0").select("a", "b", "edits")
 

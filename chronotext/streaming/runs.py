@@ -153,3 +153,39 @@ def quiet(spark: SparkSession, sf_dir: str, size: int = 2, fewest: int = 20) ->
     samples = stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("seq"), (F.col("value") / 100).alias("x"))
     frames = run(spark, frame_levels(samples, "user_id", size), "frames")
     return quiet_ranges(frames, ["user_id"], seconds=0.25, fewest=fewest)
+
+
+def recognition_windows(frames: DataFrame, key: str, earliest: float = 18.0, latest: float = 29.5, frame: float = 0.1) -> DataFrame:
+    """Windows of recordings for a recogniser, cut while they come in: key, job, n (from 0), start, end.
+
+    frames: key, job, at (seconds), e (energy), last. Each cut is the quietest frame between ``earliest`` and ``latest``
+    seconds after the one before, as in ``folds.window_cuts``; a row marked last closes what is left. A recording may be
+    begun anew as a job of a higher number: the older job's frames then no longer count, whenever they arrive. State of a
+    recording is its job, where its open window begins and that window's frames: half a minute and what one batch brings.
+    """
+    ship(frames.sparkSession)
+    kind = frames.schema[key].dataType.simpleString()
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        job, n, start, at, e = state.get if state.exists else (-1, 0, 0.0, [], [])
+        at, e, found = list(at), list(e), []
+        rows = pd.concat(list(batches))
+        for number, more in rows[rows["job"] >= job].sort_values(["job", "at"], kind="stable").groupby("job"):
+            if number > job:
+                job, n, start, at, e = int(number), 0, 0.0, [], []
+            at, e = [*at, *more["at"].tolist()], [*e, *more["e"].tolist()]
+            while at and at[-1] + frame - start > latest:
+                low, high = np.searchsorted(at, [start + earliest, start + latest - frame])
+                cut = float(at[low + int(np.argmin(e[low:high]))] + frame / 2) if high > low else start + latest
+                found.append((group[0], job, n, start, cut))
+                keep = int(np.searchsorted(at, cut))
+                n, start, at, e = n + 1, cut, at[keep:], e[keep:]
+            if more["last"].any() and at:
+                found.append((group[0], job, n, start, at[-1] + frame))
+                n, start, at, e = n + 1, at[-1] + frame, [], []
+        state.update((int(job), int(n), float(start), [float(x) for x in at], [float(x) for x in e]))
+        yield pd.DataFrame(found, columns=[key, "job", "n", "start", "end"])
+
+    return frames.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, job long, n int, start double, end double", "job long, n int, start double, at array<double>, e array<double>", "append", GroupStateTimeout.NoTimeout
+    )
