@@ -170,3 +170,23 @@ def window_sums(df: DataFrame, keys: list[str], at: str, value: str, width: int,
     high = F.least(F.floor(F.col(at) / step), F.floor((F.col(last) - width) / step))
     fits = df.filter(high >= low).withColumn("_w", F.explode(F.sequence(low, high)))
     return fits.groupBy(*keys, (F.col("_w") * step).alias(at)).agg(F.sum(value).alias("total")).filter("total <> 0")
+
+
+def worst_windows(seconds: DataFrame, keys: list[str], length: int = 20, step: int = 2, share: float = 0.7) -> DataFrame:
+    """Per label the window that sounds worst in its own talking time: keys, label, start, end.
+
+    seconds: keys, t (from 0, none missing), label, bad, talking. A window of ``length`` seconds from a ``step``-th second
+    on, inside the recording, counts for a label that has ``share`` of its seconds; its score is what is bad while that
+    label talks, ties go to the earlier one. A label without such a window gets the stretch from its first second. Null
+    labels have none, null ``bad`` and ``talking`` count nothing. Each second is dealt to the windows it lies in, which are
+    summed before they move.
+    """
+    ends = seconds.groupBy(*keys).agg((F.max("t") + 1).alias("_n"))
+    rows = seconds.filter("label IS NOT NULL").join(ends, keys)
+    low, high = F.greatest(F.lit(0), F.ceil((F.col("t") - length + 1) / step)), F.least(F.floor(F.col("t") / step), F.floor((F.col("_n") - length) / step))
+    windows = rows.select(*keys, "label", "t", "_n", F.when(F.col("talking"), F.col("bad")).otherwise(0).alias("_b"), F.when(high >= low, F.sequence(low, high)).alias("_w"))
+    summed = windows.select(*keys, "label", F.explode("_w").alias("_w"), "_b").withColumn("start", F.col("_w") * step).groupBy(*keys, "label", "start").agg(F.count(F.lit(1)).alias("_mine"), F.coalesce(F.sum("_b"), F.lit(0)).alias("_score"))
+    best = summed.filter(F.col("_mine") >= length * share).groupBy(*keys, "label").agg(F.min_by("start", F.struct((-F.col("_score")).alias("s"), "start")).alias("_best"))
+    first = rows.groupBy(*keys, "label").agg(F.min("t").alias("_first"), F.max("_n").alias("_n"))
+    start = F.coalesce("_best", F.col("_first").cast("long"))
+    return first.join(best, [*keys, "label"], "left").select(*keys, "label", start.alias("start"), F.least(F.col("_n").cast("long"), start + length).alias("end"))

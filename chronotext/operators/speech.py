@@ -115,6 +115,46 @@ def best_attempt(attempts: DataFrame, keys: list[str]) -> DataFrame:
     return attempts.groupBy(*keys).agg(F.min_by("attempt", F.struct("troubles", (-F.col("n_words")).alias("w"), "attempt")).alias("attempt"))
 
 
+def attempts_made(attempts: DataFrame, keys: list[str], patience: int = 3) -> DataFrame:
+    """Which attempts a recogniser makes at each window of a recording, and which it keeps: keys, window, tried, attempt.
+
+    attempts: keys, window, attempt (in the order in which they would be made), troubles, n_words. A window is tried again
+    while its attempts have troubles; once ``patience`` windows kept troubles after several attempts, later ones are tried
+    once only. Kept is the attempt with fewest troubles, then most words, then the first. Null troubles count as none. All
+    windows of a recording are one array that is folded in the JVM.
+    """
+    item = F.struct("attempt", F.coalesce("troubles", F.lit(0)).cast("long").alias("troubles"), F.coalesce("n_words", F.lit(0)).cast("long").alias("words"))
+    windows = attempts.groupBy(*keys, "window").agg(F.array_sort(F.collect_list(item)).alias("tries"))
+    rows = windows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("window", "tries"))).alias("_w"))
+    kinds = dict(attempts.dtypes)
+    out = f"array<struct<window:{kinds['window']},tried:int,attempt:{kinds['attempt']}>>"
+
+    def step(a: Column, w: Column) -> Column:
+        clean = F.array_position(F.transform(w["tries"], lambda t: t["troubles"] == 0), F.lit(True)).cast("int")
+        tried = F.when(a["useless"] >= patience, 1).when(clean > 0, clean).otherwise(F.size(w["tries"]))
+        ranked = F.transform(F.slice(w["tries"], F.lit(1), tried), lambda t: F.struct(t["troubles"].alias("troubles"), (-t["words"]).alias("minus"), t["attempt"].alias("attempt")))
+        best = F.array_min(ranked)
+        useless = a["useless"] + F.when((tried > 1) & (best["troubles"] > 0), 1).otherwise(0)
+        return F.struct(useless.alias("useless"), F.array_append(a["out"], F.struct(w["window"].alias("window"), tried.alias("tried"), best["attempt"].alias("attempt"))).alias("out"))
+
+    fold = F.aggregate("_w", F.struct(F.lit(0).alias("useless"), F.array().cast(out).alias("out")), step)
+    return rows.select(*keys, F.explode(fold["out"]).alias("_o")).select(*keys, "_o.window", "_o.tried", "_o.attempt")
+
+
+def minor_voices(segments: DataFrame, key: str, named: DataFrame | None = None, share: float = 0.03, most: float = 60.0, least_total: float = 300.0) -> DataFrame:
+    """Voices with little to say and no name: key, speaker, seconds. segments: key, speaker, start, end; named: key, speaker.
+
+    An episode counts from ``least_total`` seconds of talk on; a voice is minor below ``most`` seconds and below a ``share``
+    of the talk. Segments without a speaker or of no length are left out.
+    """
+    rows = segments.filter(F.col("speaker").isNotNull() & (F.col("end") > F.col("start")))
+    talk = rows.groupBy(key, "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
+    whole = talk.withColumn("_total", F.sum("seconds").over(Window.partitionBy(key)))
+    found = whole.filter((F.col("_total") >= least_total) & (F.col("seconds") < F.least(F.lit(most), F.col("_total") * share)))
+    found = found if named is None else found.join(named.select(key, "speaker").distinct(), [key, "speaker"], "left_anti")
+    return found.select(key, "speaker", "seconds")
+
+
 def lag_consensus(lags: DataFrame, keys: list[str], most: float = 0.02) -> DataFrame:
     """The lag several probes agree on: none if they spread over more than ``most``, else the upper median: keys, lag."""
     grouped = lags.groupBy(*keys).agg(F.array_sort(F.collect_list("lag")).alias("_l"))

@@ -38,6 +38,21 @@ def best_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return speech.best_attempt(tries, ["o_custkey"])
 
 
+@query("""WITH RECURSIVE o AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 AS t1, o_orderkey // 3 % 3 AS t2, o_orderkey // 9 % 3 AS t3, o_orderkey % 7 AS w1, o_orderkey % 11 AS w2, o_orderkey % 13 AS w3, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+c AS (SELECT *, CASE WHEN t1 = 0 THEN 1 WHEN t2 = 0 THEN 2 ELSE 3 END AS full_, CASE WHEN t1 = 0 THEN 1 WHEN t2 = 0 THEN 2 ELSE list_min([(t1, -w1, 1), (t2, -w2, 2), (t3, -w3, 3)])[3] END AS pick, t1 > 0 AND t2 > 0 AND t3 > 0 AS bad FROM o),
+s AS (SELECT o_custkey, o_orderkey, k, full_ AS tried, pick AS attempt, CASE WHEN bad THEN 1 ELSE 0 END AS useless FROM c WHERE k = 1 UNION ALL
+  SELECT c.o_custkey, c.o_orderkey, c.k, CASE WHEN useless >= 3 THEN 1 ELSE full_ END, CASE WHEN useless >= 3 THEN 1 ELSE pick END, useless + CASE WHEN bad AND useless < 3 THEN 1 ELSE 0 END FROM s JOIN c ON c.o_custkey = s.o_custkey AND c.k = s.k + 1)
+SELECT o_custkey, o_orderkey, CAST(tried AS BIGINT) AS tried, CAST(attempt AS BIGINT) AS attempt FROM s""")
+def attempts_made(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: attempts at windows until one is clean, once only after three windows that stayed troubled; a customer's orders
+    are windows of three possible attempts."""
+    o = F.col("o_orderkey")
+    tries = F.array(*[F.struct(F.lit(i).cast("long").alias("attempt"), t.alias("troubles"), w.alias("n_words")) for i, (t, w) in enumerate([(o % 3, o % 7), (F.floor(o / 3) % 3, o % 11), (F.floor(o / 9) % 3, o % 13)], 1)])
+    rows = table(spark, sf_dir, "orders").select("o_custkey", o.alias("window"), F.explode(tries).alias("_t")).select("o_custkey", "window", "_t.*")
+    made = speech.attempts_made(rows, ["o_custkey"])
+    return made.select("o_custkey", F.col("window").alias("o_orderkey"), F.col("tried").cast("long").alias("tried"), "attempt")
+
+
 @query("""WITH g AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS day, list(value ORDER BY value) AS l FROM events GROUP BY 1, 2)
 SELECT user_id, day, l[len(l) // 2 + 1] AS lag FROM g WHERE l[len(l)] - l[1] <= 20""")
 def lag_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -190,3 +190,16 @@ def preview_spots(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sequence.window_sums(counted, ["user_id"], "hour", "v", 12, 5, "hours")
     worst = sequence.best_window(counted.select("user_id", "hour", "v"), ["user_id"], "hour", "v", 12, 2)
     return sequence.apart(sums, ["user_id"], "hour", "total", 12, 8, worst.select("user_id", "hour")).select("user_id", "hour", "total")
+
+
+@query("""WITH s AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS t, event_id // 40 % 2 AS label, floor(value) AS bad, event_type <> 'view' AS talking FROM events),
+n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), w AS (SELECT user_id, n, unnest(range(0, greatest(n - 19, 0), 2)) AS a FROM n),
+m AS (SELECT w.user_id, label, a, count(*) AS mine, sum(CASE WHEN talking THEN bad ELSE 0 END) AS score FROM w JOIN s ON s.user_id = w.user_id AND t >= a AND t < a + 20 GROUP BY ALL HAVING count(*) >= 14),
+b AS (SELECT user_id, label, min_by(a, (-score, a)) AS best FROM m GROUP BY 1, 2), f AS (SELECT user_id, label, min(t) AS first FROM s GROUP BY 1, 2)
+SELECT user_id, label, coalesce(best, first) AS start, least(n, coalesce(best, first) + 20) AS "end" FROM f JOIN n USING (user_id) LEFT JOIN b USING (user_id, label)""")
+def worst_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of two voices the twenty seconds with most to mend in its own talk; a user's events are seconds."""
+    t = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    label = F.floor(F.col("event_id") / 40) % 2
+    seconds = table(spark, sf_dir, "events").select("user_id", t.cast("long").alias("t"), label.alias("label"), F.floor("value").alias("bad"), (F.col("event_type") != "view").alias("talking"))
+    return sequence.worst_windows(seconds, ["user_id"])

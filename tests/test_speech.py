@@ -1,8 +1,10 @@
 """Operators on recognised speech and audio headers, on literal cases and against loops."""
 
+import random
 import struct
 
 import numpy as np
+
 from pyspark.sql import functions as F
 
 from chronotext.operators import folds, speech
@@ -113,3 +115,29 @@ def test_downloads_keep_more_than_64(spark):
     none = lambda schema: spark.createDataFrame([], schema)
     rows = planners.downloads(shows, episodes, none("id long, p double, done boolean"), none("id long"), none("id long, show string, auto boolean"), none("id long")).collect()
     assert sorted(r["id"] for r in rows) == list(range(20, 100))
+
+
+def test_attempts_made_against_a_loop(spark):
+    draw = random.Random(12)
+    rows = [(e, w, a, draw.choice([0, 0, 1, 2, None]), draw.randint(0, 9)) for e in range(8) for w in range(draw.randint(1, 25)) for a in range(1, draw.randint(2, 4))]
+    got = {(r["e"], r["window"]): (r["tried"], r["attempt"]) for r in speech.attempts_made(spark.createDataFrame(rows, "e int, window int, attempt int, troubles int, n_words int"), ["e"]).collect()}
+    want = {}
+    for e in range(8):
+        useless = 0
+        for w in sorted({r[1] for r in rows if r[0] == e}):
+            tried = []
+            for a, t, n in sorted((r[2], r[3] or 0, r[4]) for r in rows if r[:2] == (e, w)):
+                tried.append((t, -n, a))
+                if not t or useless >= 3:
+                    break
+            best = min(tried)
+            useless += len(tried) > 1 and best[0] > 0
+            want[e, w] = (len(tried), best[2])
+    assert got == want
+
+
+def test_minor_voices(spark):
+    rows = [(1, 0, 0.0, 290.0), (1, 1, 290.0, 298.0), (1, 2, 298.0, 307.0), (1, 2, 307.0, 308.0), (1, None, 0.0, 99.0), (1, 3, 5.0, 5.0), (2, 0, 0.0, 290.0), (2, 1, 290.0, 291.0)]
+    segs = spark.createDataFrame(rows, "e int, speaker int, start double, end double")
+    assert [(r["e"], r["speaker"]) for r in speech.minor_voices(segs, "e").collect()] == [(1, 1)]
+    assert speech.minor_voices(segs, "e", spark.createDataFrame([(1, 1)], "e int, speaker int")).count() == 0
