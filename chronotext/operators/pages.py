@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronotext.functions import text as tx
+from chronotext.session import written
 
 #: Deeper nesting than pages have; a walk ends as soon as no level is left.
 DEPTH = 32
@@ -35,11 +36,12 @@ def texts(v: Column, path: str) -> Column:
 def json_objects(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
     """Every object in the structured data of pages, of any depth: key, place (its way from the top), value.
 
-    Level by level: each round opens the objects and lists of the one before, in all pages at once, until none are left.
+    Level by level: each round opens the objects and lists of the one before, in all pages at once, from a table that it
+    wrote, until none are left.
     place: array of numbers that sorts scripts and lists as they stand and the fields of an object by name, an object
     before what it holds. Null pages and broken scripts have none.
     """
-    level = pages.select(key, F.posexplode(json_blocks(F.col(html))).alias("_i", "value")).select(key, F.array("_i").alias("place"), "value")
+    level = written(pages.select(key, F.posexplode(json_blocks(F.col(html))).alias("_i", "value")).select(key, F.array("_i").alias("place"), "value"), "level")
     found = None
     for _ in range(DEPTH):
         objects = level.filter(is_object(F.col("value")))
@@ -47,7 +49,8 @@ def json_objects(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
         of_object = F.map_values(F.try_variant_get("value", "$", OBJECT))
         of_list = F.try_variant_get("value", "$", LIST)
         inner = F.coalesce(F.when(is_object(F.col("value")), of_object), F.when(is_list(F.col("value")), of_list))
-        level = level.select(key, "place", F.posexplode(inner).alias("_i", "value")).select(key, F.array_append("place", F.col("_i")).alias("place"), "value").filter(is_object(F.col("value")) | is_list(F.col("value")))
+        level = level.select(key, "place", F.posexplode(inner).alias("_i", "value")).select(key, F.array_append("place", F.col("_i")).alias("place"), "value")
+        level = written(level.filter(is_object(F.col("value")) | is_list(F.col("value"))), "level")
         if level.isEmpty():
             break
     return found
