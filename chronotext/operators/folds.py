@@ -48,9 +48,10 @@ def online_voices(prints: DataFrame, key: str, threshold: float = 0.5, cap: floa
     """Voices of prints in order: key, seq, voice. prints: key, seq, v (array), seconds.
 
     A print joins the voice it is most like if the cosine reaches ``threshold``, and moves that voice's mean; a shorter
-    print never starts a voice, but joins one from 0.7 times the threshold on.
+    print never starts a voice, but joins one from 0.7 times the threshold on. Prints without a vector are left out.
     """
     ship(prints.sparkSession)
+    prints = prints.filter(F.col("v").isNotNull())
     out = f"{key} {dict(prints.dtypes)[key]}, seq {dict(prints.dtypes)['seq']}, voice int"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -169,7 +170,9 @@ def loops_out(text: str, longest: int = 8) -> str:
 
 
 def clusters(prints: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """Average-link clusters of a key's vectors (key, seq, v): key, seq, cluster (smallest seq of its cluster)."""
+    """Average-link clusters of a key's vectors (key, seq, v): key, seq, cluster (smallest seq of its cluster). Null vectors
+    are left out."""
+    prints = prints.filter(F.col("v").isNotNull())
     out = f"{key} {dict(prints.dtypes)[key]}, seq {dict(prints.dtypes)['seq']}, cluster {dict(prints.dtypes)['seq']}"
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:

@@ -33,12 +33,13 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], bucket: flo
 def asof_last(left: DataFrame, right: DataFrame, keys: list[str], at: str, value: list[str], slack: float = 0.0) -> DataFrame:
     """To each left row the right row of the same keys with the latest ``at`` not after the left's ``at`` + slack.
 
-    One shuffle on the keys: both sides are united, and the last right row is carried forward. right: keys, at, values.
+    One shuffle on the keys: both sides are united, and the last right row is carried forward. right: keys, at, values. Of
+    right rows at the same time the one of the largest values counts.
     """
     carried = F.struct(F.col(at).alias("_at"), *value)
     a = left.withColumns({"_t": F.col(at) + slack if slack else F.col(at), "_side": F.lit(1), "_carried": F.lit(None)})
     b = right.select(*keys, F.col(at).alias("_t"), F.lit(0).alias("_side"), carried.alias("_carried"))
-    order = Window.partitionBy(*keys).orderBy("_t", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*keys).orderBy("_t", "_side", "_carried").rowsBetween(Window.unboundedPreceding, 0)
     both = a.unionByName(b, allowMissingColumns=True).withColumn("_carried", F.last("_carried", ignorenulls=True).over(order))
     return both.filter("_side = 1").select(*left.columns, *(F.col(f"_carried.{v}").alias(v) for v in value), F.col("_carried._at").alias("matched_at"))
 
