@@ -2,11 +2,12 @@
 
 Texts become tokens in which numbers, names and units carry a mark of their type; without its value such a token is a
 typed placeholder. Every window of an item is indexed and every window of a document is looked up. A window is known by
-its template where it has enough plain tokens, else by its values: a row of placeholders alone says nothing. Documents
-with a hit are then aligned in full: windows that lie on one diagonal of document and item, or a few tokens beside it,
-count together, and the slots they cover must map the item's values to the document's values consistently. Every diagonal
-is tested and the best that passes is reported. All steps are DataFrame expressions; exact positions and values are
-compared after the hash join, so hash collisions cannot pass.
+its words, whatever their case, and where it has enough plain tokens also by its template: a row of placeholders alone
+says nothing. Documents with a hit are then aligned in full: windows that lie on one diagonal of document and item, or a
+few tokens beside it, count together. The longest stretch of covered tokens decides whose slots map the item's values to
+the document's consistently, so more text of an item never loses a pair. Every diagonal is tested and the best is
+reported. All steps are DataFrame expressions; exact positions and words are compared after the hash join, so hash
+collisions cannot pass.
 """
 
 from __future__ import annotations
@@ -54,29 +55,42 @@ def templates(values: str) -> Column:
     return F.transform(values, lambda v: F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
 
 
+def word(token: Column) -> Column:
+    """The token without its mark."""
+    return F.when(is_slot(token), F.substr(token, F.lit(2))).otherwise(token)
+
+
+def words(values: str) -> Column:
+    return F.transform(values, word)
+
+
 def hashed(df: DataFrame, values: str, sizes: list[int]) -> DataFrame:
-    """Replace the tokens ``values`` by ``_h``, the hashes of their templates' windows of all ``sizes``, with no places.
+    """Replace the tokens ``values`` by ``_h``, the hashes of their windows of all ``sizes``, with no places: those of the
+    templates, and those of the words where these differ.
 
     A window's hash is made of its halves' hashes, so that each takes few steps; sizes may be up to 15. Read ``_h`` with
     explode_outer: for explode, Spark infers a filter on the array's size and makes the array once more for it.
     """
     rest = [c for c in df.columns if c != values]
-    one = lambda v: F.xxhash64(F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
-    out = df.select(*rest, F.transform(values, one).alias("_p1"))
+    marked = lambda v: F.xxhash64(F.when(is_slot(v), F.left(v, F.lit(1))).otherwise(v))
+    out = df.select(*rest, F.transform(values, marked).alias("_t1"), F.transform(values, lambda v: F.xxhash64(word(v))).alias("_w1"))
     from_ = lambda p, at, n: F.slice(p, F.lit(at + 1), F.greatest(n, F.lit(0)))
     both = lambda a, b: F.xxhash64(a, b)
     powers = [k for k in (1, 2, 4, 8) if k <= max(sizes)]
     for k in powers[1:]:
-        half, n = f"_p{k // 2}", F.size("_p1") - k + 1
-        out = out.select("*", F.zip_with(from_(half, 0, n), from_(half, k // 2, n), both).alias(f"_p{k}"))
-    made = []
+        n = F.size("_t1") - k + 1
+        out = out.select("*", *[F.zip_with(from_(f"_{p}{k // 2}", 0, n), from_(f"_{p}{k // 2}", k // 2, n), both).alias(f"_{p}{k}") for p in "tw"])
+    made = {"t": [], "w": []}
     for size in sizes:
-        n, at, whole = F.size("_p1") - size + 1, 0, None
-        for k in [k for k in reversed(powers) if size & k]:
-            part = from_(f"_p{k}", at, n)
-            whole, at = part if whole is None else F.zip_with(whole, part, both), at + k
-        made.append(whole)
-    return out.select(*rest, F.concat(*made).alias("_h"))
+        for p in made:
+            n, at, whole = F.size("_t1") - size + 1, 0, None
+            for k in [k for k in reversed(powers) if size & k]:
+                part = from_(f"_{p}{k}", at, n)
+                whole, at = part if whole is None else F.zip_with(whole, part, both), at + k
+            made[p].append(whole)
+    out = out.select(*rest, F.concat(*made["t"]).alias("_t"), F.concat(*made["w"]).alias("_w"))
+    other = F.filter(F.zip_with("_t", "_w", lambda t, w: F.when(t != w, w)), lambda w: w.isNotNull())
+    return out.select(*rest, F.concat("_t", other).alias("_h"))
 
 
 def windows(tokens: str, size: int) -> Column:
@@ -86,19 +100,48 @@ def windows(tokens: str, size: int) -> Column:
     return F.when(last >= 0, each).otherwise(F.array().cast("array<struct<at:int,n:int,hash:bigint>>"))
 
 
-def known_by(templates: str, values: str, size: int, literals: int) -> Column:
-    """windows() by template where ``literals`` tokens are plain, else by values."""
-    plain = lambda at: F.size(F.filter(F.slice(F.col(templates), at + 1, size), lambda t: ~is_slot(t)))
-    by_value = lambda w: F.xxhash64(F.lit("="), F.slice(F.col(values), w["at"] + 1, size))
-    return F.transform(windows(templates, size), lambda w: F.when(plain(w["at"]) >= literals, w).otherwise(F.struct(w["at"].alias("at"), w["n"].alias("n"), by_value(w).alias("hash"))))
+def known_by(templates: str, words: str, size: int, least: int) -> Column:
+    """windows() by template where ``least`` tokens are plain, and by words where some token is a slot."""
+    plain = lambda w: F.size(F.filter(F.slice(F.col(templates), w["at"] + 1, size), lambda t: ~is_slot(t)))
+    by_words = lambda w: F.struct(w["at"].alias("at"), w["n"].alias("n"), F.xxhash64(F.slice(F.col(words), w["at"] + 1, size)).alias("hash"))
+    return F.concat(F.filter(windows(templates, size), lambda w: plain(w) >= min(least, size)), F.transform(F.filter(windows(templates, size), lambda w: plain(w) < size), by_words))
+
+
+def consistent(slots: Column, agree: float) -> Column:
+    """Whether at least ``agree`` of the distinct item values of ``slots`` (mark, iv, dv) meet one document value each,
+    and names no other name's.
+    """
+    pairs = F.array_distinct(F.transform(slots, lambda s: F.struct(s["mark"].alias("mark"), s["iv"].alias("iv"), s["dv"].alias("dv"))))
+    clash = lambda a, b: (a["mark"] == b["mark"]) & (((a["iv"] == b["iv"]) & (a["dv"] != b["dv"])) | ((a["mark"] == NAME) & (a["iv"] != b["iv"]) & (a["dv"] == b["dv"])))
+    values = lambda ps: F.size(F.array_distinct(F.transform(ps, lambda p: F.struct(p["mark"], p["iv"]))))
+    single = lambda ps: F.size(F.filter(ps, lambda p: ~F.exists(ps, lambda q: clash(p, q))))
+    return F.get(F.transform(F.array(pairs), lambda ps: single(ps) >= agree * values(ps)), F.lit(0))
+
+
+def best_stretch(slots: str, n: str, need: Column, agree: float) -> Column:
+    """The longest stretch of at least ``need`` of the ``n`` covered tokens whose slots are consistent, as (n, i, j): its
+    slots are those from ``i`` to before ``j``; of equally long ones the last. n is 0 where there is none.
+
+    slots: array of (k, mark, iv, dv), k counting the covered tokens. Stretches reach from slot to slot, since plain
+    tokens never spoil one; they are tried from the longest, so that only bands that need it pay for more than one.
+    """
+    s, k = F.col(slots), lambda i: F.get(F.col(slots), i)["k"]
+    one = lambda i, j: F.struct((F.coalesce(k(j), F.col(n)) - F.when(i == 0, F.lit(0)).otherwise(k(i - 1) + 1)).cast("int").alias("n"), i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = F.flatten(F.transform(F.sequence(F.lit(0), F.size(s)), lambda i: F.transform(F.sequence(i, F.size(s)), lambda j: one(i, j))))
+    tried = F.sort_array(F.filter(every, lambda x: (x["n"] >= need) & (x["n"] > 0)), asc=False)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+    whole = F.struct(F.col(n).cast("int").alias("n"), F.lit(0).alias("i"), F.size(s).alias("j"))
+    ok = lambda x: consistent(F.slice(F.col(slots), x["i"] + 1, x["j"] - x["i"]), agree)
+    longest = F.aggregate(tried, none, lambda best, x: F.when(best["n"] > 0, best).when(ok(x), x).otherwise(best))
+    return F.when(consistent(s, agree), whole).otherwise(longest)
 
 
 def items_of(benchmark: DataFrame, key: str, text: str) -> DataFrame:
-    """_item, _class (of equal template and equal pattern of equal slot values), _it, _iv (templates and values), _all (hash of the values)."""
+    """_item, _class (of equal template and equal pattern of equal slot values), _it, _iw, _iv (templates, words and values), _all (hash of the words)."""
     rows = benchmark.filter(F.col(text).isNotNull()).select(F.col(key).alias("_item"), tokens(F.col(text)).alias("_iv"))
-    rows = rows.withColumn("_it", templates("_iv"))
+    rows = rows.withColumns({"_it": templates("_iv"), "_iw": words("_iv")})
     pattern = F.transform("_iv", lambda v: F.when(is_slot(v), F.array_position(F.col("_iv"), v)).otherwise(F.lit(0)).cast("string"))
-    return rows.withColumns({"_class": F.sha1(F.concat_ws(" ", F.col("_it"), pattern)), "_all": F.xxhash64("_iv")})
+    return rows.withColumns({"_class": F.sha1(F.concat_ws(" ", F.col("_it"), pattern)), "_all": F.xxhash64("_iw")})
 
 
 def members(benchmark: DataFrame, item: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -119,23 +162,27 @@ def contaminated(
     """Pairs of a document and an item that it holds: key, item, matched_tokens, item_tokens, n_slots, reparameterised,
     n_items, _body.
 
-    A pair counts if the windows on a diagonal and on those up to ``drift`` tokens beside it (words put in or left out)
-    cover ``least`` tokens of the item, or ``share`` of a shorter one, and at least ``agree`` of the item's distinct slot
-    values there meet a single document value each. A window with fewer than ``literals`` plain tokens must agree in its
-    values. An item of fewer than ``window`` tokens is one window and must be held whole; items of fewer than
-    ``shortest`` tokens, and null texts, match nothing.
+    The windows on a diagonal and on those up to ``drift`` tokens beside it (words put in or left out) cover tokens of
+    the item; a pair counts if a stretch of ``least`` of these, or of ``share`` of a shorter item, is consistent: at
+    least ``agree`` of the item's distinct slot values there meet a single document value each, and names no other
+    name's (two numbers may become one). The longest such stretch of any diagonal is matched_tokens, and n_slots its
+    slots. A window with fewer than ``literals`` plain tokens must agree in its words; words agree in any case of
+    letters. An item of fewer than ``window`` tokens is one window and must be held whole; half of its tokens, and at
+    least three, must be plain where values differ. Items of fewer than ``shortest`` tokens, and null texts, match
+    nothing.
 
     Items with the same template and slot pattern are one class (n_items: its size; members() lists them). A pair names
     the class's smallest item, or the smallest whose values the document repeats as they are over the whole item;
-    reparameterised is true if the covered values differ from the named item's. Documents equal in key and text give
+    reparameterised is true if values of the stretch differ from the named item's. Documents equal in key and text give
     one row, null keys stay null (_body, a hash of the text, tells such documents apart); empty and null document texts
     match nothing; empty tables give no rows; other columns are not read.
     """
     all_items = durable(items_of(benchmark, item, item_text).filter(F.size("_iv") >= shortest), "benchmark-items")
-    items = durable(all_items.groupBy("_class").agg(F.min(F.struct("_item", "_it", "_iv")).alias("_r"), F.count(F.lit(1)).alias("n_items")).select("_class", "_r.*", "n_items"), "benchmark-classes")
+    items = durable(all_items.groupBy("_class").agg(F.min(F.struct("_item", "_it", "_iw", "_iv")).alias("_r"), F.count(F.lit(1)).alias("n_items")).select("_class", "_r.*", "n_items"), "benchmark-classes")
     sizes = sorted({r[0] for r in items.select(F.least(F.size("_it"), F.lit(window))).distinct().collect()}) or [window]
     every = lambda made: F.concat(*[made(n) for n in sizes])  # noqa: E731  one size unless items are short
-    fitting = F.filter(every(lambda n: known_by("_it", "_iv", n, literals)), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))
+    plain_least = lambda n: literals if n == window else max(3, -(-n // 2))
+    fitting = F.filter(every(lambda n: known_by("_it", "_iw", n, plain_least(n))), lambda w: w["n"] == F.least(F.size("_it"), F.lit(window)))
     index = durable(items.select("_class", F.size("_it").alias("_length"), F.explode_outer(fitting).alias("_w")).select("_class", "_length", F.col("_w.at").alias("_ipos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash")), "benchmark-windows")
     keyed = spread(docs.select(key, text)).select(F.col(key).alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_body"), F.col(text).alias("_text"))
     # Which documents share a window's template with the benchmark at all; by template alone, which costs less to look up.
@@ -150,8 +197,8 @@ def contaminated(
     # These documents in full: which diagonals they share with which items.
     named = hit.select(text_key("_key").alias("_k"), F.col("_body").alias("_b"))
     whole = keyed.join(sized(named, 500_000), (text_key("_key") == F.col("_k")) & (F.col("_body") == F.col("_b")), "left_semi")
-    whole = durable(whole.dropDuplicates(["_key", "_body"]).select("_key", "_body", tokens(F.col("_text")).alias("_dv")).withColumn("_dt", templates("_dv")), "benchmark-documents")
-    placed = whole.select("_key", "_body", F.explode_outer(every(lambda n: known_by("_dt", "_dv", n, literals))).alias("_w"))
+    whole = durable(whole.dropDuplicates(["_key", "_body"]).select("_key", "_body", tokens(F.col("_text")).alias("_dv")).withColumns({"_dt": templates("_dv"), "_dw": words("_dv")}).drop("_dv"), "benchmark-documents")
+    placed = whole.select("_key", "_body", F.explode_outer(every(lambda n: known_by("_dt", "_dw", n, plain_least(n)))).alias("_w"))
     placed = placed.select("_key", "_body", F.col("_w.at").alias("_dpos"), F.col("_w.n").alias("_n"), F.col("_w.hash").alias("_hash"))
     met = placed.join(sized(index, 500_000), ["_n", "_hash"]).withColumn("_shift", F.col("_dpos") - F.col("_ipos"))
     pair = ["_key", "_body", "_class", "_length", "_n"]
@@ -166,17 +213,20 @@ def contaminated(
     bands = durable(bands.drop("_cover"), "benchmark-bands").withColumn("matched_tokens", F.size("_spots"))
     enough = bands.filter((F.col("matched_tokens") >= least) | (F.col("matched_tokens") >= F.ceil(share * F.col("_length")))).select(*pair, "_shift", "_spots", "matched_tokens")
     both = enough.join(whole.withColumnRenamed("_key", "_k").withColumnRenamed("_body", "_b"), F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_body") == F.col("_b"))).join(sized(items, 20_000), "_class")
-    # Slots at the covered places, as (item value, document value); tokens there must agree exactly where they are plain.
-    cells = F.transform("_spots", lambda s: F.struct(F.get("_it", s["p"]).alias("t"), F.get("_dt", s["p"] + s["shift"]).alias("d"), F.get("_iv", s["p"]).alias("iv"), F.get("_dv", s["p"] + s["shift"]).alias("dv")))
-    slots = F.filter("_cells", lambda c: is_slot(c["t"]))
-    mapped = F.array_distinct(F.transform("_slots", lambda c: F.struct(c["iv"].alias("iv"), c["dv"].alias("dv"))))
-    names = F.array_distinct(F.transform("_slots", lambda c: c["iv"]))
-    single = F.size(F.filter("_names", lambda n: F.size(F.filter("_mapped", lambda m: m["iv"] == n)) == 1))
-    own = F.xxhash64(F.slice("_dv", F.greatest(F.col("_shift"), F.lit(0)) + 1, F.col("_length"))).alias("_all")
+    # Slots at the covered places, as item word and document word; tokens there must agree in template or word.
+    there = lambda s: s["p"] + s["shift"]
+    cells = F.transform("_spots", lambda s, k: F.struct(
+        k.alias("k"), F.left(F.get("_it", s["p"]), F.lit(1)).alias("mark"), F.get("_iw", s["p"]).alias("iv"), F.get("_dw", there(s)).alias("dv"),
+        ((F.get("_it", s["p"]) == F.get("_dt", there(s))) | (F.get("_iw", s["p"]) == F.get("_dw", there(s)))).alias("fits"),
+    ))
+    own = F.xxhash64(F.slice("_dw", F.greatest(F.col("_shift"), F.lit(0)) + 1, F.col("_length"))).alias("_all")
     told = durable(both.select(*pair, "_item", "n_items", "_shift", "matched_tokens", own, cells.alias("_cells")), "benchmark-cells")
-    told = told.filter(F.forall("_cells", lambda c: c["t"] == c["d"])).withColumn("_slots", slots).withColumns({"_mapped": mapped, "_names": names}).drop("_cells")
-    told = durable(told, "benchmark-slots")
-    held = told.filter(single >= agree * F.size("_names")).withColumns({"n_slots": F.size("_slots"), "_other": F.exists("_mapped", lambda m: m["iv"] != m["dv"])})
+    slots = F.transform(F.filter("_cells", lambda c: c["mark"].isin(*MARKS)), lambda c: c.dropFields("fits"))
+    told = durable(told.filter(F.forall("_cells", lambda c: c["fits"])).withColumn("_slots", slots).drop("_cells"), "benchmark-slots")
+    need = F.when(F.col("_length") < window, F.col("_length")).otherwise(F.least(F.lit(least), F.ceil(share * F.col("_length")).cast("int")))
+    held = durable(told.withColumn("_stretch", best_stretch("_slots", "matched_tokens", need, agree)), "benchmark-stretches").filter(F.col("_stretch.n") > 0)
+    inside = F.slice("_slots", F.col("_stretch.i") + 1, F.col("_stretch.j") - F.col("_stretch.i"))
+    held = held.withColumns({"matched_tokens": F.col("_stretch.n"), "n_slots": F.col("_stretch.j") - F.col("_stretch.i"), "_other": F.exists(inside, lambda m: m["iv"] != m["dv"])})
     # A document's own values over the whole item may be those of another member of the class.
     same = all_items.groupBy("_class", "_all").agg(F.min("_item").alias("_same"))
     exact = held.join(sized(same, 500_000), ["_class", "_all"], "left")

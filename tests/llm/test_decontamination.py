@@ -30,8 +30,19 @@ def plain_tokens(text):
     return out
 
 
+def fits(line):
+    """Whether enough of the values of a stretch have one value of the document, which no other name has."""
+    meets, whose = defaultdict(set), defaultdict(set)
+    for (kind, value), there in line:
+        if kind in ("#", "unit", "name"):
+            meets[kind, value].add(there)
+            whose[kind, there].add(value)
+    alone = lambda key, there: len(there) == 1 and (key[0] != "name" or len(whose["name", min(there)]) == 1)
+    return sum(alone(key, there) for key, there in meets.items()) >= AGREE * len(meets)
+
+
 def plain_pairs(docs, items):
-    """(doc, item) -> matched tokens of the best band of diagonals that passes."""
+    """(doc, item) -> tokens of the longest stretch that some band of diagonals covers and that is consistent."""
     found = {}
     told = {k: plain_tokens(t) for k, t in docs.items()}
     slot = lambda t: t in ("#", "unit", "name")
@@ -41,15 +52,17 @@ def plain_pairs(docs, items):
             continue
         n = min(WINDOW, len(want))
         for doc, have in told.items():
-            at, places = defaultdict(set), defaultdict(list)
+            at, places, words = defaultdict(set), defaultdict(list), defaultdict(list)
             for j in range(len(have) - n + 1):
                 places[tuple(t for t, _ in have[j : j + n])].append(j)
+                words[tuple(w for _, w in have[j : j + n])].append(j)
             for i in range(len(want) - n + 1):
                 a = want[i : i + n]
-                exact = sum(not slot(t) for t, _ in a) < LITERALS
-                for j in places[tuple(t for t, _ in a)]:
-                    if not exact or a == have[j : j + n]:
-                        at[j - i].add(i)
+                exact = sum(not slot(t) for t, _ in a) < (LITERALS if n == WINDOW else max(3, (n + 1) // 2))
+                for j in [] if exact else places[tuple(t for t, _ in a)]:
+                    at[j - i].add(i)
+                for j in words[tuple(w for _, w in a)]:
+                    at[j - i].add(i)
             for shift in at:
                 spots = {}
                 for s in range(shift, shift + DRIFT + 1):
@@ -58,12 +71,12 @@ def plain_pairs(docs, items):
                             spots.setdefault(p, s)
                 if len(spots) < LEAST and len(spots) < SHARE * len(want) - 1e-9:
                     continue
-                mapped = defaultdict(set)
-                for p, s in spots.items():
-                    if slot(want[p][0]):
-                        mapped[want[p]].add(have[p + s][1])
-                if sum(len(v) == 1 for v in mapped.values()) >= AGREE * len(mapped):
-                    found[doc, item] = max(found.get((doc, item), 0), len(spots))
+                line = [(want[p], have[p + s][1]) for p, s in sorted(spots.items())]
+                for begin in range(len(line)):
+                    for end in range(begin + 1, len(line) + 1):
+                        long = end - begin == len(want) or len(want) >= WINDOW and (end - begin >= LEAST or end - begin >= SHARE * len(want) - 1e-9)
+                        if long and end - begin > found.get((doc, item), 0) and fits(line[begin:end]):
+                            found[doc, item] = end - begin
     return found
 
 
@@ -142,9 +155,11 @@ def test_two_copies_in_either_order_and_names_that_begin_sentences(spark):
     item = "Tom has 5 apples. Anna has 3 apples. Tom gives 2 apples to Anna. Then Karl asks how many apples Anna and Tom have left"
     same = item.replace("Tom", "Emil").replace("Anna", "Nora").replace("5", "9").replace("3", "8")
     wrong = "Emil has 5 apples. Nora has 3 apples. Lund gives 2 apples to Berg. Then Oslo asks how many apples Paris and Maria have left"
-    docs = {1: f"{wrong}. {item}.", 2: f"{item}. {wrong}.", 3: wrong, 4: same, 5: "while " + item, 6: f"{wrong}. and so: {same}"}
+    mixed = item.replace("Tom", "Lund").replace("Anna", "Lund").replace("Karl", "Lund")
+    docs = {1: f"{wrong}. {item}.", 2: f"{item}. {wrong}.", 3: wrong, 4: same, 5: "while " + item, 6: f"{wrong}. and so: {same}", 7: mixed}
     rows = check(spark, docs, {7: item})
-    assert {r["doc_id"]: r["reparameterised"] for r in rows} == {1: False, 2: False, 4: True, 5: False, 6: True}
+    # The second half of the third document is consistent by itself, the seventh's nowhere.
+    assert {r["doc_id"]: r["reparameterised"] for r in rows} == {1: False, 2: False, 3: True, 4: True, 5: False, 6: True}
 
 
 def test_a_copy_of_another_member_of_a_class_is_no_rewrite(spark):
@@ -164,3 +179,47 @@ def test_very_long_texts_and_runs_of_figures(spark):
     benchmark = spark.createDataFrame([(1, " ".join(words)), (2, "1,2,3 " * 5)], "item_id long, text string")
     assert [(r["doc_id"], r["item_id"], r["matched_tokens"]) for r in d.contaminated(frame, benchmark).collect()] == [(1, 1, len(words))]
     assert sorted(r["doc_id"] for r in d.keep_clean(frame, benchmark).select("doc_id").collect()) == [2, 3, 4, 5]
+
+
+def found(spark, docs, items):
+    return {(r["doc_id"], r["item_id"]): (r["matched_tokens"], r["reparameterised"]) for r in check(spark, docs, items)}
+
+
+def test_more_text_of_an_item_never_loses_the_passage(spark):
+    head = "the old mill near Oslo has 5 wheels and 7 doors while slow trains pass through green"
+    item = head + " hills where Anna keeps 3 goats Karl keeps 4 hens Tom keeps 6 cows and Emil sells 8 geese to Nora"
+    same = " where Lund keeps 31 goats Berg keeps 44 hens Lund keeps 62 cows and Berg sells 81 geese to Lund"
+    worse = " where Karl keeps 31 goats Karl keeps 44 hens Karl keeps 62 cows and Karl sells 81 geese to Karl Oslo 5"
+    docs = {1: head, 2: head + " hills" + same, 3: head + " hills" + worse, 4: head + " hills and" + worse, 5: head + " plus other words follow"}
+    got = found(spark, docs, {1: item})
+    assert set(got) == {(k, 1) for k in docs} and all(n >= 17 for n, _ in got.values())
+
+
+def test_case_of_letters_does_not_hide_a_copy(spark):
+    items = {1: "Maria and Tom walk along the river near Oslo while slow trains pass", 2: "Calculate the total cost of three apples and seven red pears for Anna"}
+    docs = {1: items[1].lower(), 2: items[1].upper(), 3: "please " + items[2][0].lower() + items[2][1:], 4: items[2].title()}
+    assert found(spark, docs, items) == {(1, 1): (13, False), (2, 1): (13, False), (3, 2): (13, False), (4, 2): (13, False)}
+
+
+def test_short_questions_with_other_values(spark):
+    items = {1: "What is 12 plus 7?", 2: "Oslo 5 km", 3: "How far is Oslo from Berg?"}
+    docs = {1: "so, what is 31 plus 5", 2: "What is 12 plus 7?", 3: "Paris 9 km", 4: "oslo 5 km", 5: "how far is Paris from Lund", 6: "how far is Paris from Paris", 7: "what is 3 minus 5"}
+    assert {k: v[1] for k, v in found(spark, docs, items).items()} == {(1, 1): True, (2, 1): False, (4, 2): False, (5, 3): True}
+
+
+def test_names_that_become_one_are_no_rewrite(spark):
+    item = "Maria meets Tom near Oslo and then Maria and Tom walk along the river"
+    docs = {1: item.replace("Maria", "Lena").replace("Tom", "Lena").replace("Oslo", "Lena"), 2: item.replace("Maria", "Lena").replace("Tom", "Ben").replace("Oslo", "Bonn")}
+    assert set(found(spark, docs, {1: item})) == {(2, 1)}
+
+
+def test_planted_rewrites_are_found(spark):
+    """Items with each value replaced, numbers, names and units; at least nine in ten are found and no other document is."""
+    draw = random.Random(11)
+    made = {i: phrase(draw, draw.randrange(16, 60)) for i in range(60)}
+    docs = {i: " ".join(phrase(draw, 20) + rewritten(draw, w) + phrase(draw, 20)) for i, w in made.items()}
+    docs |= {100 + i: " ".join(phrase(draw, 80)) for i in range(60)}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in made.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in d.contaminated(frame, benchmark).collect()}
+    assert sum((i, i) in got for i in made) >= 54 and got <= {(i, i) for i in made}
