@@ -51,6 +51,40 @@ def leftover_files(files: DataFrame, library: DataFrame, now: int, grace: int =
     return joined.filter(stray & (now - F.col("mtime") >= grace * DAY)).select("name")
 
 
+def pruned_files(library: DataFrame, files: DataFrame, copies: DataFrame, leftovers: DataFrame) -> DataFrame:
+    """Files that go when ``copies`` (id) and ``leftovers`` (name) are pruned: name, size. library: id, audio; files: name, size.
+
+    With a copy go its lists of quiet places and its shape; with leftover audio that no entry knows, its quiet list. A
+    library without entries prunes nothing: an index that came out empty by a fault must not cost all audio.
+    """
+    aside = lambda kind: F.concat("id", F.lit(f".{kind}.json"))
+    gone = library.join(copies.select("id").distinct(), "id", "left_semi").filter(F.col("audio").isNotNull())
+    own = gone.select(F.explode(F.array(F.element_at(F.split("audio", "/"), -1), aside("quiet"), aside("shape"))).alias("name"))
+    stray = leftovers.select(F.regexp_extract("name", r"^([0-9a-f]{16})\.(mp3|m4a)$", 1).alias("id")).filter("id <> ''")
+    lost = stray.join(library.select("id"), "id", "left_anti").select(aside("quiet").alias("name"))
+    names = own.unionByName(leftovers.select("name")).unionByName(lost).distinct()
+    some = library.limit(1).select(F.lit(True).alias("_some"))
+    return files.join(names, "name", "left_semi").withColumn("_some", F.lit(True)).join(F.broadcast(some), "_some", "left_semi").select("name", "size")
+
+
+def pruned_library(library: DataFrame, copies: DataFrame) -> DataFrame:
+    """The library's rows after pruning: audio, quiet and shape of the copies are null, all else as it was."""
+    marked = library.join(copies.select("id").distinct().withColumn("_gone", F.lit(True)), "id", "left")
+    kept = {c: F.when(F.col("_gone").isNull(), F.col(c)) for c in ("audio", "quiet", "shape") if c in library.columns}
+    return marked.withColumns(kept).select(*library.columns)
+
+
+def refresh_plan(shows: DataFrame, feeds: DataFrame, now: int, seconds: int) -> DataFrame:
+    """What a refresh does: id, action. shows: id of each followed show; feeds: id, fetched_at of each kept feed.
+
+    Feeds of followed shows that were never read, or not within ``seconds``, are read; feeds of other shows are dropped.
+    """
+    both = shows.select("id").distinct().withColumn("_followed", F.lit(True)).join(feeds.groupBy("id").agg(F.max(F.coalesce("fetched_at", F.lit(0))).alias("_at")), "id", "full")
+    stale = F.col("_at").isNull() | (now - F.col("_at") > seconds * 1000)
+    action = F.when(F.col("_followed").isNull(), F.lit("drop")).when(stale, F.lit("read"))
+    return both.select("id", action.alias("action")).filter(F.col("action").isNotNull())
+
+
 def downloads(shows: DataFrame, episodes: DataFrame, progress: DataFrame, queue: DataFrame, saved: DataFrame, declined: DataFrame, keep_played: bool = False) -> DataFrame:
     """What to fetch and what to drop: id, action. shows: show, keep; episodes: id, show, url, published; progress: id, p,
     done; queue, declined: id; saved: id, show, auto.

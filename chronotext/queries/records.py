@@ -130,6 +130,52 @@ def leftover_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planners.leftover_files(files, library, 896_659_200_000)
 
 
+PRUNED = """o AS (SELECT left(sha1(CAST(o_orderkey AS VARCHAR)), 16) AS id, o_orderkey AS k, 896659200000 - epoch_ms(o_orderdate) AS age FROM orders),
+library AS (SELECT id, k % 3 > 0 AS audio, k % 3 > 0 AND age > CAST(200 AS BIGINT) * 86400000 AS copy FROM o WHERE k % 5 > 0),
+files AS (SELECT *, id || kind AS name, k % 1000 + length(kind) AS size FROM o, (SELECT unnest(['.mp3', '.quiet.json', '.shape.json']) AS kind))"""
+
+
+def _prunable(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Library, files, copies and leftovers made of orders."""
+    o = table(spark, sf_dir, "orders").select(F.left(F.sha1(F.col("o_orderkey").cast("string")), F.lit(16)).alias("id"), F.col("o_orderkey").alias("k"), F.unix_millis("o_orderdate").alias("at"))
+    mp3, quiet, shape = (F.concat("id", F.lit(kind)) for kind in (".mp3", ".quiet.json", ".shape.json"))
+    library = o.filter("k % 5 > 0").select("id", F.when(F.col("k") % 3 > 0, F.concat(F.lit("audio/"), mp3)).alias("audio"), (F.col("k") % 7).alias("quiet"), (F.col("k") % 11).alias("shape"), "at")
+    files = o.select("k", F.col("at").alias("mtime"), F.explode(F.array(mp3, quiet, shape)).alias("name"))
+    files = files.select("name", "mtime", (F.col("k") % 1000 + F.length("name") - 16).alias("size"))
+    none = library.limit(0)
+    listed = library.withColumn("audio", F.element_at(F.split("audio", "/"), -1))
+    copies = planners.stale_copies(listed, none.select("id"), none.select("id", F.lit(0.0).alias("p"), F.lit(False).alias("done")), files, 896_659_200_000, 200)
+    return library, files, copies, planners.leftover_files(files, listed, 896_659_200_000)
+
+
+@query(f"""WITH {PRUNED}
+SELECT f.name, f.size FROM files f LEFT JOIN library l ON f.id = l.id
+WHERE coalesce(l.copy, false) OR (kind = '.mp3' AND NOT coalesce(l.audio, false) AND f.age >= CAST(2 AS BIGINT) * 86400000)
+  OR (kind = '.quiet.json' AND l.id IS NULL AND f.age >= CAST(2 AS BIGINT) * 86400000)""")
+def pruned_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files that go with pruned copies and leftovers."""
+    return planners.pruned_files(*_prunable(spark, sf_dir))
+
+
+@query(f"""WITH {PRUNED}
+SELECT l.id, CASE WHEN l.audio AND NOT copy THEN 'audio/' || l.id || '.mp3' END AS audio, CASE WHEN NOT copy THEN k % 7 END AS quiet, CASE WHEN NOT copy THEN k % 11 END AS shape
+FROM library l JOIN o ON l.id = o.id""")
+def pruned_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the library says after pruning."""
+    library, _, copies, _ = _prunable(spark, sf_dir)
+    return planners.pruned_library(library, copies).select("id", "audio", "quiet", "shape")
+
+
+@query("""WITH shows AS (SELECT c_custkey AS id FROM customer WHERE c_custkey % 4 > 0), feeds AS (SELECT o_custkey AS id, max(epoch_ms(o_orderdate)) AS read_at FROM orders GROUP BY 1)
+SELECT id, 'drop' AS action FROM feeds WHERE id NOT IN (SELECT id FROM shows)
+UNION ALL SELECT s.id, 'read' FROM shows s LEFT JOIN feeds f ON s.id = f.id WHERE f.id IS NULL OR 896659200000 - read_at > CAST(90 AS BIGINT) * 86400000""")
+def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds to read again and feeds to drop."""
+    shows = table(spark, sf_dir, "customer").filter("c_custkey % 4 > 0").select(F.col("c_custkey").alias("id"))
+    feeds = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.unix_millis("o_orderdate").alias("fetched_at"))
+    return planners.refresh_plan(shows, feeds, 896_659_200_000, 90 * 86_400)
+
+
 @query("""WITH ep AS (SELECT o_orderkey AS id, o_custkey AS "show", epoch_ms(o_orderdate) AS published FROM orders), done AS (SELECT id FROM ep WHERE id % 4 = 0), started AS (SELECT id FROM ep WHERE id % 9 = 1 AND id % 4 <> 0),
 shows AS (SELECT c_custkey AS "show", c_custkey % 3 AS keep FROM customer), saved AS (SELECT id, "show", id % 2 = 0 AS auto FROM ep WHERE id % 6 < 2),
 newest AS (SELECT *, row_number() OVER (PARTITION BY "show" ORDER BY published DESC, id) AS k FROM ep WHERE id NOT IN (SELECT id FROM done) AND id % 17 <> 5),
