@@ -94,11 +94,11 @@ def search(segments: DataFrame, query: str, key: str = "episode_id") -> DataFram
     """Hits of a query: key, runs, hit, from_seq, to_seq, marks (0-based code point ranges of the run's folded text).
 
     segments: key, seq, text. An episode gives at most MAX_HITS hits, in the order they are said. An empty query finds
-    nothing.
+    nothing; null texts count as empty, and segments without a key belong to no episode.
     """
     ship(segments.sparkSession)
     terms = parse_query(query)
-    lines = segments.select(key, "seq", fold(clean(F.col("text"))).alias("_line"))
+    lines = segments.filter(F.col(key).isNotNull()).select(key, "seq", fold(clean(F.coalesce("text", F.lit("")))).alias("_line"))
     holds = F.lit(bool(terms))
     for t in terms:
         holds &= F.col("_whole").rlike(t.pattern)
