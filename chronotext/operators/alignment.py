@@ -33,8 +33,8 @@ def retimed(parts: DataFrame, turns: DataFrame, keys: list[str], least: float =
     chosen = whole.join(held, by).filter(F.col("_sum") >= least * (F.col("_e") - F.col("_s")))
     rows = parts.join(chosen, by, "left").withColumn("_c", F.coalesce(F.length("text"), F.lit(0)))
     group = Window.partitionBy(*by)
-    share = F.col("_sum") / F.nullif(F.sum("_c").over(group), F.lit(0))
-    rows = rows.withColumn("_through", F.sum("_c").over(group.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).withColumns({"_from": share * (F.col("_through") - F.col("_c")), "_to": share * F.col("_through")})
+    share = lambda upto: F.col("_sum") * upto / F.nullif(F.sum("_c").over(group), F.lit(0))
+    rows = rows.withColumn("_through", F.sum("_c").over(group.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))).withColumns({"_from": share(F.col("_through") - F.col("_c")), "_to": share(F.col("_through"))})
 
     def wall(x: Column, begins: bool) -> Column:
         held = F.filter("_talk", lambda s: (x - s["before"] < s["length"]) if begins else (x - s["before"] <= s["length"]))
