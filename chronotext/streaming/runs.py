@@ -168,23 +168,35 @@ def recognition_windows(frames: DataFrame, key: str, earliest: float = 18.0, lat
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         job, n, start, at, e = state.get if state.exists else (-1, 0, 0.0, [], [])
-        at, e, found = list(at), list(e), []
+        at, e, found = np.array(at, dtype=float), np.array(e, dtype=float), []
+
+        def add(edges: np.ndarray) -> None:
+            found.append(pd.DataFrame({key: group[0], "job": job, "n": np.arange(n, n + len(edges) - 1), "start": edges[:-1], "end": edges[1:]}))
+
         rows = pd.concat(list(batches))
         for number, more in rows[rows["job"] >= job].sort_values(["job", "at"], kind="stable").groupby("job"):
             if number > job:
-                job, n, start, at, e = int(number), 0, 0.0, [], []
-            at, e = [*at, *more["at"].tolist()], [*e, *more["e"].tolist()]
-            while at and at[-1] + frame - start > latest:
-                low, high = np.searchsorted(at, [start + earliest, start + latest - frame])
-                cut = float(at[low + int(np.argmin(e[low:high]))] + frame / 2) if high > low else start + latest
-                found.append((group[0], job, n, start, cut))
-                keep = int(np.searchsorted(at, cut))
-                n, start, at, e = n + 1, cut, at[keep:], e[keep:]
-            if more["last"].any() and at:
-                found.append((group[0], job, n, start, at[-1] + frame))
-                n, start, at, e = n + 1, at[-1] + frame, [], []
-        state.update((int(job), int(n), float(start), [float(x) for x in at], [float(x) for x in e]))
-        yield pd.DataFrame(found, columns=[key, "job", "n", "start", "end"])
+                job, n, start, at, e = int(number), 0, 0.0, np.zeros(0), np.zeros(0)
+            at, e = np.concatenate([at, more["at"].to_numpy(dtype=float)]), np.concatenate([e, more["e"].to_numpy(dtype=float)])
+            low, edges = 0, [start]
+            while low < len(at) and at[-1] + frame - start > latest:
+                if at[low] >= start + latest:  # no frame until then: all windows before it at once
+                    steps = np.add.accumulate(np.r_[start, np.full(int((at[low] - start) / latest) + 2, latest)])
+                    cuts = steps[1:][steps[1:] <= at[low]].tolist()
+                else:
+                    first, last = low + np.searchsorted(at[low:], [start + earliest, start + latest - frame])
+                    cuts = [float(at[first + int(np.argmin(e[first:last]))] + frame / 2) if last > first else start + latest]
+                edges += cuts
+                start = edges[-1]
+                low += int(np.searchsorted(at[low:], start))
+            at, e = at[low:], e[low:]
+            if more["last"].any() and len(at):
+                edges.append(float(at[-1] + frame))
+                start, at, e = edges[-1], np.zeros(0), np.zeros(0)
+            add(np.array(edges))
+            n += len(edges) - 1
+        state.update((int(job), int(n), float(start), at.tolist(), e.tolist()))
+        yield pd.concat(found) if found else pd.DataFrame([], columns=[key, "job", "n", "start", "end"])
 
     return frames.groupBy(key).applyInPandasWithState(
         step, f"{key} {kind}, job long, n int, start double, end double", "job long, n int, start double, at array<double>, e array<double>", "append", GroupStateTimeout.NoTimeout
