@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -68,42 +71,67 @@ def quiet_timeline(labels: DataFrame, frames: DataFrame, keys: list[str], rate:
     return runs.filter("at > start").select(*keys, "start", F.col("at").alias("end"), "label")
 
 
-def edit_rows(a: np.ndarray, b: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """The rows of the edit-distance table below ``row`` for the words ``a`` against all of ``b``."""
-    at = np.arange(len(b) + 1)
-    out = np.empty((len(a) + 1, len(b) + 1), dtype=np.int32)
-    out[0] = row
-    for i, word in enumerate(a):
-        step = out[i] + 1
-        step[1:] = np.minimum(step[1:], out[i, :-1] + (b != word))
-        out[i + 1] = np.minimum.accumulate(step - at) + at
-    return out
+def edit_bits(a: list[int], match: Callable[[int], int], size: int, plus: int, minus: int, rows: list[tuple[int, int]] | None = None) -> tuple[int, int]:
+    """The steps along a row of the edit-distance table, ``len(a)`` rows further down: where it goes up, where down, as bits.
+
+    Bit j of ``plus`` (``minus``) says that the row rises (falls) by one from place j to j + 1 of ``size``; match(word): the
+    places of the other text where it stands. One row is a few operations on whole bit vectors (Myers 1999, Hyyrö 2003).
+    ``rows`` gets for each row where its diagonal steps cost nothing and where its value is one more than above.
+    """
+    whole = (1 << size) - 1
+    for word in a:
+        equal = match(word) & whole
+        free = ((((equal & plus) + plus) ^ plus) | equal | minus) & whole
+        more = minus | whole ^ (free | plus)
+        if rows is not None:
+            rows.append((free, more))
+        less, more = (free & plus) << 1, more << 1 | 1
+        plus, minus = (less | ~(free | more)) & whole, more & free
+    return plus, minus
 
 
 def aligned(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """Pairs of places of equal words on a cheapest way from the beginnings of both to the end of ``a``; ``b`` may go on.
 
     Only every so many rows of the table are kept, the band between two of them is made again on the way back, so memory
-    follows len(b) times the root of len(a). A diagonal step goes before leaving out a word of ``a``, that before one of
-    ``b``; of equally cheap ends the first.
+    follows len(b) times the root of len(a), in bits. A diagonal step goes before leaving out a word of ``a``, that before
+    one of ``b``; of equally cheap ends the first.
     """
-    n, band = len(a), max(1, int(len(a) ** 0.5))
-    kept = [np.arange(len(b) + 1, dtype=np.int32)]
+    words, others = a.tolist(), b.tolist()
+    n, m, band = len(words), len(others), max(1, int(len(words) ** 0.5))
+    places: dict[int, list[int]] = {}
+    for j, word in enumerate(others):
+        places.setdefault(word, []).append(j)
+
+    @lru_cache(band)
+    def match(word: int) -> int:
+        bits = bytearray(m // 8 + 1)
+        for j in places.get(word, ()):
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
+    def spread(bits: int) -> np.ndarray:
+        return np.unpackbits(np.frombuffer(bits.to_bytes(m // 8 + 1, "little"), np.uint8), count=m, bitorder="little").astype(np.int64)
+
+    kept = [((1 << m) - 1, 0)]
     for i in range(0, n, band):
-        kept.append(edit_rows(a[i : i + band], b, kept[-1])[-1])
-    j = int(kept[-1].argmin())
+        kept.append(edit_bits(words[i : i + band], match, m, *kept[-1]))
+    j = int(np.r_[0, np.cumsum(spread(kept[-1][0]) - spread(kept[-1][1]))].argmin())
     pairs = []
     for k in range(len(kept) - 2, -1, -1):
         low = k * band
-        table = edit_rows(a[low : low + band], b[:j], kept[k][: j + 1])
-        i = len(table) - 1
+        whole = (1 << j) - 1
+        rows: list[tuple[int, int]] = []
+        edit_bits(words[low : low + band], match, j, kept[k][0] & whole, kept[k][1] & whole, rows)
+        i = len(rows)
         while i and j:
-            same = a[low + i - 1] == b[j - 1]
-            if table[i, j] == table[i - 1, j - 1] + (not same):
+            free, more = rows[i - 1]
+            same = words[low + i - 1] == others[j - 1]
+            if same or not free >> (j - 1) & 1:
                 if same:
                     pairs.append((low + i - 1, j - 1))
                 i, j = i - 1, j - 1
-            elif table[i, j] == table[i - 1, j] + 1:
+            elif more >> (j - 1) & 1:
                 i -= 1
             else:
                 j -= 1
