@@ -43,7 +43,7 @@ class WordEncoder:
     worker.
     """
 
-    def __init__(self, path: str, memory: int = 300_000) -> None:
+    def __init__(self, path: str, memory: int = 120_000) -> None:
         self.library, self.memory = Tokenizer.from_file(path), memory
         self.model = self.library.model
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
@@ -75,9 +75,7 @@ class WordEncoder:
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text. A slice's words are numbered by Arrow, so Python sees each once."""
         for start, end in text_slices(texts):
-            if len(self.words) > self.memory:
-                self.words = {}
-            if len(self.runs) > 2 * self.memory:
+            if len(self.runs) > self.memory:
                 self.runs = {"": b""}
             some = pa.array([t or "" for t in texts[start:end]], pa.large_string())
             odd = pc.match_substring_regex(some, UNSAFE.pattern)
@@ -86,6 +84,8 @@ class WordEncoder:
             # One string of all words, cut by Python: much quicker than one object from Arrow each.
             words = pc.binary_join(pa.ListArray.from_arrays([0, len(numbers.dictionary)], numbers.dictionary), pa.scalar(" ", pa.large_string()))[0].as_py().split(" ")
             found = list(map(self.words.get, words))
+            if len(self.words) > self.memory:
+                self.words = {w: ids for w, ids in zip(words, found, strict=True) if ids is not None}  # those that come again
             new = [i for i, ids in enumerate(found) if ids is None]
             self.learn([words[i] for i in new])
             for i in new:
