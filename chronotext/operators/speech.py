@@ -145,11 +145,15 @@ def minor_voices(segments: DataFrame, key: str, named: DataFrame | None = None,
     """Voices with little to say and no name: key, speaker, seconds. segments: key, speaker, start, end; named: key, speaker.
 
     An episode counts from ``least_total`` seconds of talk on; a voice is minor below ``most`` seconds and below a ``share``
-    of the talk. Segments without a speaker or of no length are left out.
+    of the talk. Segments without a speaker or of no length are left out. Seconds are added as they are said, voices by
+    their first words, so that a sum on a threshold does not hang on how rows are dealt out.
     """
     rows = segments.filter(F.col("speaker").isNotNull() & (F.col("end") > F.col("start")))
-    talk = rows.groupBy(key, "speaker").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
-    whole = talk.withColumn("_total", F.sum("seconds").over(Window.partitionBy(key)))
+    said = Window.partitionBy(key, "speaker").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    summed = rows.select(key, "speaker", "start", F.sum(F.col("end") - F.col("start")).over(said).alias("seconds"))
+    talk = summed.groupBy(key, "speaker").agg(F.max("seconds").alias("seconds"), F.min("start").alias("_first"))
+    voices = Window.partitionBy(key).orderBy("_first", "speaker").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    whole = talk.withColumn("_total", F.sum("seconds").over(voices))
     found = whole.filter((F.col("_total") >= least_total) & (F.col("seconds") < F.least(F.lit(most), F.col("_total") * share)))
     found = found if named is None else found.join(named.select(key, "speaker").distinct(), [key, "speaker"], "left_anti")
     return found.select(key, "speaker", "seconds")
