@@ -58,5 +58,6 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     recording is begun anew. Tests hold the cuts against the batch fold."""
     e = runs.stream(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("id"), "value")
     frames = e.select("user_id", F.when((F.col("user_id") % 3 == 0) & (F.col("id") % 2 == 0), 1).otherwise(0).cast("long").alias("job"), (F.col("id") / 200).alias("at"), F.col("value").alias("e"), F.lit(False).alias("last"))
-    found = runs.run(spark, runs.recognition_windows(frames, "user_id", frame=0.8), "windows")
-    return found.filter((F.col("user_id") % 3 > 0) | (F.col("job") == 1))
+    # Windows without frames stay together until the stream has ended: most are such.
+    found = runs.recognition_stretches(frames, "user_id", frame=0.8).filter((F.col("user_id") % 3 > 0) | (F.col("job") == 1))
+    return runs.stretched(runs.run(spark, found, "windows"))

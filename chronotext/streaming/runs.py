@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -155,49 +156,93 @@ def quiet(spark: SparkSession, sf_dir: str, size: int = 2, fewest: int = 20) ->
     return quiet_ranges(frames, ["user_id"], seconds=0.25, fewest=fewest)
 
 
-def recognition_windows(frames: DataFrame, key: str, earliest: float = 18.0, latest: float = 29.5, frame: float = 0.1) -> DataFrame:
-    """Windows of recordings for a recogniser, cut while they come in: key, job, n (from 0), start, end.
+def repeated(start: float, step: float, until: float) -> int:
+    """How many steps from ``start`` on end by ``until`` and are, added one by one, to the last bit ``start + k * step``.
 
-    frames: key, job, at (seconds), e (energy), last. Each cut is the quietest frame between ``earliest`` and ``latest``
-    seconds after the one before, as in ``folds.window_cuts``; a row marked last closes what is left. A recording may be
-    begun anew as a job of a higher number: the older job's frames then no longer count, whenever they arrive. State of a
-    recording is its job, where its open window begins and that window's frames: half a minute and what one batch brings.
+    At least one, and at most 65,536: the rest follows from the next start on.
+    """
+    fine = max(start.as_integer_ratio()[1], step.as_integer_ratio()[1])
+    # Sums of multiples of 1 / fine are exact below this; only the last step may round.
+    exact = 2**53 / fine
+    count = min(int((min(until, exact) - start) / step) + 2, 1 << 16)
+    while count > 1 and (start + count * step > until or start + (count - 1) * step > exact):
+        count -= 1
+    return max(count, 1)
+
+
+def recognition_stretches(frames: DataFrame, key: str, earliest: float = 18.0, latest: float = 29.5, frame: float = 0.1, groups: int = 1024) -> DataFrame:
+    """Windows as ``recognition_windows`` gives them, those of a time without frames together: key, job, n, start, end, count.
+
+    A row is ``count`` windows from number ``n`` on, all but the last of ``latest`` seconds; ``stretched`` makes them single
+    ones. So what a stream writes grows with its frames, however long a recording's silence is. Recordings share state by
+    a hash of their key, since a call costs far more than a recording in it.
     """
     ship(frames.sparkSession)
     kind = frames.schema[key].dataType.simpleString()
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        job, n, start, at, e = state.get if state.exists else (-1, 0, 0.0, [], [])
-        at, e, found = np.array(at, dtype=float), np.array(e, dtype=float), []
-
-        def add(edges: np.ndarray) -> None:
-            found.append(pd.DataFrame({key: group[0], "job": job, "n": np.arange(n, n + len(edges) - 1), "start": edges[:-1], "end": edges[1:]}))
-
+        held, found = {}, []
+        if state.exists:
+            *each, sizes, ats, es = state.get
+            ends = np.cumsum(sizes).tolist()
+            held = {k: (*rest, list(ats[z - size : z]), list(es[z - size : z])) for k, *rest, size, z in zip(*each, sizes, ends, strict=True)}
         rows = pd.concat(list(batches))
-        for number, more in rows[rows["job"] >= job].sort_values(["job", "at"], kind="stable").groupby("job"):
-            if number > job:
-                job, n, start, at, e = int(number), 0, 0.0, np.zeros(0), np.zeros(0)
-            at, e = np.concatenate([at, more["at"].to_numpy(dtype=float)]), np.concatenate([e, more["e"].to_numpy(dtype=float)])
-            low, edges = 0, [start]
-            while low < len(at) and at[-1] + frame - start > latest:
-                if at[low] >= start + latest:  # no frame until then: all windows before it at once
-                    steps = np.add.accumulate(np.r_[start, np.full(int((at[low] - start) / latest) + 2, latest)])
-                    cuts = steps[1:][steps[1:] <= at[low]].tolist()
+        numbers: dict = {}
+        code = np.array([numbers.setdefault(k, len(numbers)) for k in rows["key"].tolist()])
+        rows = rows.iloc[np.lexsort((rows["at"], rows["job"], code))]
+        code, names, jobs = np.sort(code), list(numbers), rows["job"].to_numpy()
+        ats, es, lasts = rows["at"].tolist(), rows["e"].fillna(-np.inf).tolist(), rows["last"].to_numpy()  # no energy: the quietest
+        edges = [0, *(np.flatnonzero((np.diff(code) != 0) | (np.diff(jobs) != 0)) + 1).tolist(), len(rows)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            name = names[code[a]]
+            job, n, start, at, e = held.get(name, (-1, 0, 0.0, [], []))
+            if not jobs[a] >= job:
+                continue
+            if jobs[a] > job:
+                job, n, start, at, e = int(jobs[a]), 0, 0.0, [], []
+            at, e, low = at + ats[a:b], e + es[a:b], 0
+            end = at[-1] + frame
+            while low < len(at) and end - start > latest:
+                if at[low] >= start + latest:  # no frame until then: the windows before it at once
+                    count = repeated(start, latest, at[low])
+                    cut = start + count * latest
                 else:
-                    first, last = low + np.searchsorted(at[low:], [start + earliest, start + latest - frame])
-                    cuts = [float(at[first + int(np.argmin(e[first:last]))] + frame / 2) if last > first else start + latest]
-                edges += cuts
-                start = edges[-1]
-                low += int(np.searchsorted(at[low:], start))
+                    count = 1
+                    first, last = bisect_left(at, start + earliest, low), bisect_left(at, start + latest - frame, low)
+                    cut = at[e.index(min(e[first:last]), first)] + frame / 2 if last > first else start + latest
+                found.append((name, job, n, start, cut, count))
+                n, start = n + count, cut
+                low = bisect_left(at, start, low)
             at, e = at[low:], e[low:]
-            if more["last"].any() and len(at):
-                edges.append(float(at[-1] + frame))
-                start, at, e = edges[-1], np.zeros(0), np.zeros(0)
-            add(np.array(edges))
-            n += len(edges) - 1
-        state.update((int(job), int(n), float(start), at.tolist(), e.tolist()))
-        yield pd.concat(found) if found else pd.DataFrame([], columns=[key, "job", "n", "start", "end"])
-
-    return frames.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, job long, n int, start double, end double", "job long, n int, start double, at array<double>, e array<double>", "append", GroupStateTimeout.NoTimeout
-    )
+            if at and lasts[a:b].any():
+                found.append((name, job, n, start, at[-1] + frame, 1))
+                n, start, at, e = n + 1, at[-1] + frame, [], []
+            held[name] = (job, n, start, at, e)
+        kept = list(held.values())
+        state.update((list(held), *([x[i] for x in kept] for i in range(3)), [len(x[3]) for x in kept], [a for x in kept for a in x[3]], [a for x in kept for a in x[4]]))
+        if found:
+            yield pd.DataFrame(found, columns=["key", "job", "n", "start", "end", "count"])
+
+    columns = [F.col("job").cast("long").alias("job"), F.col("at").cast("double").alias("at"), F.col("e").cast("double").alias("e"), F.coalesce("last", F.lit(False)).alias("last")]
+    dealt = frames.select(F.pmod(F.xxhash64(key), F.lit(groups)).alias("g"), F.col(key).cast("string").alias("key"), *columns).filter("job IS NOT NULL AND at IS NOT NULL")
+    held_as = "keys array<string>, jobs array<long>, ns array<int>, starts array<double>, sizes array<int>, at array<double>, e array<double>"
+    found = dealt.groupBy("g").applyInPandasWithState(step, "key string, job long, n int, start double, end double, count int", held_as, "append", GroupStateTimeout.NoTimeout)
+    return found.select(F.col("key").cast(kind).alias(key), "job", "n", "start", "end", "count")
+
+
+def stretched(stretches: DataFrame, latest: float = 29.5) -> DataFrame:
+    """The single windows of ``recognition_stretches``: its columns without count."""
+    each = stretches.select("*", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("_k"))
+    end = F.when(F.col("_k") == F.col("count") - 1, F.col("end")).otherwise(F.col("start") + (F.col("_k") + 1) * latest)
+    return each.withColumns({"n": F.col("n") + F.col("_k"), "start": F.col("start") + F.col("_k") * latest, "end": end}).drop("count", "_k")
+
+
+def recognition_windows(frames: DataFrame, key: str, earliest: float = 18.0, latest: float = 29.5, frame: float = 0.1) -> DataFrame:
+    """Windows of recordings for a recogniser, cut while they come in: key, job, n (from 0), start, end.
+
+    frames: key, job, at (seconds), e (energy), last. Each cut is the quietest frame between ``earliest`` and ``latest``
+    seconds after the one before, as in ``folds.window_cuts``; a row marked last closes what is left. A recording may be
+    begun anew as a job of a higher number: the older job's frames then no longer count, whenever they arrive. State of a
+    recording is its job, where its open window begins and that window's frames: half a minute and what one batch brings.
+    """
+    return stretched(recognition_stretches(frames, key, earliest, latest, frame), latest)
